@@ -16,15 +16,12 @@ def _col(value: Column | str) -> Column:
 
 
 def try_number(text: Column | str, to: str = "int") -> Column:
-    """Text to a whole number, NULL when it is none.
+    """Text to a whole number, rounded half away from zero; NULL when the text is no number.
 
-    Plain digits take the cheap cast. Text with a fraction (``'120.0'``, ``'1e2'``) goes through a
-    decimal and is rounded half away from zero.
+    Everything goes through a decimal. Casting ``'120.0'`` straight to a whole number fails, and
+    a failing cast costs an exception per row.
     """
-    text = _col(text)
-    return F.coalesce(
-        text.try_cast(to), F.round(text.try_cast("decimal(38,10)")).try_cast(to)
-    )
+    return F.round(blank_to_null(text).try_cast("decimal(38,10)")).try_cast(to)
 
 
 def strict_date(text: Column | str) -> Column:

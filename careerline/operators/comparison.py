@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careerline.operators.joins import small_side
+from careerline.operators.joins import BROADCAST_ROWS, small_side
 
 
 def cohort_pairs(
@@ -22,24 +22,16 @@ def cohort_pairs(
     ``pairings`` lists (anchor cohort, compared cohort); both lookups are equi joins on the
     cohort name. ``anchor`` and ``compared`` map output columns to member columns.
     """
-    spark = members.sparkSession
-    rules = F.broadcast(spark.createDataFrame(list(pairings), "_anchor string, _other string"))
-    first = members.select(
-        F.col(cohort).alias("_anchor"), *[F.col(c).alias(n) for n, c in anchor.items()]
-    )
-    own = members.select(
-        F.col(cohort).alias("_anchor"),
-        *[F.col(c).alias(n) for n, c in {**anchor, **compared}.items()],
-    )
-    second = members.select(
-        F.col(cohort).alias("_other"), *[F.col(c).alias(n) for n, c in compared.items()]
-    )
-    anchors = rules.select("_anchor").distinct()
-    with_itself = own.join(F.broadcast(anchors), "_anchor", "left_semi").drop("_anchor")
-    with_others = (
-        first.join(rules, "_anchor").join(second, "_other").drop("_anchor", "_other")
-    )
-    return with_itself.unionByName(with_others)
+    rules = members.sparkSession.createDataFrame(
+        [(first, other) for first, other in pairings] + [(first, None) for first, _ in pairings],
+        f"{cohort} string, _other string",
+    ).distinct()
+    anchors = members.join(F.broadcast(rules), cohort)
+    left = [F.col(c).alias(n) for n, c in anchor.items()]
+    right = [F.col(c).alias(n) for n, c in compared.items()]
+    with_itself = anchors.where(F.col("_other").isNull()).select(*left, *right)
+    others = members.select(F.col(cohort).alias("_other"), *right)
+    return with_itself.unionByName(anchors.select("_other", *left).join(others, "_other").drop("_other"))
 
 
 def counts_up_to_point(
@@ -47,31 +39,35 @@ def counts_up_to_point(
     pair_rows: int,
     events: DataFrame,
     key: str,
-    anchor: str,
     point: str,
     limit: str,
     counts: Mapping[str, Column],
 ) -> DataFrame:
-    """Per pair, how many events of ``key`` lie at or before the anchor's ``limit``.
+    """Per pair, how many events of ``key`` lie at or before the pair's ``limit``.
 
-    ``counts`` maps output columns to conditions. Pairs without an event get zeros. ``pair_rows``
-    is a proven upper bound of the grid. Events are first cut to the compared keys and summed per
-    (key, point), so what meets the grid is small even when one key owns most events; attaching
-    the grid afterwards keeps the big side out of an outer join.
+    ``counts`` maps output columns to conditions; a pair without an event gets zeros.
+    ``pair_rows`` is a proven upper bound of the grid. A small grid is broadcast, so the events
+    are counted where they lie. Before a grid that has to be shuffled, events are summed per
+    (key, point), so a key that owns most of them brings its distinct points only.
     """
-    keys = pairs.select(key).distinct()
-    per_point = (
-        events.join(small_side(keys, pair_rows), key, "left_semi")
-        .groupBy(key, point)
-        .agg(*[F.count_if(condition).alias(name) for name, condition in counts.items()])
-    )
+    names = list(counts)
+    if pair_rows <= BROADCAST_ROWS:
+        flags = [condition.cast("long").alias(name) for name, condition in counts.items()]
+        tallies = events.select(key, point, *flags)
+    else:
+        sums = [F.count_if(condition).alias(name) for name, condition in counts.items()]
+        tallies = events.groupBy(key, point).agg(*sums)
     reached = (
-        per_point.join(small_side(pairs.select(anchor, key, limit), pair_rows), key)
+        tallies.join(small_side(pairs, pair_rows), key)
         .where(F.col(point) <= F.col(limit))
-        .groupBy(anchor, key)
-        .agg(*[F.sum(name).alias(name) for name in counts])
+        .select(*pairs.columns, *names)
+    )
+    empty = pairs.select("*", *[F.lit(0).cast("long").alias(name) for name in names])
+    return (
+        reached.unionByName(empty)
+        .groupBy(*pairs.columns)
+        .agg(*[F.sum(name).alias(name) for name in names])
     )
-    return pairs.join(reached, [anchor, key], "left").fillna(0, list(counts))
 
 
 def head_to_head(

@@ -145,11 +145,10 @@ def mart_age_curves(
     focus = dim.where("is_focus_player").select(
         "player_id", "display_name", "cohort", "colour_slot"
     )
-    focus = small_side(focus, roster_rows)
     won, top10, title = F.col("is_win"), F.col("vs_top10"), F.col("is_title")
     by_age = (
         counted_matches(fct)
-        .join(focus, "player_id")
+        .join(small_side(focus, roster_rows), "player_id")
         .groupBy(*focus.columns, age_year("age_at_match").alias("age_year"))
         .agg(
             F.count("*").alias("matches"),
@@ -209,34 +208,39 @@ def mart_pace_comparison(
         },
         compared={"player_id": "player_id", "player_name": "display_name", "cohort": "cohort"},
     )
-    pair_rows = roster_rows * roster_rows
-    title = F.col("is_title")
-    results = counts_up_to_point(
+    title, slam = F.col("is_title"), F.col("is_grand_slam")
+    no = F.lit(False)
+    matches = counted_matches(fct).select(
+        "player_id",
+        F.col("age_at_match").alias("age"),
+        (title & slam).alias("slam_title"),
+        title.alias("title"),
+        F.col("is_win").alias("win"),
+        F.lit(True).alias("match"),
+        no.alias("week"),
+    )
+    weeks = no1_weeks.select(
+        "player_id",
+        F.col("age_at_ranking").alias("age"),
+        *[no.alias(c) for c in ("slam_title", "title", "win", "match")],
+        F.lit(True).alias("week"),
+    )
+    reached = counts_up_to_point(
         pairs,
-        pair_rows,
-        counted_matches(fct),
+        roster_rows * roster_rows,
+        matches.unionByName(weeks),  # side by side: joining them would multiply the rows
         key="player_id",
-        anchor="ng_id",
-        point="age_at_match",
+        point="age",
         limit="current_age",
         counts={
-            "slam_titles": title & F.col("is_grand_slam"),
-            "titles": title,
-            "match_wins": F.col("is_win"),
-            "matches": F.lit(True),
+            "slam_titles": F.col("slam_title"),
+            "titles": F.col("title"),
+            "match_wins": F.col("win"),
+            "matches": F.col("match"),
+            "weeks_at_no1": F.col("week"),
         },
     )
-    complete = counts_up_to_point(
-        results,
-        pair_rows,
-        no1_weeks,
-        key="player_id",
-        anchor="ng_id",
-        point="age_at_ranking",
-        limit="current_age",
-        counts={"weeks_at_no1": F.lit(True)},
-    )
-    return complete.select(
+    return reached.select(
         "compared_at_age_of",
         half_away_round("current_age", 1).alias("age"),
         "player_name",
@@ -258,9 +262,9 @@ def mart_big3_era_slams(fct: DataFrame, dim: DataFrame, roster_rows: int) -> Dat
     established = dim.where(F.col("cohort") == ESTABLISHED).select(
         F.col("player_id").alias("opponent_id"), F.col("display_name").alias("beaten")
     )
+    slam_wins = fct.where(F.col("is_win") & F.col("is_grand_slam"))
     beaten = (
-        fct.where(F.col("is_win") & F.col("is_grand_slam"))
-        .join(small_side(established, roster_rows), "opponent_id")
+        slam_wins.join(small_side(established, roster_rows), "opponent_id")
         .withColumn(
             "label", F.concat("beaten", F.lit(" ("), F.col("round_code"), F.lit(")"))
         )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -106,3 +106,9 @@ class Feed:
         if "tourney_levels" in names:
             frames["tourney_levels"] = self.levels.frame
         return frames
+
+
+@lru_cache(maxsize=4)
+def feed_for(spark: SparkSession, sf_dir: str) -> Feed:
+    """The feed of a session. Only logical plans are shared between queries, never rows."""
+    return Feed(spark, sf_dir)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from careerline.functions import joined_key
 from careerline.operators import quality, trailing_upsert
 from careerline.plans import checks, reports
-from registry.feed import Feed
+from registry.feed import feed_for
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,12 +32,12 @@ LAST_LOAD = datetime.date(2011, 1, 31)
 
 
 def _model(name: str) -> Query:
-    return lambda spark, sf_dir: getattr(Feed(spark, sf_dir), name)
+    return lambda spark, sf_dir: getattr(feed_for(spark, sf_dir), name)
 
 
 def _report(build: Callable[..., DataFrame], *inputs: str, **options: object) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        feed = Feed(spark, sf_dir)
+        feed = feed_for(spark, sf_dir)
         return build(*[getattr(feed, i) for i in inputs], **options)
 
     return query
@@ -45,7 +45,7 @@ def _report(build: Callable[..., DataFrame], *inputs: str, **options: object) ->
 
 def raw_table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row counts of the raw tables side by side."""
-    feed = Feed(spark, sf_dir)
+    feed = feed_for(spark, sf_dir)
 
     def size(frame: DataFrame) -> DataFrame:
         return frame.agg(F.count("*").alias("n"))
@@ -63,7 +63,7 @@ def _refreshed(spark: SparkSession, sf_dir: str, full_refresh: bool) -> DataFram
     The target holds what was known on the last load, with surfaces that were corrected since;
     the source has newer matches and has lost those of unknown level.
     """
-    feed = Feed(spark, sf_dir)
+    feed = feed_for(spark, sf_dir)
     current = feed.int_player_matches
     target = current.where(F.col("tourney_date") <= F.lit(LAST_LOAD)).withColumn(
         "surface", F.lit("Unknown")
@@ -83,34 +83,34 @@ def fct_full_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def check_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.unique(Feed(spark, sf_dir).raw_players, "player_id")
+    return quality.unique(feed_for(spark, sf_dir).raw_players, "player_id")
 
 
 def check_not_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matches = Feed(spark, sf_dir).stg_matches
+    matches = feed_for(spark, sf_dir).stg_matches
     return quality.not_null(matches, "winner_id").select("match_id", "winner_id", "loser_id")
 
 
 def check_accepted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.accepted_values(Feed(spark, sf_dir).stg_matches, "surface", checks.SURFACES)
+    return quality.accepted_values(feed_for(spark, sf_dir).stg_matches, "surface", checks.SURFACES)
 
 
 def check_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feed = Feed(spark, sf_dir)
+    feed = feed_for(spark, sf_dir)
     return quality.relationships(
         feed.int_player_matches, "player_id", feed.stg_players, "player_id"
     )
 
 
 def check_unique_combination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rankings = Feed(spark, sf_dir).raw_rankings
+    rankings = feed_for(spark, sf_dir).raw_rankings
     return quality.unique_combination(rankings, joined_key("ranking_date", "player"))
 
 
 def check_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The match and player-match checks with their number of violations."""
     wanted = ("stg_matches", "int_player_matches")
-    tables = Feed(spark, sf_dir).tables(*wanted, "stg_players", "tourney_levels")
+    tables = feed_for(spark, sf_dir).tables(*wanted, "stg_players", "tourney_levels")
     return checks.check_report(tables, [c for c in checks.ALL_CHECKS if c.table in wanted])
 
 
