@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from careerline.operators.joins import BROADCAST_ROWS, small_side
+from careerline.operators.local import local_frame
 
 
 def cohort_pairs(
@@ -22,10 +23,10 @@ def cohort_pairs(
     ``pairings`` lists (anchor cohort, compared cohort); both lookups are equi joins on the
     cohort name. ``anchor`` and ``compared`` map output columns to member columns.
     """
-    rules = members.sparkSession.createDataFrame(
-        [(first, other) for first, other in pairings] + [(first, None) for first, _ in pairings],
-        f"{cohort} string, _other string",
-    ).distinct()
+    with_self = [(first, None) for first in dict.fromkeys(first for first, _ in pairings)]
+    rules = local_frame(
+        members.sparkSession, [*pairings, *with_self], f"{cohort} string, _other string"
+    )
     anchors = members.join(F.broadcast(rules), cohort)
     left = [F.col(c).alias(n) for n, c in anchor.items()]
     right = [F.col(c).alias(n) for n, c in compared.items()]

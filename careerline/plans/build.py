@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from careerline.operators import apply_window
 from careerline.plans import checks, marts, reports, staging
 from careerline.sources import seeds
 from careerline.sources.ingest import ingest, raw_table
-from careerline.sources.warehouse import Warehouse
+from careerline.sources.warehouse import Warehouse, side_by_side
 
 log = logging.getLogger(__name__)
 
@@ -77,7 +79,10 @@ def build(
     roster: seeds.Seed | None = None,
     levels: seeds.Seed | None = None,
 ) -> dict[str, DataFrame]:
-    """All models over the raw tables; every layer is checked before the next one is built."""
+    """All models over the raw tables; every layer is checked before the next one is built.
+
+    The new tables are published together at the end: a failing check leaves the old ones.
+    """
     spark = warehouse.spark
     roster = roster or seeds.focus_players(spark)
     levels = levels or seeds.tourney_levels(spark)
@@ -93,27 +98,40 @@ def build(
         frame.createOrReplaceTempView(name)
     checks.gate(tables, checks.STAGING)
 
-    def store(name: str, frame: DataFrame) -> DataFrame:
-        tables[name] = warehouse.replace(stored_name(name), frame)
-        return tables[name]
+    def store(**models: Callable[[], DataFrame]) -> None:
+        """Store models that do not depend on each other."""
+
+        def write(name: str) -> None:
+            tables[name] = warehouse.replace(stored_name(name), models[name]())
 
-    rows = store(
-        "int_player_matches",
-        marts.int_player_matches(tables["stg_matches"], tables["stg_players"], levels),
+        side_by_side([partial(write, name) for name in models])
+
+    store(
+        int_player_matches=lambda: marts.int_player_matches(
+            tables["stg_matches"], tables["stg_players"], levels
+        ),
+        dim_players=lambda: marts.dim_players(tables["stg_players"], roster),
+    )
+    dim = tables["dim_players"]
+    checks.gate(tables, [*checks.INTERMEDIATE, *checks.DIMENSION])
+
+    fct = refresh_fact(warehouse, tables["int_player_matches"], full_refresh)
+    tables["fct_player_matches"] = fct
+    checks.gate(tables, checks.FACT)
+
+    store(
+        mart_no1_weeks=lambda: marts.mart_no1_weeks(staging.ranked_first(raw["rankings"]), dim),
+        mart_slam_titles=lambda: marts.mart_slam_titles(fct, dim),
+        mart_big3_era_slams=lambda: marts.mart_big3_era_slams(fct, dim, roster.rows),
+        mart_vs_big3_h2h=lambda: marts.mart_vs_big3_h2h(fct, dim, roster.rows),
+    )
+    no1 = tables["mart_no1_weeks"]
+    store(
+        mart_age_curves=lambda: marts.mart_age_curves(fct, dim, no1, roster.rows),
+        mart_pace_comparison=lambda: marts.mart_pace_comparison(fct, dim, no1, roster.rows),
     )
-    checks.gate(tables, checks.INTERMEDIATE)
-
-    dim = store("dim_players", marts.dim_players(tables["stg_players"], roster))
-    fct = tables["fct_player_matches"] = refresh_fact(warehouse, rows, full_refresh)
-    checks.gate(tables, [*checks.DIMENSION, *checks.FACT])
-
-    no1 = store("mart_no1_weeks", marts.mart_no1_weeks(staging.ranked_first(raw["rankings"]), dim))
-    store("mart_slam_titles", marts.mart_slam_titles(fct, dim))
-    store("mart_age_curves", marts.mart_age_curves(fct, dim, no1, roster.rows))
-    store("mart_pace_comparison", marts.mart_pace_comparison(fct, dim, no1, roster.rows))
-    store("mart_big3_era_slams", marts.mart_big3_era_slams(fct, dim, roster.rows))
-    store("mart_vs_big3_h2h", marts.mart_vs_big3_h2h(fct, dim, roster.rows))
     checks.gate(tables, checks.MARTS)
+    warehouse.publish()
     return tables
 
 

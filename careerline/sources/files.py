@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from careerline.operators import keep_first
+from careerline.operators import keep_first, local_frame
 
 # The file name of each entity. The first group of a match file is its season.
 ENTITY_PATTERNS = {
@@ -14,6 +14,8 @@ ENTITY_PATTERNS = {
     "rankings": r"^atp_rankings_(\d{2}s|current)\.csv$",
 }
 
+FILE_SCHEMA = "path string, length long, source_file string, entity string"
+
 # Up to this size a file is hashed as a whole, in one task. Larger ones are read in splits.
 WHOLE_FILE_BYTES = 256 * 1024 * 1024
 
@@ -113,21 +115,20 @@ def split_file_prints(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def fingerprint(
-    spark: SparkSession, files: DataFrame, whole_file_bytes: int = WHOLE_FILE_BYTES
+    spark: SparkSession, files: list[Row], whole_file_bytes: int = WHOLE_FILE_BYTES
 ) -> DataFrame:
-    """``files`` with file_hash, header and quoted_newline.
+    """``files`` (rows of ``discover``) with file_hash, header and quoted_newline.
 
-    The list of files is collected: one row per file, as in Spark's own file index.
+    The list holds one entry per file, as Spark's own file index does.
     """
-    listed = files.collect()
-    small = [f["path"] for f in listed if f["length"] <= whole_file_bytes]
-    large = [f["path"] for f in listed if f["length"] > whole_file_bytes]
+    small = [f["path"] for f in files if f["length"] <= whole_file_bytes]
+    large = [f["path"] for f in files if f["length"] > whole_file_bytes]
     prints = []
     if small:
         prints.append(whole_file_prints(spark, small))
     if large:
         prints.append(split_file_prints(spark, large))
     content = prints[0] if len(prints) == 1 else prints[0].unionByName(prints[1])
-    known = spark.createDataFrame(listed, files.schema)
+    known = local_frame(spark, files, FILE_SCHEMA)
     clean_header = F.regexp_replace("header", "^\ufeff|\r$", "")
     return known.join(content, "source_file").withColumn("header", clean_header)

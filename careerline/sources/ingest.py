@@ -1,7 +1,7 @@
 """Idempotent text load: one replaceable part per source file, tracked in a manifest.
 
-Unchanged files are skipped, changed ones replace their part. The manifest is written after the
-data, so a run that dies in between loads the same files again instead of losing or doubling
+Unchanged files are skipped, changed ones replace their part. Data and manifest become visible
+together, so a run that dies in between loads the same files again instead of losing or doubling
 them. Files that disappear keep what was loaded from them.
 """
 
@@ -9,14 +9,15 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Iterable, Sequence
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from careerline.operators import local_frame
 from careerline.sources.files import WHOLE_FILE_BYTES, base_name, discover, fingerprint
-from careerline.sources.warehouse import Warehouse
+from careerline.sources.warehouse import Warehouse, side_by_side
 
 MANIFEST = "raw/manifest"
 MANIFEST_SCHEMA = (
@@ -24,7 +25,7 @@ MANIFEST_SCHEMA = (
 )
 LINEAGE = ("_source_file", "_file_hash", "_loaded_at")
 OUTCOMES = ("skipped", "loaded", "reloaded")
-FILES_PER_WRITE = 10_000
+FILES_PER_READ = 10_000
 
 
 def raw_table(entity: str) -> str:
@@ -49,7 +50,7 @@ def plan_load(files: DataFrame, manifest: DataFrame) -> DataFrame:
 def summarise(plan: DataFrame) -> DataFrame:
     """Number of files per outcome, zeros included."""
     spark = plan.sparkSession
-    every = spark.createDataFrame([(o,) for o in OUTCOMES], "outcome string")
+    every = local_frame(spark, [(o,) for o in OUTCOMES], "outcome string")
     counted = plan.groupBy("outcome").agg(F.count("*").alias("files"))
     return every.join(counted, "outcome", "left").fillna(0, ["files"])
 
@@ -105,11 +106,12 @@ def _text_of(spark: SparkSession, files: list[Row], columns: Sequence[str]) -> D
         named = text.select("*", name)
         reads.append(conform(named, [*columns, "_source_file"]))
     rows = reduce(DataFrame.unionByName, reads)
-    hashes = spark.createDataFrame(
+    hashes = local_frame(
+        spark,
         [(f["source_file"], f["file_hash"]) for f in files],
         "_source_file string, _file_hash string",
     )
-    # at most FILES_PER_WRITE rows
+    # at most FILES_PER_READ rows
     return rows.join(F.broadcast(hashes), "_source_file", "left").select(
         *columns, "_source_file", "_file_hash", F.current_timestamp().alias("_loaded_at")
     )
@@ -126,13 +128,15 @@ def _load_entity(warehouse: Warehouse, entity: str, files: list[Row]) -> dict[st
         extra = [c for c in header_columns(f["header"]) if c not in columns]
         if extra:
             raise ValueError(f"{f['source_file']}: columns not in {table}: {extra}")
-    counts: dict[str, int] = {}
-    for start in range(0, len(files), FILES_PER_WRITE):
-        batch = files[start : start + FILES_PER_WRITE]
-        text = _text_of(warehouse.spark, batch, columns)
-        names = [f["source_file"] for f in batch]
-        counts.update(warehouse.replace_parts(table, text, F.col("_source_file"), names))
-    return counts
+    text = reduce(
+        DataFrame.unionByName,
+        [
+            _text_of(warehouse.spark, files[start : start + FILES_PER_READ], columns)
+            for start in range(0, len(files), FILES_PER_READ)
+        ],
+    )
+    names = [f["source_file"] for f in files]
+    return warehouse.replace_parts(table, text, F.col("_source_file"), names)
 
 
 def read_manifest(warehouse: Warehouse) -> DataFrame:
@@ -149,18 +153,20 @@ def ingest(
 ) -> dict[str, int]:
     """Load what is new or changed below ``source_dir``; returns files per outcome."""
     spark = warehouse.spark
-    files = discover(spark, source_dir, min_year)
-    if files.isEmpty():
+    files = discover(spark, source_dir, min_year).collect()  # one row per file
+    if not files:
         raise ValueError(f"no source files found in {source_dir}")
     manifest = read_manifest(warehouse)
-    planned = plan_load(fingerprint(spark, files, whole_file_bytes), manifest)
-    plan = planned.collect()  # one row per file
+    plan = plan_load(fingerprint(spark, files, whole_file_bytes), manifest).collect()
     changed = sorted((f for f in plan if f["outcome"] != "skipped"), key=lambda f: f["path"])
-    counts: dict[str, int] = {}
-    for entity in dict.fromkeys(f["entity"] for f in changed):
-        counts.update(_load_entity(warehouse, entity, [f for f in changed if f["entity"] == entity]))
     if changed:
+        by_entity = {
+            e: [f for f in changed if f["entity"] == e] for e in {f["entity"] for f in changed}
+        }
+        loads = [partial(_load_entity, warehouse, e, files) for e, files in by_entity.items()]
+        counts = {name: n for rows in side_by_side(loads) for name, n in rows.items()}
         _record(warehouse, manifest, changed, counts)
+        warehouse.publish()
     return _tally(f["outcome"] for f in plan)
 
 
@@ -168,8 +174,8 @@ def _record(
     warehouse: Warehouse, manifest: DataFrame, changed: list[Row], counts: dict[str, int]
 ) -> None:
     rows = [(f["source_file"], f["entity"], f["file_hash"], counts[f["source_file"]]) for f in changed]
-    loaded = warehouse.spark.createDataFrame(
-        rows, "source_file string, entity string, file_hash string, row_count long"
+    loaded = local_frame(
+        warehouse.spark, rows, "source_file string, entity string, file_hash string, row_count long"
     ).withColumn("loaded_at", F.current_timestamp())
     warehouse.replace(MANIFEST, upsert_manifest(manifest, loaded))
 

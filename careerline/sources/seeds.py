@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from careerline.operators.local import local_frame
+
 LEVEL_SCHEMA = "tourney_level string, level_name string, is_grand_slam boolean"
 ROSTER_SCHEMA = "player_id long, display_name string, cohort string, colour_slot int"
 
@@ -44,7 +46,7 @@ class Seed:
 
 
 def literal_seed(spark: SparkSession, rows: list[tuple], schema: str) -> Seed:
-    return Seed(spark.createDataFrame(rows, schema), len(rows))
+    return Seed(local_frame(spark, rows, schema), len(rows))
 
 
 def csv_seed(spark: SparkSession, path: str, schema: str) -> Seed:

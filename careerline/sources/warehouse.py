@@ -1,32 +1,42 @@
 """Parquet tables whose snapshots replace each other in one step.
 
 Plain Parquet folders have no transactions, and a table must not be overwritten while the same
-plan reads it. So every write goes to a new folder, and one appended line in a commit log makes
-it visible. A run that dies before that line leaves the old snapshot in place. A table is either
-one snapshot or a set of parts (seasons, source files) that are replaced one by one. One writer
-at a time is assumed.
+plan reads it. So every write goes to a new folder, and ``publish`` appends one file to a commit
+log that makes all writes since the last one visible together. A run that dies before that
+leaves the old snapshots in place, and the next run writes over its unpublished folders. A table
+is either one snapshot or a set of parts (seasons, source files) that are replaced one by one.
+One writing process at a time is assumed; its own threads may write different tables.
 """
 
 from __future__ import annotations
 
-import datetime
 import json
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LOG_SCHEMA = (
-    "table_name string, version int, part string, folder string, columns string, "
-    "committed_at timestamp"
-)
+from careerline.operators.local import local_frame
+
+LINE_SCHEMA = "table_name string, version int, part string, folder string, columns string"
+LOG_SCHEMA = f"{LINE_SCHEMA}, committed_at timestamp"
 WHOLE = ""
+THREADS = 4
+Result = TypeVar("Result")
 PLAIN_NAME = re.compile(r"[\w.\-]+")
 
 
+def side_by_side(steps: Sequence[Callable[[], Result]]) -> list[Result]:
+    """Run independent steps from a few threads, so that their Spark jobs share the cluster."""
+    with ThreadPoolExecutor(max_workers=THREADS) as pool:
+        return [f.result() for f in [pool.submit(step) for step in steps]]
+
+
 class Warehouse:
     """Tables named ``layer/name`` below one folder that all executors can reach."""
 
@@ -35,7 +45,8 @@ class Warehouse:
         self.root = root.rstrip("/")
         self._live: dict[str, dict[str, str | None]] = {}
         self._columns: dict[str, T.StructType] = {}
-        self._version: dict[str, int] = {}
+        self._version: dict[str, int] = {}  # as published
+        self._unpublished: list[tuple] = []
         try:
             log = spark.read.schema(LOG_SCHEMA).parquet(self._log)
         except AnalysisException as error:
@@ -58,7 +69,7 @@ class Warehouse:
         self._live.setdefault(table, {}).update(parts)
 
     def exists(self, table: str) -> bool:
-        return table in self._version
+        return table in self._columns
 
     def columns(self, table: str) -> list[str]:
         return self._columns[table].names
@@ -78,10 +89,13 @@ class Warehouse:
         return self.spark.read.schema(schema).parquet(*folders)
 
     def replace(self, table: str, frame: DataFrame) -> DataFrame:
-        """Make ``frame`` the whole content of ``table``; returns the stored table."""
+        """Make ``frame`` the whole content of ``table``; returns the stored table.
+
+        This session sees it at once, others after ``publish``.
+        """
         folder = self._next_folder(table)
         frame.write.mode("overwrite").parquet(folder)
-        self._commit(table, frame.schema, {WHOLE: folder})
+        self._written(table, frame.schema, {WHOLE: folder})
         return self.read(table)
 
     def replace_parts(
@@ -113,24 +127,34 @@ class Warehouse:
         unexpected = sorted(set(rows) - set(wanted))
         if unexpected:
             raise ValueError(f"rows of unnamed parts of {table}: {unexpected[:5]}")
-        self._commit(
+        self._written(
             table, schema, {p: f"{folder}/_part={p}" if p in rows else None for p in wanted}
         )
         return {p: rows.get(p, 0) for p in wanted}
 
     def _next_folder(self, table: str) -> str:
+        if any(line[0] == table for line in self._unpublished):
+            raise ValueError(f"{table} is written already; publish first")
         return f"{self.root}/{table}/v{self._version.get(table, 0) + 1:06d}"
 
-    def _commit(self, table: str, schema: T.StructType, parts: dict[str, str | None]) -> None:
+    def _written(self, table: str, schema: T.StructType, parts: dict[str, str | None]) -> None:
         version = self._version.get(table, 0) + 1
-        now = datetime.datetime.now()
-        lines = [(table, version, p, folder, schema.json(), now) for p, folder in parts.items()]
-        log = self.spark.createDataFrame(lines, LOG_SCHEMA).coalesce(1)
-        log.write.mode("append").parquet(self._log)
-        self._version[table] = version
+        lines = [(table, version, p, folder, schema.json()) for p, folder in parts.items()]
+        self._unpublished.extend(lines)
         self._columns[table] = schema
         self._remember(table, parts)
 
+    def publish(self) -> None:
+        """Make everything written since the last call visible, in one step."""
+        if not self._unpublished:
+            return
+        lines = local_frame(self.spark, self._unpublished, LINE_SCHEMA)
+        log = lines.withColumn("committed_at", F.current_timestamp())
+        log.coalesce(1).write.mode("append").parquet(self._log)
+        for table, version, *_ in self._unpublished:
+            self._version[table] = version
+        self._unpublished = []
+
     def drop_superseded(self, tables: Iterable[str]) -> None:
         """Delete the folders that no live part points to. Call it when no reader is left."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
