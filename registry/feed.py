@@ -1,25 +1,60 @@
-"""The models and marts over the derived raw tables, built on demand."""
+"""The models and marts over the derived raw tables, built on demand.
+
+As in the full run, the raw layer and the models others build on are stored tables: ``stored``
+writes one the first time it is needed, into the shared folder of the session. The models
+themselves (the plain attributes) are lazy frames over them.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import cached_property, lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 from careerline.plans import marts, staging
 from careerline.sources import seeds
+from careerline.sources.warehouse import Warehouse
 from registry import raw_tables
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``; a local one only where all runs in one place."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return f"{named.rstrip('/')}/careerline-{uuid.uuid4().hex}"
+    if spark.sparkContext.master.startswith("local"):
+        return tempfile.mkdtemp(prefix="careerline-")
+    raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+
+
 class Feed:
-    """Lazy frames: asking for one builds the logical plan of what it needs and nothing else."""
+    """The derived feed of one session and one set of tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = spark
         self.sf_dir = sf_dir
+        self._given: dict[str, DataFrame] = {}
+
+    @cached_property
+    def folder(self) -> str:
+        return shared_folder(self.spark)
+
+    @cached_property
+    def warehouse(self) -> Warehouse:
+        return Warehouse(self.spark, f"{self.folder}/tables")
 
     def given(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+        if table not in self._given:
+            self._given[table] = self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+        return self._given[table]
+
+    def stored(self, name: str) -> DataFrame:
+        table = f"stored/{name}"
+        if not self.warehouse.exists(table):
+            self.warehouse.replace(table, getattr(self, name))
+        return self.warehouse.read(table)
 
     def _derived(self, text: str, *tables: str) -> DataFrame:
         return self.spark.sql(text, **{t: self.given(t) for t in tables})
@@ -46,15 +81,15 @@ class Feed:
 
     @cached_property
     def stg_matches(self) -> DataFrame:
-        return staging.stg_matches(self.raw_matches)
+        return staging.stg_matches(self.stored("raw_matches"))
 
     @cached_property
     def stg_players(self) -> DataFrame:
-        return staging.stg_players(self.raw_players)
+        return staging.stg_players(self.stored("raw_players"))
 
     @cached_property
     def stg_rankings(self) -> DataFrame:
-        return staging.stg_rankings(self.raw_rankings)
+        return staging.stg_rankings(self.stored("raw_rankings"))
 
     @cached_property
     def int_player_matches(self) -> DataFrame:
@@ -64,51 +99,52 @@ class Feed:
     def dim_players(self) -> DataFrame:
         return marts.dim_players(self.stg_players, self.roster)
 
-    @cached_property
+    @property
     def fct_player_matches(self) -> DataFrame:
         """The fact after a first build."""
-        return self.int_player_matches
+        return self.stored("int_player_matches")
 
     @cached_property
     def mart_no1_weeks(self) -> DataFrame:
-        return marts.mart_no1_weeks(staging.ranked_first(self.raw_rankings), self.dim_players)
+        first = staging.ranked_first(self.stored("raw_rankings"))
+        return marts.mart_no1_weeks(first, self.stored("dim_players"))
 
     @cached_property
     def mart_slam_titles(self) -> DataFrame:
-        return marts.mart_slam_titles(self.fct_player_matches, self.dim_players)
+        return marts.mart_slam_titles(self.fct_player_matches, self.stored("dim_players"))
 
     @cached_property
     def mart_age_curves(self) -> DataFrame:
         return marts.mart_age_curves(
-            self.fct_player_matches, self.dim_players, self.mart_no1_weeks, self.roster.rows
+            self.fct_player_matches,
+            self.stored("dim_players"),
+            self.stored("mart_no1_weeks"),
+            self.roster.rows,
         )
 
     @cached_property
     def mart_pace_comparison(self) -> DataFrame:
         return marts.mart_pace_comparison(
-            self.fct_player_matches, self.dim_players, self.mart_no1_weeks, self.roster.rows
+            self.fct_player_matches,
+            self.stored("dim_players"),
+            self.stored("mart_no1_weeks"),
+            self.roster.rows,
         )
 
     @cached_property
     def mart_big3_era_slams(self) -> DataFrame:
         return marts.mart_big3_era_slams(
-            self.fct_player_matches, self.dim_players, self.roster.rows
+            self.fct_player_matches, self.stored("dim_players"), self.roster.rows
         )
 
     @cached_property
     def mart_vs_big3_h2h(self) -> DataFrame:
         return marts.mart_vs_big3_h2h(
-            self.fct_player_matches, self.dim_players, self.roster.rows
+            self.fct_player_matches, self.stored("dim_players"), self.roster.rows
         )
 
-    def tables(self, *names: str) -> dict[str, DataFrame]:
-        frames = {n: getattr(self, n) for n in names if n != "tourney_levels"}
-        if "tourney_levels" in names:
-            frames["tourney_levels"] = self.levels.frame
-        return frames
-
 
 @lru_cache(maxsize=4)
 def feed_for(spark: SparkSession, sf_dir: str) -> Feed:
-    """The feed of a session. Only logical plans are shared between queries, never rows."""
+    """The feed of a session, so that its queries share the stored tables."""
     return Feed(spark, sf_dir)

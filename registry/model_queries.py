@@ -38,7 +38,10 @@ def _model(name: str) -> Query:
 def _report(build: Callable[..., DataFrame], *inputs: str, **options: object) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         feed = feed_for(spark, sf_dir)
-        return build(*[getattr(feed, i) for i in inputs], **options)
+        marts = [feed.stored(i) for i in inputs if i != "fct_player_matches"]
+        if "fct_player_matches" in inputs:
+            marts.append(feed.fct_player_matches)
+        return build(*marts, **options)
 
     return query
 
@@ -50,10 +53,10 @@ def raw_table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     def size(frame: DataFrame) -> DataFrame:
         return frame.agg(F.count("*").alias("n"))
 
-    return size(feed.raw_matches).select(
+    return size(feed.stored("raw_matches")).select(
         F.col("n").alias("matches"),
-        size(feed.raw_players).scalar().alias("players"),
-        size(feed.raw_rankings).scalar().alias("rankings"),
+        size(feed.stored("raw_players")).scalar().alias("players"),
+        size(feed.stored("raw_rankings")).scalar().alias("rankings"),
     )
 
 
@@ -64,7 +67,7 @@ def _refreshed(spark: SparkSession, sf_dir: str, full_refresh: bool) -> DataFram
     the source has newer matches and has lost those of unknown level.
     """
     feed = feed_for(spark, sf_dir)
-    current = feed.int_player_matches
+    current = feed.fct_player_matches
     target = current.where(F.col("tourney_date") <= F.lit(LAST_LOAD)).withColumn(
         "surface", F.lit("Unknown")
     )
@@ -83,7 +86,7 @@ def fct_full_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def check_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.unique(feed_for(spark, sf_dir).raw_players, "player_id")
+    return quality.unique(feed_for(spark, sf_dir).stored("raw_players"), "player_id")
 
 
 def check_not_null(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,19 +101,25 @@ def check_accepted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def check_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = feed_for(spark, sf_dir)
     return quality.relationships(
-        feed.int_player_matches, "player_id", feed.stg_players, "player_id"
+        feed.fct_player_matches, "player_id", feed.stored("dim_players"), "player_id"
     )
 
 
 def check_unique_combination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rankings = feed_for(spark, sf_dir).raw_rankings
+    rankings = feed_for(spark, sf_dir).stored("raw_rankings")
     return quality.unique_combination(rankings, joined_key("ranking_date", "player"))
 
 
 def check_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The match and player-match checks with their number of violations."""
+    feed = feed_for(spark, sf_dir)
+    tables = {
+        "tourney_levels": feed.levels.frame,
+        "stg_matches": feed.stg_matches,
+        "stg_players": feed.stg_players,
+        "int_player_matches": feed.fct_player_matches,
+    }
     wanted = ("stg_matches", "int_player_matches")
-    tables = feed_for(spark, sf_dir).tables(*wanted, "stg_players", "tourney_levels")
     return checks.check_report(tables, [c for c in checks.ALL_CHECKS if c.table in wanted])
 
 
