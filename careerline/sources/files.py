@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,8 +77,10 @@ def whole_file_prints(spark: SparkSession, paths: list[str]) -> DataFrame:
     )
 
 
-def line_digest(lines: DataFrame, group: list[str], line: str) -> DataFrame:
-    """``group`` and a SHA-256 digest of the bag of lines of each group.
+def line_digest(
+    lines: DataFrame, group: list[str], line: str, facts: Sequence[Column] = ()
+) -> DataFrame:
+    """``group`` and a SHA-256 digest of the bag of lines of each group, with other ``facts``.
 
     Every line is hashed on its own and the hashes are added up, so the work splits over tasks
     and is combined before the shuffle. The order of the lines does not count, as it does not
@@ -88,10 +92,8 @@ def line_digest(lines: DataFrame, group: list[str], line: str) -> DataFrame:
         digits = F.conv(F.substring("_hash", start, 15), 16, 10)
         return F.sum(digits.cast("decimal(38,0)")).cast("string")
 
-    summed = hashed.groupBy(*group).agg(
-        F.concat_ws("-", F.count("*").cast("string"), slice_sum(1), slice_sum(16)).alias("_bag")
-    )
-    return summed.select(*group, F.sha2("_bag", 256).alias("file_hash"))
+    bag = F.concat_ws("-", F.count("*").cast("string"), slice_sum(1), slice_sum(16))
+    return hashed.groupBy(*group).agg(F.sha2(bag, 256).alias("file_hash"), *facts)
 
 
 def split_file_prints(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -107,11 +109,11 @@ def split_file_prints(spark: SparkSession, paths: list[str]) -> DataFrame:
         ).alias("_first_split_order"),
     )
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    facts = lines.groupBy("source_file").agg(
+    facts = [
         F.min_by("value", "_first_split_order").alias("header"),
         (F.max(quotes % 2) == 1).alias("quoted_newline"),
-    )
-    return line_digest(lines, ["source_file"], "value").join(facts, "source_file")
+    ]
+    return line_digest(lines, ["source_file"], "value", facts)
 
 
 def fingerprint(
