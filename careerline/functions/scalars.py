@@ -18,15 +18,31 @@ def _col(value: Column | str) -> Column:
 def try_number(text: Column | str, to: str = "int") -> Column:
     """Text to a whole number, rounded half away from zero; NULL when the text is no number.
 
-    Everything goes through a decimal. Casting ``'120.0'`` straight to a whole number fails, and
-    a failing cast costs an exception per row.
+    Digits take the cheap cast. Text with a fraction or an exponent goes through a decimal: cast
+    straight to a whole number it fails, and a failing cast costs an exception per row.
     """
-    return F.round(blank_to_null(text).try_cast("decimal(38,10)")).try_cast(to)
+    text = blank_to_null(text)
+    fractional = text.contains(".") | text.contains("e") | text.contains("E")
+    rounded = F.round(text.try_cast("decimal(38,10)")).try_cast(to)
+    return F.when(fractional, rounded).otherwise(text.try_cast(to))
 
 
 def strict_date(text: Column | str) -> Column:
-    """``yyyyMMdd`` text to a date. A bad value is an error (ANSI mode, Spark's default)."""
-    return F.to_date(_col(text), DATE_FORMAT)
+    """``yyyyMMdd`` text to a date. A bad value is an error (ANSI mode, Spark's default).
+
+    Eight digits are taken apart as a number, which is several times faster than the pattern
+    parser; everything else is left to the parser.
+    """
+    text = _col(text)
+    plain = (F.length(text) == 8) & (text >= "0") & (text < ":")  # ':' follows '9'
+    number = text.cast("int")
+    month_day = number % 10000
+    date = F.make_date(
+        ((number - month_day) / 10000).cast("int"),
+        ((month_day - number % 100) / 100).cast("int"),
+        number % 100,
+    )
+    return F.when(plain, date).otherwise(F.to_date(text, DATE_FORMAT))
 
 
 def lenient_date(text: Column | str) -> Column:

@@ -3,20 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from careerline.functions import joined_key
+
 
 def unique(frame: DataFrame, column: str) -> DataFrame:
     """Values that occur more than once. NULL is not a value."""
-    return unique_combination(frame.where(F.col(column).isNotNull()), F.col(column))
+    values = frame.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("key"))
+    return values.agg(F.count("*").alias("n")).where(F.col("n") > 1)
+
 
+def unique_combination(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Keys ``a-b-c`` that occur more than once.
 
-def unique_combination(frame: DataFrame, combination: Column) -> DataFrame:
-    """Keys that occur more than once. NULL counts as a key, so two NULL keys fail."""
-    counted = frame.groupBy(combination.alias("key")).agg(F.count("*").alias("n"))
-    return counted.where(F.col("n") > 1)
+    A key with a missing part is NULL, and NULL counts as a key, so two of them fail. Rows are
+    grouped by the typed parts; the text is built for the violations only.
+    """
+    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+    parts = [F.when(complete, F.col(c)).alias(c) for c in columns]
+    counted = frame.groupBy(*parts).agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    return counted.select(joined_key(*columns).alias("key"), "n")
 
 
 def not_null(frame: DataFrame, column: str) -> DataFrame:

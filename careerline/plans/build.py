@@ -25,6 +25,9 @@ NO_SEASON = -1
 
 # Layer of every stored table.
 STORED = {
+    "stg_matches": "staging",
+    "stg_players": "staging",
+    "stg_rankings": "staging",
     "int_player_matches": "intermediate",
     "dim_players": "marts",
     "fct_player_matches": "marts",
@@ -88,24 +91,24 @@ def build(
     levels = levels or seeds.tourney_levels(spark)
     raw = {e: warehouse.read(raw_table(e)) for e in ("matches", "players", "rankings")}
 
-    tables = {
-        "tourney_levels": levels.frame,
-        "stg_matches": staging.stg_matches(raw["matches"]),
-        "stg_players": staging.stg_players(raw["players"]),
-        "stg_rankings": staging.stg_rankings(raw["rankings"]),
-    }
-    for name, frame in tables.items():
-        frame.createOrReplaceTempView(name)
-    checks.gate(tables, checks.STAGING)
+    tables = {"tourney_levels": levels.frame}
 
     def store(**models: Callable[[], DataFrame]) -> None:
         """Store models that do not depend on each other."""
 
         def write(name: str) -> None:
             tables[name] = warehouse.replace(stored_name(name), models[name]())
+            tables[name].createOrReplaceTempView(name)
 
         side_by_side([partial(write, name) for name in models])
 
+    store(
+        stg_matches=lambda: staging.stg_matches(raw["matches"]),
+        stg_players=lambda: staging.stg_players(raw["players"]),
+        stg_rankings=lambda: staging.stg_rankings(raw["rankings"]),
+    )
+    checks.gate(tables, checks.STAGING)
+
     store(
         int_player_matches=lambda: marts.int_player_matches(
             tables["stg_matches"], tables["stg_players"], levels
@@ -120,7 +123,7 @@ def build(
     checks.gate(tables, checks.FACT)
 
     store(
-        mart_no1_weeks=lambda: marts.mart_no1_weeks(staging.ranked_first(raw["rankings"]), dim),
+        mart_no1_weeks=lambda: marts.mart_no1_weeks(tables["stg_rankings"], dim),
         mart_slam_titles=lambda: marts.mart_slam_titles(fct, dim),
         mart_big3_era_slams=lambda: marts.mart_big3_era_slams(fct, dim, roster.rows),
         mart_vs_big3_h2h=lambda: marts.mart_vs_big3_h2h(fct, dim, roster.rows),

@@ -10,7 +10,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careerline.functions import joined_key
 from careerline.operators import quality
 
 log = logging.getLogger(__name__)
@@ -56,7 +55,7 @@ class Check:
         if self.kind == "unique":
             return quality.unique(frame, column)
         if self.kind == "unique_combination":
-            return quality.unique_combination(frame, joined_key(*self.columns))
+            return quality.unique_combination(frame, self.columns)
         if self.kind == "relationships":
             parent = tables[self.options["parent"]]
             return quality.relationships(frame, column, parent, self.options["field"])

@@ -109,10 +109,10 @@ def slam_title_rows(fct: DataFrame) -> DataFrame:
     return fct.where(F.col("is_title") & F.col("is_grand_slam"))
 
 
-def mart_no1_weeks(first_ranked: DataFrame, dim: DataFrame) -> DataFrame:
-    """Every weekly snapshot at number 1. ``first_ranked`` holds (ranking_date, player_id)."""
+def mart_no1_weeks(rankings: DataFrame, dim: DataFrame) -> DataFrame:
+    """Every weekly snapshot at number 1."""
     known = dim.select("player_id", "display_name", "date_of_birth")
-    return first_ranked.join(known, "player_id").select(
+    return rankings.where(F.col("ranking") == 1).join(known, "player_id").select(
         "ranking_date",
         "player_id",
         "display_name",

@@ -1,4 +1,4 @@
-"""Staging: typed, cleaned views over the raw text tables."""
+"""Staging: typed and cleaned rows of the raw text tables."""
 
 from __future__ import annotations
 
@@ -66,29 +66,16 @@ def stg_players(raw: DataFrame) -> DataFrame:
     return keep_first(typed, ["player_id"], [F.col(c).asc_nulls_last() for c in tie_breaks])
 
 
-def typed_rankings(raw: DataFrame) -> DataFrame:
-    """Typed ranking rows, overlaps between the files still in."""
-    return raw.select(
+def stg_rankings(raw: DataFrame) -> DataFrame:
+    """One row per player and week: the best rank, then the most points.
+
+    The source files overlap, and some player-weeks come twice with different ranks.
+    """
+    typed = raw.select(
         strict_date("ranking_date").alias("ranking_date"),
         try_number("rank").alias("ranking"),
         try_number("player", "bigint").alias("player_id"),
         try_number("points").alias("ranking_points"),
     ).where(F.col("player_id").isNotNull() & F.col("ranking").isNotNull())
-
-
-def stg_rankings(raw: DataFrame) -> DataFrame:
-    """One row per player and week: the best rank, then the most points."""
     order = [F.col("ranking").asc_nulls_last(), F.col("ranking_points").desc_nulls_last()]
-    return keep_first(typed_rankings(raw), ["ranking_date", "player_id"], order)
-
-
-def ranked_first(raw: DataFrame) -> DataFrame:
-    """(week, player) where the player's best rank of the week is 1.
-
-    Equal to filtering ``stg_rankings`` on ``ranking = 1``, but rows above rank 1 are dropped
-    before the shuffle instead of after the de-duplication. Ranks below 1 are kept until the
-    best one is known, so bad data cannot change the answer.
-    """
-    candidates = typed_rankings(raw).where(F.col("ranking") <= 1)
-    best = candidates.groupBy("ranking_date", "player_id").agg(F.min("ranking").alias("ranking"))
-    return best.where(F.col("ranking") == 1).select("ranking_date", "player_id")
+    return keep_first(typed, ["ranking_date", "player_id"], order)

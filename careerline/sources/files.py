@@ -68,12 +68,12 @@ def discover(spark: SparkSession, source_dir: str, min_year: int) -> DataFrame:
 def whole_file_prints(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(source_file, file_hash, header, quoted_newline): SHA-256 over the bytes of each file."""
     files = spark.read.format("binaryFile").load(paths)
-    first_line = F.substring_index(F.col("content").cast("string"), "\n", 1)
+    text = F.col("content").cast("string")
     return files.select(
         base_name(F.col("path")).alias("source_file"),
         F.sha2("content", 256).alias("file_hash"),
-        first_line.alias("header"),
-        F.lit(True).alias("quoted_newline"),  # small enough to be parsed as a whole anyway
+        F.substring_index(text, "\n", 1).alias("header"),
+        text.contains('"').alias("quoted_newline"),  # possibly; parsing it as a whole is cheap
     )
 
 
@@ -102,7 +102,7 @@ def split_file_prints(spark: SparkSession, paths: list[str]) -> DataFrame:
     An odd number of quotes on a line tells that a quoted field runs over the line end.
     """
     lines = spark.read.text(paths).select(
-        base_name(F.col("_metadata.file_path")).alias("source_file"),
+        F.col("_metadata.file_name").alias("source_file"),
         "value",
         F.when(
             F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from careerline.operators import local_frame
-from careerline.sources.files import WHOLE_FILE_BYTES, base_name, discover, fingerprint
+from careerline.sources.files import WHOLE_FILE_BYTES, discover, fingerprint
 from careerline.sources.warehouse import Warehouse, side_by_side
 
 MANIFEST = "raw/manifest"
@@ -102,7 +102,7 @@ def _text_of(spark: SparkSession, files: list[Row], columns: Sequence[str]) -> D
     for header, whole in dict.fromkeys((f["header"], f["quoted_newline"]) for f in files):
         group = [f for f in files if (f["header"], f["quoted_newline"]) == (header, whole)]
         text = read_text_csv(spark, [f["path"] for f in group], header_columns(header), whole)
-        name = base_name(F.col("_metadata.file_path")).alias("_source_file")
+        name = F.col("_metadata.file_name").alias("_source_file")
         named = text.select("*", name)
         reads.append(conform(named, [*columns, "_source_file"]))
     rows = reduce(DataFrame.unionByName, reads)

@@ -93,11 +93,13 @@ class Feed:
 
     @cached_property
     def int_player_matches(self) -> DataFrame:
-        return marts.int_player_matches(self.stg_matches, self.stg_players, self.levels)
+        return marts.int_player_matches(
+            self.stored("stg_matches"), self.stored("stg_players"), self.levels
+        )
 
     @cached_property
     def dim_players(self) -> DataFrame:
-        return marts.dim_players(self.stg_players, self.roster)
+        return marts.dim_players(self.stored("stg_players"), self.roster)
 
     @property
     def fct_player_matches(self) -> DataFrame:
@@ -106,8 +108,7 @@ class Feed:
 
     @cached_property
     def mart_no1_weeks(self) -> DataFrame:
-        first = staging.ranked_first(self.stored("raw_rankings"))
-        return marts.mart_no1_weeks(first, self.stored("dim_players"))
+        return marts.mart_no1_weeks(self.stored("stg_rankings"), self.stored("dim_players"))
 
     @cached_property
     def mart_slam_titles(self) -> DataFrame:

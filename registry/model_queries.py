@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careerline.functions import joined_key
 from careerline.operators import quality, trailing_upsert
 from careerline.plans import checks, reports
 from registry.feed import feed_for
@@ -90,24 +89,24 @@ def check_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def check_not_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matches = feed_for(spark, sf_dir).stg_matches
+    matches = feed_for(spark, sf_dir).stored("stg_matches")
     return quality.not_null(matches, "winner_id").select("match_id", "winner_id", "loser_id")
 
 
 def check_accepted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.accepted_values(feed_for(spark, sf_dir).stg_matches, "surface", checks.SURFACES)
+    return quality.accepted_values(feed_for(spark, sf_dir).stored("stg_matches"), "surface", checks.SURFACES)
 
 
 def check_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = feed_for(spark, sf_dir)
     return quality.relationships(
-        feed.fct_player_matches, "player_id", feed.stored("dim_players"), "player_id"
+        feed.fct_player_matches, "player_id", feed.stored("stg_players"), "player_id"
     )
 
 
 def check_unique_combination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rankings = feed_for(spark, sf_dir).stored("raw_rankings")
-    return quality.unique_combination(rankings, joined_key("ranking_date", "player"))
+    return quality.unique_combination(rankings, ["ranking_date", "player"])
 
 
 def check_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,8 +114,8 @@ def check_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = feed_for(spark, sf_dir)
     tables = {
         "tourney_levels": feed.levels.frame,
-        "stg_matches": feed.stg_matches,
-        "stg_players": feed.stg_players,
+        "stg_matches": feed.stored("stg_matches"),
+        "stg_players": feed.stored("stg_players"),
         "int_player_matches": feed.fct_player_matches,
     }
     wanted = ("stg_matches", "int_player_matches")
