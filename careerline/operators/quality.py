@@ -24,9 +24,10 @@ def unique_combination(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
     grouped by the typed parts; the text is built for the violations only.
     """
     complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
-    parts = [F.when(complete, F.col(c)).alias(c) for c in columns]
-    counted = frame.groupBy(*parts).agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    return counted.select(joined_key(*columns).alias("key"), "n")
+    names = [f"_part{i}" for i in range(len(columns))]
+    parts = [F.when(complete, F.col(c)).alias(n) for c, n in zip(columns, names)]
+    counted = frame.groupBy(*parts).agg(F.count("*").alias("_rows")).where(F.col("_rows") > 1)
+    return counted.select(joined_key(*names).alias("key"), F.col("_rows").alias("n"))
 
 
 def not_null(frame: DataFrame, column: str) -> DataFrame:
