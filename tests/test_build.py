@@ -45,6 +45,9 @@ def test_layer_sizes(built):
     _, warehouse = built
     sizes = {n: f.count() for n, f in plan.stored_marts(warehouse).items()}
     assert sizes == {
+        "stg_matches": 6,
+        "stg_players": 6,
+        "stg_rankings": 5,
         "int_player_matches": 12,
         "dim_players": 6,
         "fct_player_matches": 12,
