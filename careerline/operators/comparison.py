@@ -32,7 +32,8 @@ def cohort_pairs(
     right = [F.col(c).alias(n) for n, c in compared.items()]
     with_itself = anchors.where(F.col("_other").isNull()).select(*left, *right)
     others = members.select(F.col(cohort).alias("_other"), *right)
-    return with_itself.unionByName(anchors.select("_other", *left).join(others, "_other").drop("_other"))
+    with_others = anchors.select("_other", *left).join(others, "_other").drop("_other")
+    return with_itself.unionByName(with_others)
 
 
 def counts_up_to_point(

@@ -102,39 +102,40 @@ def build(
 
         side_by_side([partial(write, name) for name in models])
 
-    store(
-        stg_matches=lambda: staging.stg_matches(raw["matches"]),
-        stg_players=lambda: staging.stg_players(raw["players"]),
-        stg_rankings=lambda: staging.stg_rankings(raw["rankings"]),
-    )
-    checks.gate(tables, checks.STAGING)
-
-    store(
-        int_player_matches=lambda: marts.int_player_matches(
-            tables["stg_matches"], tables["stg_players"], levels
-        ),
-        dim_players=lambda: marts.dim_players(tables["stg_players"], roster),
-    )
-    dim = tables["dim_players"]
-    checks.gate(tables, [*checks.INTERMEDIATE, *checks.DIMENSION])
-
-    fct = refresh_fact(warehouse, tables["int_player_matches"], full_refresh)
-    tables["fct_player_matches"] = fct
-    checks.gate(tables, checks.FACT)
-
-    store(
-        mart_no1_weeks=lambda: marts.mart_no1_weeks(tables["stg_rankings"], dim),
-        mart_slam_titles=lambda: marts.mart_slam_titles(fct, dim),
-        mart_big3_era_slams=lambda: marts.mart_big3_era_slams(fct, dim, roster.rows),
-        mart_vs_big3_h2h=lambda: marts.mart_vs_big3_h2h(fct, dim, roster.rows),
-    )
-    no1 = tables["mart_no1_weeks"]
-    store(
-        mart_age_curves=lambda: marts.mart_age_curves(fct, dim, no1, roster.rows),
-        mart_pace_comparison=lambda: marts.mart_pace_comparison(fct, dim, no1, roster.rows),
-    )
-    checks.gate(tables, checks.MARTS)
-    warehouse.publish()
+    with warehouse.publishing():
+        store(
+            stg_matches=lambda: staging.stg_matches(raw["matches"]),
+            stg_players=lambda: staging.stg_players(raw["players"]),
+            stg_rankings=lambda: staging.stg_rankings(raw["rankings"]),
+        )
+        checks.gate(tables, checks.STAGING)
+
+        store(
+            int_player_matches=lambda: marts.int_player_matches(
+                tables["stg_matches"], tables["stg_players"], levels
+            ),
+            dim_players=lambda: marts.dim_players(tables["stg_players"], roster),
+        )
+        dim = tables["dim_players"]
+        checks.gate(tables, [*checks.INTERMEDIATE, *checks.DIMENSION])
+
+        fct = refresh_fact(warehouse, tables["int_player_matches"], full_refresh)
+        fct.createOrReplaceTempView("fct_player_matches")
+        tables["fct_player_matches"] = fct
+        checks.gate(tables, checks.FACT)
+
+        store(
+            mart_no1_weeks=lambda: marts.mart_no1_weeks(tables["stg_rankings"], dim),
+            mart_slam_titles=lambda: marts.mart_slam_titles(fct, dim),
+            mart_big3_era_slams=lambda: marts.mart_big3_era_slams(fct, dim, roster.rows),
+            mart_vs_big3_h2h=lambda: marts.mart_vs_big3_h2h(fct, dim, roster.rows),
+        )
+        no1 = tables["mart_no1_weeks"]
+        store(
+            mart_age_curves=lambda: marts.mart_age_curves(fct, dim, no1, roster.rows),
+            mart_pace_comparison=lambda: marts.mart_pace_comparison(fct, dim, no1, roster.rows),
+        )
+        checks.gate(tables, checks.MARTS)
     return tables
 
 

@@ -92,7 +92,7 @@ INTERMEDIATE = [
         "int_player_matches",
         "relationships",
         ("player_id",),
-        severity="warn",  # some very old players are missing from the master file
+        severity="warn",  # the player file does not reach back to everyone
         options={"parent": "stg_players", "field": "player_id"},
     ),
     Check("int_player_matches", "one_of_each", ("match_id",), options={"flag": "is_win"}),

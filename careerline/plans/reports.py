@@ -23,6 +23,13 @@ METRICS = {
 SCREEN_MIN_MATCHES = 5
 EXPORT_MIN_MATCHES = 10
 
+# Texts next to the figures, and the date format.
+HEADLINE_TEXT = "%s: Grand Slams at %.1f"
+DELTA_TEXT = "%+d vs %s at the same age"
+VIA_TEXT = "%d  (%d beating a Big 3 player)"
+FINALS_TEXT = "won %d of %d"
+DAY_FORMAT = "dd MMM yyyy"
+
 # Column titles of the tables.
 SAME_AGE_TITLES = {
     "player_name": "Player",
@@ -56,7 +63,7 @@ def _titled(frame: DataFrame, titles: Mapping[str, str]) -> DataFrame:
 
 
 def _day_text(date: Column) -> Column:
-    return F.date_format(date, "dd MMM yyyy")
+    return F.date_format(date, DAY_FORMAT)
 
 
 def _outside(frame: DataFrame, column: str, value: str) -> DataFrame:
@@ -81,13 +88,11 @@ def headline(pace: DataFrame) -> DataFrame:
     gap = F.col("slam_titles") - F.col("best_slam_titles")
     return own.join(best, "compared_at_age_of").select(
         "compared_at_age_of",
-        F.format_string(
-            "%s: Grand Slams at %.1f", F.col("compared_at_age_of"), F.col("age")
-        ).alias("label"),
+        F.format_string(HEADLINE_TEXT, "compared_at_age_of", "age").alias("label"),
         "slam_titles",
         "best_player",
         "best_slam_titles",
-        F.format_string("%+d vs %s at the same age", gap, F.col("best_player")).alias("delta"),
+        F.format_string(DELTA_TEXT, gap, "best_player").alias("delta"),
     )
 
 
@@ -175,12 +180,7 @@ def other_champions(era: DataFrame) -> DataFrame:
             through.alias("via_big3"),
             (titles - through).alias("without_big3"),
         )
-        .withColumn(
-            "label",
-            F.format_string(
-                "%d  (%d beating a Big 3 player)", F.col("titles"), F.col("via_big3")
-            ),
-        )
+        .withColumn("label", F.format_string(VIA_TEXT, "titles", "via_big3"))
         .orderBy("titles", "via_big3", "champion")
     )
 
@@ -202,10 +202,7 @@ def challenger_finals(h2h: DataFrame) -> DataFrame:
             F.sum("slam_finals_won").alias("slam_finals_won"),
         )
         .withColumn("slam_finals_lost", F.col("slam_finals") - F.col("slam_finals_won"))
-        .withColumn(
-            "label",
-            F.format_string("won %d of %d", F.col("slam_finals_won"), F.col("slam_finals")),
-        )
+        .withColumn("label", F.format_string(FINALS_TEXT, "slam_finals_won", "slam_finals"))
         .orderBy("slam_finals", "player")
     )
 

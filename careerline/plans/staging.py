@@ -69,7 +69,7 @@ def stg_players(raw: DataFrame) -> DataFrame:
 def stg_rankings(raw: DataFrame) -> DataFrame:
     """One row per player and week: the best rank, then the most points.
 
-    The source files overlap, and some player-weeks come twice with different ranks.
+    Neighbouring files repeat weeks, and now and then with another rank for the same player.
     """
     typed = raw.select(
         strict_date("ranking_date").alias("ranking_date"),

@@ -67,8 +67,10 @@ def conform(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
     extra = [c for c in frame.columns if c not in columns]
     if extra:
         raise ValueError(f"columns not in the table: {extra}")
+    missing = F.lit(None).cast("string")
+    present = set(frame.columns)
     return frame.select(
-        *[F.col(f"`{c}`") if c in frame.columns else F.lit(None).cast("string").alias(c) for c in columns]
+        *[F.col(f"`{c}`") if c in present else missing.alias(c) for c in columns]
     )
 
 
@@ -164,16 +166,18 @@ def ingest(
             e: [f for f in changed if f["entity"] == e] for e in {f["entity"] for f in changed}
         }
         loads = [partial(_load_entity, warehouse, e, files) for e, files in by_entity.items()]
-        counts = {name: n for rows in side_by_side(loads) for name, n in rows.items()}
-        _record(warehouse, manifest, changed, counts)
-        warehouse.publish()
+        with warehouse.publishing():
+            counts = {name: n for rows in side_by_side(loads) for name, n in rows.items()}
+            _record(warehouse, manifest, changed, counts)
     return _tally(f["outcome"] for f in plan)
 
 
 def _record(
     warehouse: Warehouse, manifest: DataFrame, changed: list[Row], counts: dict[str, int]
 ) -> None:
-    rows = [(f["source_file"], f["entity"], f["file_hash"], counts[f["source_file"]]) for f in changed]
+    rows = [
+        (f["source_file"], f["entity"], f["file_hash"], counts[f["source_file"]]) for f in changed
+    ]
     loaded = local_frame(
         warehouse.spark, rows, "source_file string, entity string, file_hash string, row_count long"
     ).withColumn("loaded_at", F.current_timestamp())

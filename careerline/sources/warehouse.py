@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from typing import TypeVar
 
 from pyspark.errors import AnalysisException
@@ -43,12 +44,15 @@ class Warehouse:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
+        self._read_log()
+
+    def _read_log(self) -> None:
         self._live: dict[str, dict[str, str | None]] = {}
         self._columns: dict[str, T.StructType] = {}
         self._version: dict[str, int] = {}  # as published
         self._unpublished: list[tuple] = []
         try:
-            log = spark.read.schema(LOG_SCHEMA).parquet(self._log)
+            log = self.spark.read.schema(LOG_SCHEMA).parquet(self._log)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -155,6 +159,16 @@ class Warehouse:
             self._version[table] = version
         self._unpublished = []
 
+    @contextmanager
+    def publishing(self) -> Iterator[None]:
+        """Publish what the block writes, or none of it when the block fails."""
+        try:
+            yield
+        except BaseException:
+            self._read_log()
+            raise
+        self.publish()
+
     def drop_superseded(self, tables: Iterable[str]) -> None:
         """Delete the folders that no live part points to. Call it when no reader is left."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

@@ -233,8 +233,15 @@ def test_failing_check_stops_the_run(spark, place):
     source, root = place
     before = fact(spark, root)
     feed.write_matches(source, 2024, [*feed.NEW_MATCHES, feed.NEW_MATCHES[0]])
+    warehouse = Warehouse(spark, root)
+    ingest(warehouse, str(source))
     with pytest.raises(checks.DataCheckError, match="stg_matches.match_id.unique"):
-        plan.full_run(spark, str(source), root)
+        plan.build(warehouse)
+    assert fact(spark, root).keys() == before.keys()
+    assert warehouse.read(plan.stored_name("stg_matches")).count() == 6
+    feed.write_matches(source, 2024, feed.NEW_MATCHES)
+    ingest(warehouse, str(source))
+    plan.build(warehouse)
     assert fact(spark, root).keys() == before.keys()
 
 
