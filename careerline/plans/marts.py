@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from careerline.functions import age_year, half_away_round, joined_key, ratio, years_between
@@ -186,6 +186,14 @@ def mart_age_curves(
     )
 
 
+def pace_order() -> list[Column]:
+    return [
+        F.asc_nulls_last("compared_at_age_of"),
+        F.desc_nulls_last("cohort"),
+        F.desc_nulls_last("slam_titles"),
+    ]
+
+
 def mart_pace_comparison(
     fct: DataFrame, dim: DataFrame, no1_weeks: DataFrame, roster_rows: int
 ) -> DataFrame:
@@ -250,11 +258,7 @@ def mart_pace_comparison(
         "match_wins",
         ratio("match_wins", "matches", 3).alias("win_pct"),
         "weeks_at_no1",
-    ).orderBy(
-        F.asc_nulls_last("compared_at_age_of"),
-        F.desc_nulls_last("cohort"),
-        F.desc_nulls_last("slam_titles"),
-    )
+    ).orderBy(*pace_order())
 
 
 def mart_big3_era_slams(fct: DataFrame, dim: DataFrame, roster_rows: int) -> DataFrame:

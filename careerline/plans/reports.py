@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from careerline.operators import best_per_group, last_per_group
-from careerline.plans.marts import ESTABLISHED
+from careerline.plans.marts import ESTABLISHED, pace_order
 
 CHALLENGERS = "Big 3 era challengers"
 OTHER = "Other"
@@ -66,6 +66,10 @@ def _day_text(date: Column) -> Column:
     return F.date_format(date, DAY_FORMAT)
 
 
+def _by_player_and_age() -> list[Column]:
+    return [F.asc_nulls_last("player_id"), F.asc_nulls_last("age_year")]
+
+
 def _outside(frame: DataFrame, column: str, value: str) -> DataFrame:
     """Rows whose ``column`` is not ``value``; a missing value stays in."""
     return frame.where(~F.col(column).eqNullSafe(value))
@@ -105,7 +109,8 @@ def same_age_table(pace: DataFrame, anchor: str | None = None) -> DataFrame:
     """The comparison table, of one newcomer or of all."""
     if anchor is not None:
         pace = pace.where(F.col("compared_at_age_of") == anchor)
-    titled = pace.select("compared_at_age_of", *SAME_AGE_TITLES)
+    ordered = pace.orderBy(*pace_order(), F.asc_nulls_last("player_name"))
+    titled = ordered.select("compared_at_age_of", *SAME_AGE_TITLES)
     return titled.withColumnsRenamed(SAME_AGE_TITLES)
 
 
@@ -139,7 +144,7 @@ def metric_series(
             "titles",
             "slam_titles",
         )
-        .orderBy(F.asc_nulls_last("player_id"), F.asc_nulls_last("age_year"))
+        .orderBy(*_by_player_and_age())
     )
 
 
@@ -155,7 +160,9 @@ def line_ends(series: DataFrame) -> DataFrame:
 
 def curve_table(curves: DataFrame, players: Sequence[str] | None = None) -> DataFrame:
     """The age curves of the picked players."""
-    return curves if players is None else curves.where(F.col("display_name").isin(*players))
+    if players is not None:
+        curves = curves.where(F.col("display_name").isin(*players))
+    return curves.orderBy(*_by_player_and_age())
 
 
 def era_split(era: DataFrame) -> DataFrame:
@@ -186,8 +193,11 @@ def other_champions(era: DataFrame) -> DataFrame:
 
 
 def other_titles(era: DataFrame) -> DataFrame:
-    """Every title from outside, with the established players beaten."""
-    return _outside(era, "champion_group", ESTABLISHED).select(
+    """Every title from outside, oldest first, with the established players beaten."""
+    ordered = _outside(era, "champion_group", ESTABLISHED).orderBy(
+        F.asc_nulls_last("tourney_date")
+    )
+    return ordered.select(
         "season", "tourney_name", "champion", "final_opponent", "big3_beaten"
     )
 

@@ -171,6 +171,12 @@ def test_reports(built):
         ("Sinner", 1, 1, 0, "1  (1 beating a Big 3 player)"),
     ]
     assert [r[3] for r in found["all_titles"]] == ["Alcaraz", "Sinner", "Federer"]
+    assert [r[2] for r in found["other_titles"]] == ["Sinner", "Alcaraz"]
+    assert [r[1] for r in found["same_age_table"]][:4] == ["Alcaraz", "Djokovic", "Federer", "Nadal"]
+    assert [(r[1], r[4]) for r in found["curve_table"]][:3] == [
+        ("Federer", 21), ("Nadal", 17), ("Nadal", 37),
+    ]
+    assert [r[2] for r in found["pace_bars"]][:4] == ["Djokovic", "Federer", "Nadal", "Alcaraz"]
     assert found["challenger_finals"] == []
     assert found["series_win_pct"] == []  # no age with five matches
     assert len(found["series_cum_slam_titles"]) == 7
