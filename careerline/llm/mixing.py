@@ -75,7 +75,7 @@ def mix(
     times. The virtual finish time of a document is the number of words of its queue up to
     its end, divided by the source's target. The mix reads all queues in order of that time, and stops when
     its words reach the budget, which is the virtual time 1; the one document per source that
-    is being read then is cut there, so a source gives its target to the word.
+    is being read then is cut there, so a source gives its target, rounded down.
 
     Returns ``key``, ``size``, ``source``, ``source_size``, ``target``, ``taken`` (words, repeats counted) and
     ``position`` (words read before it is first read; NULL if it is not taken). Documents without
@@ -90,7 +90,7 @@ def mix(
     )
     targets = stored(source_targets(per_source, weights, budget, epochs))
     queued = _queue(sized, per_source, targets, rows_per_slice)
-    whole = F.round("target").cast("long")
+    whole = F.floor("target")
     copies = queued.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     start = F.col("before") + F.col("epoch") * F.col("source_size")
     words = F.greatest(F.lit(0), F.least(F.col("size"), whole - start))

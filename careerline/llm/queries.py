@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careerline.llm import line_dedup, mixing, simhash
+from careerline.llm import line_dedup, mixing, packing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,18 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(docs)
 
 
+def vocabulary() -> str:
+    """The tokenizer whose ids the packed sequences hold."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of at most 1024 tokens."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that the mix takes of every document."""
     return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
@@ -34,6 +46,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
     "op7_simhash": op7_simhash,
 }
