@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careerline.llm import line_dedup, mixing, packing, simhash
+from careerline.llm import fingerprints, html_text, line_dedup, mixing, packing, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,32 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix-hash fingerprints of every document and its edited text."""
+    return fingerprints.fingerprint_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: The rules of the query: verdict, host, path.
+URL_RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return url_filter.judge(pages, URL_RULES).drop("url")
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -48,5 +74,8 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
+    "op4_fingerprints": op4_fingerprints,
+    "op5_url_filter": op5_url_filter,
+    "op6_html_text": op6_html_text,
     "op7_simhash": op7_simhash,
 }
