@@ -25,6 +25,8 @@ POPULATION = 6
 #: Bins filled to this share stay as they are when the rest of all blocks is packed anew.
 WELL_FILLED = 0.98
 SEED = 97
+#: Tasks of one epoch, at most; a task may have several islands.
+MOST_TASKS = 20_000
 #: Room for the bins of a block in a sequence number.
 _BINS_PER_BLOCK = 1 << 24
 
@@ -227,7 +229,9 @@ def pack_items(
     )
     for epoch in range(epochs):
         evolve = _evolution(capacity, generations, population, seed, epoch)
-        evolved = stored(state.groupBy("block", "island").applyInPandas(evolve, _STATE))
+        # An island is a small row and much work, so each gets a task instead of being coalesced by size.
+        dealt_out = state.repartition(min(blocks * islands, MOST_TASKS), "block", "island")
+        evolved = stored(dealt_out.groupBy("block", "island").applyInPandas(evolve, _STATE))
         # The elite of each island joins the population of the next one.
         elite = evolved.select(
             "block",
