@@ -60,6 +60,9 @@ LABELLED = """
 6 0.00 90 0.00 55 0.00 1 0 1
 25 0.00 0 0.00 0 0.00 1 0 1
 11 0.00 30 0.00 28 0.00 1 0 1
+48 0.00 48 0.00 1 1.00 1 0 1
+60 0.05 1 1.00 60 0.00 1 0 1
+35 0.00 2 1.00 1 1.00 1 0 1
 4 0.00 3 1.00 2 1.00 1 0 0
 3 1.00 4 1.00 5 1.00 1 0 0
 8 0.80 3 1.00 9 0.90 1 0 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from careerline.llm.rows import column, unwrapped, wrapped
 from careerline.llm.storage import stored
 
 #: A line on more than this share of a host's pages is boilerplate.
@@ -35,7 +36,7 @@ def boilerplate_lines(
     A line counts once a page. Counts are combined before the shuffle, so a host with a large share of all
     pages sends one row per line and task.
     """
-    pages = docs.select(F.col(host).alias("host"), F.col(text).alias("text"))
+    pages = docs.select(column(host).alias("host"), column(text).alias("text"))
     totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
     keys = F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _line_key)
     on_pages = (
@@ -57,30 +58,29 @@ def drop_boilerplate(
     min_pages: int = MIN_PAGES,
     broadcast_lines: int = BROADCAST_LINES,
 ) -> DataFrame:
-    """``docs`` without the boilerplate lines of their hosts, and the column ``dropped_lines``.
+    """``docs`` without the boilerplate lines of their hosts, and the column ``dropped_lines`` (replaced if there is one).
 
     Lines are cut at ``\\n`` and compared without spaces at their ends; blank lines are never
     boilerplate. Rows with a NULL host form one host. A NULL text stays NULL, a text that loses
     every line becomes empty, and a row is never dropped. Repeated rows are pages of their own.
     """
     flagged = stored(boilerplate_lines(docs, host, text, max_ratio, min_pages))
-    per_host = flagged.groupBy("host").agg(F.collect_list("line").alias("__flagged")).withColumnRenamed("host", "__host")
+    per_host = flagged.groupBy("host").agg(F.collect_list("line").alias("flagged")).withColumnRenamed("host", "of")
+    pages = wrapped(docs, host=host, text=text)
+    same_host = F.col("host").eqNullSafe(F.col("of"))
     if flagged.count() <= broadcast_lines:
-        joined = docs.join(F.broadcast(per_host), docs[host].eqNullSafe(F.col("__host")), "left")
+        joined = pages.join(F.broadcast(per_host), same_host, "left")
     else:
         # Each part of a host's pages meets its own copy of the host's lines.
-        dealt = docs.withColumn("__salt", F.pmod(F.xxhash64(host, text), F.lit(SALTS)).cast("int"))
-        copies = per_host.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = dealt.join(
-            copies, dealt[host].eqNullSafe(F.col("__host")) & (F.col("__salt") == F.col("__part")), "left"
-        )
-    lines = _lines(F.col(text))
-    here = F.array_intersect(F.transform(lines, _line_key), "__flagged")
-    kept = F.filter(lines, lambda x: ~F.array_contains("__here", _line_key(x)))
-    cleaned = joined.withColumn("__here", here).withColumn(
-        "__kept", F.when(F.size("__here") > 0, F.array_join(kept, "\n")).otherwise(F.col(text))
-    )
-    lost = F.when(F.size("__here") > 0, F.size(lines) - F.size(kept)).otherwise(0)
-    return cleaned.select(
-        *(F.col("__kept").alias(text) if c == text else docs[c] for c in docs.columns), lost.alias("dropped_lines")
-    )
+        dealt = pages.withColumn("salt", F.pmod(F.xxhash64("host", "text"), F.lit(SALTS)).cast("int"))
+        copies = per_host.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = dealt.join(copies, same_host & (F.col("salt") == F.col("part")), "left")
+    lines = _lines(F.col("text"))
+    here = F.array_intersect(F.transform(lines, _line_key), "flagged")
+    kept = F.filter(lines, lambda x: ~F.array_contains("here", _line_key(x)))
+    cleaned = joined.withColumn("here", here)
+    has_any = F.size("here") > 0
+    lost = F.when(has_any, F.size(lines) - F.size(kept)).otherwise(0).alias("dropped_lines")
+    left = F.when(has_any, F.array_join(kept, "\n")).otherwise(F.col("text"))
+    columns = [c for c in docs.columns if c != "dropped_lines"]
+    return unwrapped(cleaned, columns, lost, **{text: left})

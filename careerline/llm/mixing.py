@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from careerline.llm.rows import column, unwrapped, wrapped
 from careerline.llm.storage import stored
 
 #: Weights of the sources in order of their names, repeated.
@@ -82,7 +83,7 @@ def mix(
     words are never taken. NULL sources are one source, NULL texts have no words, rows with
     equal keys are documents of their own, and no rows give no rows.
     """
-    sized = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    sized = docs.select(column(key).alias("key"), column(source).alias("source"), word_count(column(text)).alias("size"))
     # Ties of the shuffle are broken by key and size; rows that tie in all are alike.
     sized = stored(sized.withColumn("place", F.xxhash64(F.lit(seed), "key", "size")))
     per_source = stored(
@@ -168,16 +169,16 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     Rows that repeat a key share what the mix takes of that key. The columns stay those of ``docs``.
     """
     found = mix(docs, key, text, source, **options)
-    taken = found.groupBy(F.col(key).alias("__key")).agg(F.sum("taken").alias("__taken"), F.sum("size").alias("__size"))
-    joined = docs.join(taken.where("__taken > 0"), docs[key].eqNullSafe(F.col("__key")))
-    times = F.ceil(F.col("__taken") / F.col("__size")).cast("int")
-    read = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), times)))
-    share = F.col("__taken") / F.col("__size") - (F.col("__copy") - 1)
-    count = F.round(share * word_count(F.col(text))).cast("int")
+    per_key = found.groupBy(F.col(key).alias("of")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("sizes"))
+    rows = wrapped(docs, key=key, text=text)
+    joined = rows.join(per_key.where("taken > 0"), F.col("key").eqNullSafe(F.col("of")))
+    times = F.ceil(F.col("taken") / F.col("sizes")).cast("int")
+    read = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
+    share = F.col("taken") / F.col("sizes") - (F.col("copy") - 1)
+    count = F.round(share * word_count(F.col("text"))).cast("int")
     # Every piece is a word and the white space after it; white space ahead of all is a piece of its own.
-    pieces = F.split(F.col(text), WORD_START, -1)
-    leading = F.col(text).rlike(r"^[\x20\x09-\x0D]").cast("int")
+    pieces = F.split("text", WORD_START, -1)
+    leading = F.col("text").rlike(r"^[\x20\x09-\x0D]").cast("int")
     first_words = F.array_join(F.slice(pieces, F.lit(1), count + leading), "")
-    part = F.when(share >= 1, F.col(text)).when(count > 0, first_words)
-    named = [part.alias(c) if c == text else docs[c] for c in docs.columns]
-    return read.select(*named).where(F.col(text).isNotNull())
+    part = F.when(share >= 1, F.col("text")).when(count > 0, first_words)
+    return unwrapped(read.withColumn("part", part).where("part IS NOT NULL"), docs.columns, **{text: F.col("part")})

@@ -16,7 +16,7 @@ from careerline.llm.textgrams import code_points, document_counts, gram_counts,
 #: Labelled documents that are learned from, at most; taken in order of a hash of their keys.
 LABELLED = 4000
 DIMENSIONS = 64
-NEIGHBOURS = 25
+NEIGHBOURS = 11
 #: Scores from this on are predicted 1.
 THRESHOLD = 0.7
 SEED = 5

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from careerline.llm.components import connected_components
+from careerline.llm.rows import column, unwrapped, wrapped
 from careerline.llm.storage import stored
 
 SHINGLE = 4
@@ -52,7 +53,7 @@ def fingerprint_column(text: str, shingle: int = SHINGLE) -> Column:
         found = np.array([fingerprint(x, shingle) for x in texts], np.uint64)
         return pd.Series(found.view(np.int64))
 
-    return prints(F.col(text))
+    return prints(column(text))
 
 
 def _merge(parent: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
@@ -199,7 +200,7 @@ def near_duplicates(
     fewer words than a shingle are one shingle. Rows with equal keys are kept as they are. A
     NULL key is never the smallest of a component that has others. An empty table gives none.
     """
-    prints = stored(docs.select(F.col(key).alias("id"), fingerprint_column(text, shingle).alias("fp")))
+    prints = stored(docs.select(column(key).alias("id"), fingerprint_column(text, shingle).alias("fp")))
     classes = stored(prints.groupBy("fp").agg(F.min("id").alias("first")))
     members = stored(connected_components(fingerprint_links(classes, radius, tile), "a", "b"))
     linked = members.join(classes, members["node"] == classes["fp"])
@@ -218,7 +219,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options
     component has no other key.
     """
     found = near_duplicates(docs, key, text, **options)
-    chosen = found.select(F.col("component").alias("__kept")).distinct()
-    kept = docs.join(chosen, docs[key].eqNullSafe(F.col("__kept")), "left_semi")
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col(text).asc_nulls_first()))
-    return kept.withColumn("__place", place).where("__place = 1").drop("__place")
+    chosen = found.select(F.col("component").alias("kept")).distinct()
+    rows = wrapped(docs, key=key, text=text)
+    kept = rows.join(chosen, F.col("key").eqNullSafe(F.col("kept")), "left_semi")
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.col("text").asc_nulls_first()))
+    return unwrapped(kept.withColumn("place", place).where("place = 1"), docs.columns)

@@ -1,0 +1,354 @@
+"""Line dedup, mixing, packing, fingerprints and SimHash against brute force and in edge cases."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from tokenizers import Tokenizer
+
+from careerline.llm import fingerprints, line_dedup, mixing, packing, simhash
+from careerline.llm.components import connected_components
+from careerline.llm.queries import vocabulary
+from careerline.llm.tokens import document_ids
+
+SCHEMA = "doc_id long, text string, source string, __key string, host string, length int"
+
+
+def docs_of(spark, rows):
+    """Documents with columns whose names clash with what operators use inside."""
+    return spark.createDataFrame([(k, text, source, "x", "y", 7) for k, text, source in rows], SCHEMA)
+
+
+EDGE_ROWS = [
+    (1, None, None),
+    (2, "", "a"),
+    (3, " \n\t ", "a"),
+    (4, "one", None),
+    (4, "one", None),
+    (None, "two words", "b"),
+    (5, "same line\n" * 40, "b"),
+    (6, "word " * 60_000, "a"),
+    (7, "naïve 日本語 text with\tspace", "ü"),
+]
+
+
+@pytest.fixture(scope="module")
+def sample(spark):
+    folder = "/root/testdata/sf0.001"
+    return [
+        (r["doc_id"], r["text"], r["source"])
+        for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "source").collect()
+    ]
+
+
+# --- line dedup ------------------------------------------------------------------------------
+
+
+def lines_by_hand(rows, max_ratio, min_pages):
+    pages, on_pages = Counter(), Counter()
+    for _, text, source in rows:
+        pages[source] += 1
+        for line in {x.strip(" ") for x in (text or "").split("\n")} - {""}:
+            on_pages[source, line] += 1
+    bad = {k for k, n in on_pages.items() if n >= min_pages and n > pages[k[0]] * max_ratio}
+    out = []
+    for key, text, source in rows:
+        if text is None:
+            out.append((key, None, 0))
+            continue
+        lines = text.split("\n")
+        kept = [x for x in lines if (source, x.strip(" ")) not in bad]
+        out.append((key, "\n".join(kept), len(lines) - len(kept)))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("broadcast_lines", [0, 1000])
+def test_lines_match_brute_force(spark, sample, broadcast_lines):
+    rows = [*EDGE_ROWS, *sample, *[(100_000 + k, f"shared line\nown {k}\n\n shared line ", None) for k in range(8)]]
+    found = line_dedup.drop_boilerplate(docs_of(spark, rows), max_ratio=0.2, min_pages=3, broadcast_lines=broadcast_lines)
+    got = Counter((r["doc_id"], r["text"], r["dropped_lines"]) for r in found.collect())
+    assert got == lines_by_hand(rows, 0.2, 3)
+    assert found.columns == [*docs_of(spark, rows[:1]).columns, "dropped_lines"]
+
+
+def test_lines_of_an_empty_table(spark):
+    assert line_dedup.drop_boilerplate(docs_of(spark, [])).count() == 0
+
+
+# --- mixing ----------------------------------------------------------------------------------
+
+
+def test_shares_stop_at_the_epochs():
+    assert mixing._share_out([10, 1000, 0], [5, 2, 1], 1010, 3) == [30.0, 980.0, 0.0]
+    assert mixing._share_out([], [], 0, 3) == []
+    assert sum(mixing._share_out([100, 200, 300, 50], [5, 2, 1, 5], 650, 3)) == pytest.approx(650)
+
+
+def words(text):
+    return len((text or "").encode().split())
+
+
+def test_mix_meets_targets_and_agrees_with_itself(spark, sample):
+    rows = [*EDGE_ROWS, *sample]
+    docs = docs_of(spark, rows)
+    first = [r.asDict() for r in mixing.mix(docs, rows_per_slice=7).collect()]
+    again = [r.asDict() for r in mixing.mix(docs.repartition(3), rows_per_slice=7).collect()]
+    key = lambda r: (r["doc_id"] or -1, r["size"], r["taken"])
+    drop = lambda r: (*key(r), r["source"], r["target"])
+    assert sorted(map(drop, first), key=str) == sorted(map(drop, again), key=str)
+    assert Counter((r["doc_id"], r["size"]) for r in first) == Counter((k, words(t)) for k, t, _ in rows)
+    names = sorted({s for *_, s in rows}, key=lambda s: (s is None, (s or "").encode()))
+    sizes = [sum(words(t) for _, t, s in rows if s == name) for name in names]
+    targets = mixing._share_out(sizes, [(5, 2, 1)[k % 3] for k in range(len(names))], sum(sizes), 3)
+    for name, size, target in zip(names, sizes, targets, strict=True):
+        mine = [r for r in first if r["source"] == name]
+        assert {r["source_size"] for r in mine} == {size}
+        assert mine[0]["target"] == pytest.approx(target)
+        assert sum(r["taken"] for r in mine) == math.floor(mine[0]["target"])
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in first)
+    placed = [r["position"] for r in first if r["position"] is not None]
+    assert len(set(placed)) == len(placed) and min(placed) == 0
+    assert all((r["position"] is None) == (r["taken"] == 0) for r in first)
+
+
+def test_slices_follow_the_shuffle(spark, sample):
+    """How finely a queue is cut does not change what is taken."""
+    docs = docs_of(spark, sample)
+    took = lambda n: sorted((r["doc_id"], r["taken"]) for r in mixing.mix(docs, rows_per_slice=n).collect())
+    assert took(2) == took(10_000)
+
+
+def test_mixed_documents_hold_the_words_taken(spark, sample):
+    rows = [*EDGE_ROWS[:4], *[(k + 50, t, s) for k, t, s in sample]]
+    docs = docs_of(spark, rows)
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect()}
+    got = defaultdict(int)
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    whole = {k: t for k, t, _ in rows}
+    for r in mixed.collect():
+        got[r["doc_id"]] += words(r["text"])
+        assert whole[r["doc_id"]].startswith(r["text"])
+    assert got == {k: n for k, n in taken.items() if n}
+
+
+def test_mix_of_an_empty_table(spark):
+    assert mixing.mix(docs_of(spark, [])).count() == 0
+    assert mixing.mixed_documents(docs_of(spark, [])).count() == 0
+
+
+# --- packing ---------------------------------------------------------------------------------
+
+ODD_TEXTS = ["", "a", "\n", " a", "a ", "a\n\nb", "a  b", "x\ty", "<|endoftext|>", "it's we'll don't\nstop 's", "日本 語", "a b", "a\x1cb", "1 234\n5", "   x", "a\r\nb", "end \n", "\U0001f600 é"]
+
+
+def test_ids_are_those_of_the_tokenizer_file(sample):
+    reference = Tokenizer.from_file(vocabulary())
+    for text in [*ODD_TEXTS, *[t for _, t, _ in sample[:80]]]:
+        assert list(document_ids(text, vocabulary())) == [*reference.encode(text, add_special_tokens=False).ids, 2], text
+
+
+def test_packing_is_whole_gapless_and_tight(spark, sample):
+    rows = [*EDGE_ROWS, *sample, *sample[:30]]
+    found = packing.pack_documents(docs_of(spark, rows), vocabulary(), keep_ids=True).collect()
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in found:
+        by_doc[r["doc_id"]].append(r)
+        by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
+        assert 1 <= r["length"] <= 1024 and len(r["ids"]) == 4 * r["length"]
+        assert r["ids_crc32"] == zlib.crc32(r["ids"])
+    for places in by_sequence.values():
+        places.sort()
+        assert [a for a, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))]
+        assert sum(n for _, n in places) <= 1024
+    texts = defaultdict(list)
+    for key, text, _ in rows:
+        texts[key].append(document_ids(text, vocabulary()).tobytes())
+    for key, coded in texts.items():
+        pieces = sorted(by_doc[key], key=lambda r: (r["piece"], r["length"]))
+        assert sum(len(x) for x in coded) == sum(len(r["ids"]) for r in pieces)
+        if len(coded) == 1:
+            assert b"".join(r["ids"] for r in pieces) == coded[0]
+            assert all(r["length"] == 1024 for r in pieces[1:])
+            assert [r["start"] for r in pieces] == [sum(p["length"] for p in pieces[:k]) for k in range(len(pieces))]
+    total = sum(r["length"] for r in found)
+    assert len(by_sequence) <= math.ceil(total / 1024) * 1.02 + 2
+
+
+def test_evolution_beats_or_meets_best_fit():
+    rng = np.random.default_rng(4)
+    sizes = sorted(rng.integers(200, 500, 90).tolist(), reverse=True)
+    islander = packing.Islander(sizes, 1000, rng)
+    founders = [islander.founder(0.0 if k == 0 else 0.05) for k in range(6)]
+    plain = islander.cost(founders[0])
+    best = islander.evolve(founders, 60, 6)[0]
+    assert islander.cost(best) <= plain
+    assert sorted(i for members in best for i in members) == list(range(90))
+    assert max(sum(sizes[i] for i in members) for members in best) <= 1000
+
+
+def test_many_blocks_and_repacked_rest(spark):
+    rows = [(k, 1 + (k * 7919) % 600) for k in range(400)]
+    pieces = spark.createDataFrame(rows, "name long, length long")
+    found = packing.pack(pieces, 1024, block=50, generations=2, population=3).collect()
+    assert sorted((r["name"], r["length"]) for r in found) == rows
+    fills = Counter()
+    for r in found:
+        fills[r["sequence_id"]] += r["length"]
+    assert max(fills.values()) <= 1024 and len(fills) <= math.ceil(sum(n for _, n in rows) / 1024) * 1.05 + 1
+
+
+def test_wrong_lengths_and_no_rows(spark):
+    with pytest.raises(ValueError):
+        packing.pack(spark.createDataFrame([(1, 2000)], "name long, length long"))
+    assert packing.pack_documents(docs_of(spark, []), vocabulary()).count() == 0
+
+
+# --- fingerprints ----------------------------------------------------------------------------
+
+
+def test_spans_and_extensions_by_hash():
+    text = "the cat sat; the cat ran; " * 3
+    codes = fingerprints.code_points(text)
+    prefix = fingerprints.prefix_hashes(codes)
+    for i, j in ((0, 13), (0, 26), (4, 17), (1, 2)):
+        expected = next((k for k in range(len(text) - j) if text[i + k] != text[j + k]), len(text) - j)
+        assert fingerprints.common_extension(prefix, i, prefix, j) == expected
+    assert fingerprints.span_hash(prefix, 0, 8) == fingerprints.span_hash(prefix, 13, 21)
+
+
+def test_prefix_hashes_of_long_texts_by_hand():
+    codes = fingerprints.code_points("ab\U0001f600" * 30_000)
+    prime, base, total, power = fingerprints.PRIMES[1], fingerprints.BASES[1], 0, 1
+    for code in codes.tolist():
+        total, power = (total + (code + 1) * power) % prime, power * base % prime
+    assert int(fingerprints.prefix_hashes(codes, 1)[-1]) == total
+
+
+def test_fingerprints_match_brute_force(spark, sample):
+    rows = [*EDGE_ROWS[1:4], *EDGE_ROWS[5:], *[(k + 50, t, s) for k, t, s in sample]]
+    found = fingerprints.fingerprint_documents(docs_of(spark, rows), ranges=9).collect()
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    assert len(found) == len(rows)
+    got = {r["doc_id"]: r for r in found}
+    for k, (key, text, _) in enumerate(ordered):
+        text, following = text or "", ordered[(k + 1) % len(ordered)][1] or ""
+        edited = fingerprints.edited_text(text, following)
+        r = got[key]
+        assert r["n_chars"] == len(text)
+        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert r["fingerprint"] == fingerprints.fingerprint(text)
+        assert r["edited_fingerprint"] == fingerprints.fingerprint(edited)
+        assert r["near_edited"] == fingerprints.likeness(r["fingerprint"], r["edited_fingerprint"])
+        assert r["near_next"] == fingerprints.likeness(r["fingerprint"], fingerprints.fingerprint(following))
+        assert 0 <= r["near_next"] <= 1 and (r["near_edited"] == 1) == (edited == text)
+        if len(text) > 2 and edited != text:
+            assert 0.4 <= r["near_edited"] < 1
+
+
+def test_fingerprints_of_few_rows(spark):
+    assert fingerprints.fingerprint_documents(docs_of(spark, [])).count() == 0
+    (one,) = fingerprints.fingerprint_documents(docs_of(spark, [(3, "abcdef", "s")])).collect()
+    assert one["edited_sha256"] == hashlib.sha256(b"abcabc").hexdigest() and one["near_next"] == 1
+    twice = fingerprints.fingerprint_documents(docs_of(spark, [(3, None, "s"), (3, "ab", "s"), (None, "xy", "s")]))
+    assert sorted((r["doc_id"] or 0, r["n_chars"]) for r in twice.collect()) == [(0, 2), (3, 0), (3, 2)]
+
+
+def test_likeness_of_edits():
+    text = "".join(chr(97 + (k * k) % 26) for k in range(1000))
+    like = lambda other: fingerprints.likeness(fingerprints.fingerprint(text), fingerprints.fingerprint(other))
+    assert like(text) == 1
+    assert like(text[:500] + "!" + text[500:]) > 0.9
+    assert like("".join(reversed(text))) < 0.1
+    assert like("") == 0
+
+
+# --- SimHash ---------------------------------------------------------------------------------
+
+
+def fingerprint_by_hand(text, width=4):
+    found = (text or "").encode().lower().split()
+    if not found:
+        return 0
+    shingles = [found] if len(found) < width else [found[k : k + width] for k in range(len(found) - width + 1)]
+    hashes = [xxhash.xxh64(b" ".join(s), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components_by_hand(keys, prints, radius=4):
+    root = list(range(len(prints)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(prints)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= radius:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    least = defaultdict(lambda: None)
+    for k, key in enumerate(keys):
+        r = find(k)
+        least[r] = key if least[r] is None else least[r] if key is None else min(least[r], key)
+    return [least[find(k)] for k in range(len(keys))]
+
+
+@pytest.mark.parametrize("tile", [3, 4096])
+def test_near_duplicates_match_brute_force(spark, sample, tile):
+    copies = [(500_000 + k, sample[k % 20][1] + (" tail" if k % 3 else ""), "c") for k in range(60)]
+    rows = [*EDGE_ROWS, *sample, *copies]
+    found = simhash.near_duplicates(docs_of(spark, rows), tile=tile).collect()
+    prints = [fingerprint_by_hand(text) for _, text, _ in rows]
+    expected = components_by_hand([k for k, *_ in rows], prints)
+    got = Counter((r["doc_id"], r["fp"] % (1 << 64), r["component"]) for r in found)
+    assert got == Counter(zip([k for k, *_ in rows], prints, expected, strict=True))
+
+
+def test_tiles_find_what_all_pairs_find():
+    rng = np.random.default_rng(8)
+    centres = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 4), replace=False)) for _ in range(600)], np.uint64)
+    prints = np.unique(centres[rng.integers(0, 12, 600)] ^ flips)
+    a, b = simhash.tile_forest(prints, None, 4)
+    assert len(a) < len(prints)
+    assert (np.bitwise_count(a ^ b) <= 64).all()
+    links = defaultdict(set)
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        links[x].add(y)
+        links[y].add(x)
+
+    def reach(x):
+        seen, todo = {x}, [x]
+        while todo:
+            for y in links[todo.pop()] - seen:
+                seen.add(y)
+                todo.append(y)
+        return min(seen)
+
+    expected = components_by_hand(prints.tolist(), prints.tolist())
+    assert [reach(x) for x in prints.tolist()] == expected
+
+
+def test_one_document_of_each_group_stays(spark):
+    base = " ".join(f"w{k}" for k in range(300))
+    rows = [(9, base, "a"), (3, base, "a"), (3, base, "b"), (5, base + " end", "a"), (7, None, "a"), (8, "", "a"), (10, "other words entirely here now", "a")]
+    kept = simhash.keep_one(docs_of(spark, rows))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 7, 10]
+    assert kept.columns == docs_of(spark, rows[:1]).columns
+    assert simhash.keep_one(docs_of(spark, [])).count() == 0
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    pairs = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
+    found = connected_components(spark.createDataFrame(pairs, "x long, y long"), "x", "y")
+    got = {r["node"]: r["component"] for r in found.collect()}
+    expected = {k: 0 for k in range(41)} | {k: 100 for k in range(100, 160)} | {200: 200, 201: 200}
+    assert got == expected
