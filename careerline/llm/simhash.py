@@ -218,9 +218,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options
     Of rows that repeat a key the first by text stays. Rows with a NULL key stay only where a
     component has no other key.
     """
-    found = near_duplicates(docs, key, text, **options)
+    found = stored(near_duplicates(docs, key, text, **options))
     chosen = found.select(F.col("component").alias("kept")).distinct()
     rows = wrapped(docs, key=key, text=text)
-    kept = rows.join(chosen, F.col("key").eqNullSafe(F.col("kept")), "left_semi")
+    # An equality on the key itself: the window below reads the same shuffle.
+    kept = rows.join(chosen, F.col("key") == F.col("kept"), "left_semi")
+    if not chosen.where("kept IS NULL").isEmpty():
+        kept = kept.unionByName(rows.where("key IS NULL"))
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.col("text").asc_nulls_first()))
     return unwrapped(kept.withColumn("place", place).where("place = 1"), docs.columns)
