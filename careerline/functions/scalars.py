@@ -15,39 +15,55 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,4})?\s*$"
+_DIGITS = {"int": 9, "bigint": 18}
+_LARGEST = {"int": "2147483647", "bigint": "9223372036854775807"}
+
+
 def try_number(text: Column | str, to: str = "int") -> Column:
     """Text to a whole number, rounded half away from zero; NULL when the text is no number.
 
-    Digits take the cheap cast. Text with a fraction or an exponent goes through a decimal: cast
-    straight to a whole number it fails, and a failing cast costs an exception per row.
+    A failing cast costs an exception per row, so only text is cast that looks like a number.
+    Few digits take the cheap cast; fractions, exponents and long digits go through a decimal.
     """
     text = blank_to_null(text)
-    fractional = text.contains(".") | text.contains("e") | text.contains("E")
-    rounded = F.round(text.try_cast("decimal(38,10)")).try_cast(to)
-    return F.when(fractional, rounded).otherwise(text.try_cast(to))
+    few = (F.length(text) <= _DIGITS[to]) & text.rlike(r"^\d+$")
+    number = F.when(text.rlike(_NUMBER), text).try_cast("decimal(38,10)")
+    whole = F.round(number)
+    largest = F.lit(_LARGEST[to]).cast("decimal(38,10)")
+    rounded = F.when(whole.between(-largest - 1, largest), whole).try_cast(to)
+    return F.when(few, F.when(few, text).cast(to)).otherwise(rounded)
+
+
+def _plain_date(text: Column) -> Column:
+    """Eight digits taken apart as a number, several times faster than the pattern parser; NULL
+    where they are no day of the calendar or not eight digits."""
+    digits = (F.length(text) == 8) & text.rlike(r"^[0-9]+$")
+    number = F.when(digits, text).cast("int")
+    day = number % 100
+    month = ((number - day) / 100).cast("int") % 100
+    year = ((number - month * 100 - day) / 10000).cast("int")
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    last = (
+        F.when(month == 2, F.when(leap, 29).otherwise(28))
+        .when(month.isin(4, 6, 9, 11), 30)
+        .otherwise(31)
+    )
+    exists = (year >= 1) & month.between(1, 12) & (day >= 1) & (day <= last)
+    return F.when(exists, F.make_date(year, F.when(exists, month), F.when(exists, day)))
 
 
 def strict_date(text: Column | str) -> Column:
-    """``yyyyMMdd`` text to a date. A bad value is an error (ANSI mode, Spark's default).
-
-    Eight digits are taken apart as a number, which is several times faster than the pattern
-    parser; everything else is left to the parser.
-    """
+    """``yyyyMMdd`` text to a date. A bad value is an error, with or without ANSI mode."""
     text = _col(text)
-    plain = (F.length(text) == 8) & (text >= "0") & (text < ":")  # ':' follows '9'
-    number = text.cast("int")
-    month_day = number % 10000
-    date = F.make_date(
-        ((number - month_day) / 10000).cast("int"),
-        ((month_day - number % 100) / 100).cast("int"),
-        number % 100,
-    )
-    return F.when(plain, date).otherwise(F.to_date(text, DATE_FORMAT))
+    found = _plain_date(text)
+    wrong = F.raise_error(F.concat(F.lit("not a yyyyMMdd date: "), text)).cast("date")
+    return F.when(found.isNull() & text.isNotNull(), wrong).otherwise(found)
 
 
 def lenient_date(text: Column | str) -> Column:
-    """``yyyyMMdd`` text to a date. A bad value becomes NULL."""
-    return F.try_to_date(_col(text), DATE_FORMAT)
+    """``yyyyMMdd`` text to a date. A bad value becomes NULL, without an exception per row."""
+    return _plain_date(_col(text))
 
 
 def blank_to_null(text: Column | str) -> Column:

@@ -66,7 +66,7 @@ def refresh_fact(warehouse: Warehouse, source: DataFrame, full_refresh: bool = F
         warehouse.replace_parts(FACT, source, season, concerned, rebalance=True)
         return warehouse.read(FACT)
     target = warehouse.read(FACT)
-    newest = target.agg(F.max(FACT_DATE)).first()[0]  # as a literal it prunes both scans
+    newest = target.agg(F.max(FACT_DATE)).first()[0]  # a literal skips row groups of both scans
     window = source.where(F.col(FACT_DATE) >= F.date_sub(F.lit(newest).cast("date"), TRAILING_DAYS))
     replaced = target.join(window.select(FACT_KEY), FACT_KEY, "left_semi")
     concerned = _seasons(window, replaced)
@@ -156,4 +156,5 @@ def full_run(
     warehouse = Warehouse(spark, root)
     log.info("load: %s", ingest(warehouse, source_dir, min_year))
     build(warehouse, full_refresh, roster)
+    warehouse.drop_superseded()
     return reports.all_reports(stored_marts(warehouse))

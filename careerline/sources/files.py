@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from careerline.operators import keep_first, local_frame
@@ -18,8 +18,8 @@ ENTITY_PATTERNS = {
 
 FILE_SCHEMA = "path string, length long, source_file string, entity string"
 
-# Up to this size a file is hashed as a whole, in one task. Larger ones are read in splits.
-WHOLE_FILE_BYTES = 256 * 1024 * 1024
+# Stands before every hash in the manifest, so that another way of hashing reloads the files.
+ALGORITHM = "lines-1"
 
 
 def base_name(path: Column) -> Column:
@@ -65,72 +65,82 @@ def discover(spark: SparkSession, source_dir: str, min_year: int) -> DataFrame:
     return keep_first(recognised(listed, min_year), ["source_file"], [F.desc("path")])
 
 
-def whole_file_prints(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(source_file, file_hash, header, quoted_newline): SHA-256 over the bytes of each file."""
-    files = spark.read.format("binaryFile").load(paths)
-    text = F.col("content").cast("string")
-    return files.select(
-        base_name(F.col("path")).alias("source_file"),
-        F.sha2("content", 256).alias("file_hash"),
-        F.substring_index(text, "\n", 1).alias("header"),
-        text.contains('"').alias("quoted_newline"),  # possibly; parsing it as a whole is cheap
-    )
-
-
-def line_digest(
-    lines: DataFrame, group: list[str], line: str, facts: Sequence[Column] = ()
-) -> DataFrame:
-    """``group`` and a SHA-256 digest of the bag of lines of each group, with other ``facts``.
-
-    Every line is hashed on its own and the hashes are added up, so the work splits over tasks
-    and is combined before the shuffle. The order of the lines does not count, as it does not
-    count in the table they become.
-    """
-    hashed = lines.withColumn("_hash", F.sha2(F.col(line), 256))
-
-    def slice_sum(start: int) -> Column:
-        digits = F.conv(F.substring("_hash", start, 15), 16, 10)
-        return F.sum(digits.cast("decimal(38,0)")).cast("string")
-
-    bag = F.concat_ws("-", F.count("*").cast("string"), slice_sum(1), slice_sum(16))
-    return hashed.groupBy(*group).agg(F.sha2(bag, 256).alias("file_hash"), *facts)
+def _slices(line: Column) -> list[Column]:
+    """Two 60-bit numbers of the SHA-256 of the bytes of a line."""
+    digest = F.sha2(line.cast("binary"), 256)
+    return [
+        F.conv(F.substring(digest, start, 15), 16, 10).cast("decimal(19,0)") for start in (1, 16)
+    ]
 
 
-def split_file_prints(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The same columns for files that are too large for one task, read in splits.
+def file_prints(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, file_hash, header, quoted_newline) of every file that is not empty.
 
-    An odd number of quotes on a line tells that a quoted field runs over the line end.
+    The hash is one for all sizes. It covers the file's length and, for the lines between line
+    feeds, the sum of their hashes and the sum of the hashes times the line numbers. So it depends
+    on every byte and its place, and still adds up: each split of a file is summed on its own,
+    and one row per split says how many lines lie before it. An odd number of quotes on a
+    line tells that a quoted field runs over the line end.
     """
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_name").alias("source_file"),
+    # With a given separator the reader leaves carriage returns where they are.
+    lines = spark.read.option("lineSep", "\n").text(paths).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_block_start").alias("start"),
         "value",
-        F.when(
-            F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()
-        ).alias("_first_split_order"),
+        F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place"),
     )
+    h, g = _slices(F.col("value"))
+    numbered = lines.withColumn("h", h).withColumn("g", g)
+    place = F.col("place").cast("decimal(11,0)")
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    facts = [
-        F.min_by("value", "_first_split_order").alias("header"),
-        (F.max(quotes % 2) == 1).alias("quoted_newline"),
+    splits = numbered.groupBy("path", "start").agg(
+        F.max("size").alias("size"),
+        F.count("*").alias("n"),
+        F.min("place").alias("first"),
+        F.sum("h").alias("h"),
+        F.sum("g").alias("g"),
+        F.sum(F.col("h") * place).alias("hp"),
+        F.sum(F.col("g") * place).alias("gp"),
+        F.min_by("value", "place").alias("header"),
+        F.max(quotes % 2).alias("odd"),
+    )
+    earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")
+    placed = splits.withColumn("shift", shift.cast("decimal(11,0)"))
+    sums = [
+        F.max("size"),
+        F.sum("n"),
+        F.sum("h"),
+        F.sum("g"),
+        F.sum(F.col("hp") + F.col("shift") * F.col("h")),
+        F.sum(F.col("gp") + F.col("shift") * F.col("g")),
     ]
-    return line_digest(lines, ["source_file"], "value", facts)
+    return placed.groupBy("path").agg(
+        _named_hash(sums).alias("file_hash"),
+        F.min_by("header", "start").alias("header"),
+        (F.max("odd") == 1).alias("quoted_newline"),
+    )
 
 
-def fingerprint(
-    spark: SparkSession, files: list[Row], whole_file_bytes: int = WHOLE_FILE_BYTES
-) -> DataFrame:
+def _named_hash(sums: Sequence[Column]) -> Column:
+    """The sums of a file as the hash that the manifest keeps."""
+    text = F.concat_ws("-", *[x.cast("string") for x in sums])
+    return F.concat(F.lit(f"{ALGORITHM}:"), F.sha2(text, 256))
+
+
+def fingerprint(spark: SparkSession, files: list[Row]) -> DataFrame:
     """``files`` (rows of ``discover``) with file_hash, header and quoted_newline.
 
     The list holds one entry per file, as Spark's own file index does.
     """
-    small = [f["path"] for f in files if f["length"] <= whole_file_bytes]
-    large = [f["path"] for f in files if f["length"] > whole_file_bytes]
-    prints = []
-    if small:
-        prints.append(whole_file_prints(spark, small))
-    if large:
-        prints.append(split_file_prints(spark, large))
-    content = prints[0] if len(prints) == 1 else prints[0].unionByName(prints[1])
+    prints = file_prints(spark, [f["path"] for f in files])
+    content = prints.withColumn("source_file", base_name(F.col("path"))).drop("path")
     known = local_frame(spark, files, FILE_SCHEMA)
-    clean_header = F.regexp_replace("header", "^\ufeff|\r$", "")
-    return known.join(content, "source_file").withColumn("header", clean_header)
+    empty = _named_hash([F.lit(0)] * 6)
+    return known.join(content, "source_file", "left").select(
+        *known.columns,
+        F.coalesce("file_hash", empty).alias("file_hash"),
+        F.regexp_replace(F.coalesce("header", F.lit("")), "^\ufeff|\r$", "").alias("header"),
+        F.coalesce("quoted_newline", F.lit(False)).alias("quoted_newline"),
+    )

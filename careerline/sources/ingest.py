@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from careerline.operators import local_frame
-from careerline.sources.files import WHOLE_FILE_BYTES, discover, fingerprint
+from careerline.sources.files import discover, fingerprint
 from careerline.sources.warehouse import Warehouse, side_by_side
 
 MANIFEST = "raw/manifest"
@@ -84,8 +84,8 @@ def read_text_csv(
     """Every column as text. All ``paths`` must have the same header.
 
     Spark assigns CSV columns by position, so files with other headers need a read of their own.
-    ``whole`` allows line ends inside quotes, which makes a file a single task; files too large
-    for that are read in splits when they have none. Broken rows are an error.
+    ``whole`` allows line ends inside quotes, which makes a file a single task; files without such
+    line ends are read in splits. Broken rows are an error.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     return (
@@ -147,19 +147,14 @@ def read_manifest(warehouse: Warehouse) -> DataFrame:
     return warehouse.spark.createDataFrame([], MANIFEST_SCHEMA)
 
 
-def ingest(
-    warehouse: Warehouse,
-    source_dir: str,
-    min_year: int = 1990,
-    whole_file_bytes: int = WHOLE_FILE_BYTES,
-) -> dict[str, int]:
+def ingest(warehouse: Warehouse, source_dir: str, min_year: int = 1990) -> dict[str, int]:
     """Load what is new or changed below ``source_dir``; returns files per outcome."""
     spark = warehouse.spark
     files = discover(spark, source_dir, min_year).collect()  # one row per file
     if not files:
         raise ValueError(f"no source files found in {source_dir}")
     manifest = read_manifest(warehouse)
-    plan = plan_load(fingerprint(spark, files, whole_file_bytes), manifest).collect()
+    plan = plan_load(fingerprint(spark, files), manifest).collect()
     changed = sorted((f for f in plan if f["outcome"] != "skipped"), key=lambda f: f["path"])
     if changed:
         by_entity = {

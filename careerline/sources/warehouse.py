@@ -1,17 +1,19 @@
 """Parquet tables whose snapshots replace each other in one step.
 
 Plain Parquet folders have no transactions, and a table must not be overwritten while the same
-plan reads it. So every write goes to a new folder, and ``publish`` appends one file to a commit
-log that makes all writes since the last one visible together. A run that dies before that
-leaves the old snapshots in place, and the next run writes over its unpublished folders. A table
-is either one snapshot or a set of parts (seasons, source files) that are replaced one by one.
-One writing process at a time is assumed; its own threads may write different tables.
+plan reads it. So every write goes to a folder of its own that no other write can name, and
+``publish`` appends one file to a commit log that makes all writes since the last one visible
+together. A run that dies before that leaves the old snapshots in place. A table is either one
+snapshot or a set of parts (seasons, source files) that are replaced one by one. One writer at a
+time is meant, whose threads may write different tables; a handle that was opened before somebody
+else published a table it writes is refused.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
@@ -98,7 +100,7 @@ class Warehouse:
         This session sees it at once, others after ``publish``.
         """
         folder = self._next_folder(table)
-        frame.write.mode("overwrite").parquet(folder)
+        frame.write.parquet(folder)
         self._written(table, frame.schema, {WHOLE: folder})
         return self.read(table)
 
@@ -125,7 +127,7 @@ class Warehouse:
         tagged = frame.withColumn("_part", part.cast("string"))
         if rebalance:
             tagged = tagged.hint("rebalance", F.col("_part"))
-        tagged.write.mode("overwrite").partitionBy("_part").parquet(folder)
+        tagged.write.partitionBy("_part").parquet(folder)
         stored = self.spark.read.schema(T.StructType().add("_part", "string")).parquet(folder)
         rows = {r["_part"]: r["count"] for r in stored.groupBy("_part").count().collect()}
         unexpected = sorted(set(rows) - set(wanted))
@@ -139,7 +141,7 @@ class Warehouse:
     def _next_folder(self, table: str) -> str:
         if any(line[0] == table for line in self._unpublished):
             raise ValueError(f"{table} is written already; publish first")
-        return f"{self.root}/{table}/v{self._version.get(table, 0) + 1:06d}"
+        return f"{self.root}/{table}/v{self._version.get(table, 0) + 1:06d}-{uuid.uuid4().hex}"
 
     def _written(self, table: str, schema: T.StructType, parts: dict[str, str | None]) -> None:
         version = self._version.get(table, 0) + 1
@@ -152,6 +154,10 @@ class Warehouse:
         """Make everything written since the last call visible, in one step."""
         if not self._unpublished:
             return
+        published = Warehouse(self.spark, self.root)._version
+        moved = {t for t, *_ in self._unpublished if published.get(t) != self._version.get(t)}
+        if moved:
+            raise RuntimeError(f"published by another writer in the meantime: {sorted(moved)}")
         lines = local_frame(self.spark, self._unpublished, LINE_SCHEMA)
         log = lines.withColumn("committed_at", F.current_timestamp())
         log.coalesce(1).write.mode("append").parquet(self._log)
@@ -169,14 +175,18 @@ class Warehouse:
             raise
         self.publish()
 
-    def drop_superseded(self, tables: Iterable[str]) -> None:
-        """Delete the folders that no live part points to. Call it when no reader is left."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+    def drop_superseded(self, tables: Iterable[str] | None = None) -> None:
+        """Delete published folders that no published part points to any more, of all tables or of
+        the named ones. Call it when nobody reads older snapshots."""
+        if self._unpublished:
+            raise ValueError("publish before folders are dropped")
+        published = Warehouse(self.spark, self.root)
+        wanted = sorted(published._live if tables is None else tables)
+        live = {folder for t in wanted for folder in published._live[t].values() if folder}
         log = self.spark.read.schema(LOG_SCHEMA).parquet(self._log)
-        wanted = list(tables)
-        for row in log.where(F.col("table_name").isin(wanted)).select(
-            "table_name", "folder"
-        ).distinct().collect():  # one row per part and version
-            if row["folder"] and row["folder"] not in self._live[row["table_name"]].values():
+        old = log.where(F.col("table_name").isin(wanted) & F.col("folder").isNotNull())
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for row in old.select("folder").distinct().collect():  # one row per part and version
+            if row["folder"] not in live:
                 path = jvm.org.apache.hadoop.fs.Path(row["folder"])
                 path.getFileSystem(conf).delete(path, True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,12 +24,10 @@ from careerline.functions import (
 )
 from careerline.operators import (
     as_role,
-    best_per_group,
     cohort_pairs,
     counts_up_to_point,
     head_to_head,
     keep_first,
-    last_per_group,
     ordered_list,
     quality,
     running_totals,
@@ -36,7 +35,7 @@ from careerline.operators import (
     two_sided,
 )
 from careerline.sources import ingest
-from careerline.sources.files import line_digest, recognised
+from careerline.sources.files import file_prints, recognised
 from registry.feed import feed_for
 
 NATIONS = 25  # fixed size of the nation table
@@ -260,25 +259,43 @@ def _season_file(date: str) -> Column:
     return F.concat(F.lit("atp_matches_"), F.year(date).cast("string"), F.lit(".csv"))
 
 
-def _season_prints(orders: DataFrame) -> DataFrame:
-    """One file per year of orders, its lines being the orders."""
-    line = F.concat_ws(",", "o_orderkey", "o_custkey", "o_orderpriority")
-    lines = orders.select(_season_file("o_orderdate").alias("source_file"), line.alias("line"))
-    return line_digest(lines, ["source_file"], "line")
+#: Order keys per text file of orders.
+ORDERS_PER_FILE = 20_000
+
+
+def _order_files(spark: SparkSession, sf_dir: str, corrected: bool) -> DataFrame:
+    """Prints of real text files, one for every 20,000 order keys, a line per order.
+
+    Before the correction some files have other lines, and some are not there yet.
+    """
+    number = F.floor(F.col("o_orderkey") / ORDERS_PER_FILE)
+    priority = F.col("o_orderpriority")
+    orders = _orders(spark, sf_dir).withColumn("number", number)
+    if not corrected:
+        orders = orders.where("number % 5 <> 4")
+        priority = F.when(F.col("number") % 3 == 1, F.lit("unknown")).otherwise(priority)
+    line = F.concat_ws(",", "o_orderkey", "o_custkey", priority)
+    folder = f"{feed_for(spark, sf_dir).folder}/order_files-{uuid.uuid4().hex}"
+    (
+        orders.select("number", "o_orderkey", line.alias("line"))
+        .repartition("number")
+        .sortWithinPartitions("number", "o_orderkey")
+        .select("number", "line")
+        .write.partitionBy("number")
+        .text(folder)
+    )
+    name = F.concat(F.lit("orders_"), F.regexp_extract("path", r"number=(\d+)", 1), F.lit(".csv"))
+    return file_prints(spark, [folder]).select(name.alias("source_file"), "file_hash")
 
 
 def file_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _season_prints(_orders(spark, sf_dir))
+    return _order_files(spark, sf_dir, corrected=True)
 
 
 def _load_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Today's files against the manifest of a load that had 1998 uncorrected and 2001 missing."""
-    orders = _orders(spark, sf_dir)
-    year = F.year("o_orderdate")
-    before = orders.where(year < 2001).withColumn(
-        "o_orderpriority", F.when(year == 1998, F.lit("unknown")).otherwise(F.col("o_orderpriority"))
-    )
-    return ingest.plan_load(_season_prints(orders), _season_prints(before))
+    """Today's files against the manifest of a load before a correction."""
+    today = _order_files(spark, sf_dir, corrected=True)
+    return ingest.plan_load(today, _order_files(spark, sf_dir, corrected=False))
 
 
 def load_plan_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -413,17 +430,20 @@ def null_logic_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_and_last_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's first and last event."""
+    """Each user's first and last event, from one aggregate; a missing time comes last."""
     events = _given(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
-    first = best_per_group(
-        events, ["user_id"], [F.asc_nulls_last("ts"), F.asc_nulls_last("event_id")]
-    )
-    last = last_per_group(events, ["user_id"], ["ts", "event_id"], ["event_id", "event_type"])
-    return as_role(
-        first, {"user_id": "user_id", "first_event": "event_id", "first_type": "event_type"}
-    ).join(
-        as_role(last, {"user_id": "user_id", "last_event": "event_id", "last_type": "event_type"}),
+    event = F.struct("event_id", "event_type")
+    untimed = F.struct(F.col("ts").isNull(), "ts", "event_id")
+    timed = F.struct(F.col("ts").isNotNull(), "ts", "event_id")
+    ends = events.groupBy("user_id").agg(
+        F.min_by(event, untimed).alias("first"), F.max_by(event, timed).alias("last")
+    )
+    return ends.select(
         "user_id",
+        F.col("first.event_id").alias("first_event"),
+        F.col("first.event_type").alias("first_type"),
+        F.col("last.event_id").alias("last_event"),
+        F.col("last.event_type").alias("last_type"),
     )
 
 

@@ -27,20 +27,28 @@ trades as (
 
 
 _FILES = """
-dated as (
-    select o_orderkey || ',' || o_custkey || ',' as head, o_orderpriority as tail,
-           cast(year(o_orderdate) as integer) as y
+versions as (
+    select o_orderkey // 20000 as number, o_orderkey, 'now' as version,
+           o_orderkey || ',' || o_custkey || ',' || o_orderpriority as line
     from orders
+    union all
+    select o_orderkey // 20000, o_orderkey, 'before',
+           o_orderkey || ',' || o_custkey || ','
+               || if(o_orderkey // 20000 % 3 = 1, 'unknown', o_orderpriority)
+    from orders where o_orderkey // 20000 % 5 <> 4
+),
+lines as (
+    select number, version, strlen(line) + 1 as bytes,
+           cast(cast('0x' || substr(sha256(line), 1, 15) as bigint) as hugeint) as h,
+           cast(cast('0x' || substr(sha256(line), 16, 15) as bigint) as hugeint) as g,
+           row_number() over (partition by number, version order by o_orderkey) - 1 as place
+    from versions
 ),
 digests as (
-    select 'atp_matches_' || y || '.csv' as source_file, version,
-           sha256(count(*) || '-' || sum(cast('0x' || substr(h, 1, 15) as bigint))
-                  || '-' || sum(cast('0x' || substr(h, 16, 15) as bigint))) as file_hash
-    from (select y, 'now' as version, sha256(head || tail) as h from dated
-          union all
-          select y, 'before', sha256(head || if(y = 1998, 'unknown', tail)) from dated
-          where y < 2001)
-    group by y, version
+    select 'orders_' || number || '.csv' as source_file, version,
+           'lines-1:' || sha256(sum(bytes) || '-' || count(*) || '-' || sum(h) || '-' || sum(g)
+                                || '-' || sum(h * place) || '-' || sum(g * place)) as file_hash
+    from lines group by number, version
 ),
 plan as (
     select n.source_file,

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from careerline.sources import ingest as load
-from careerline.sources.files import classify, discover, season_of
+from careerline.sources.files import classify, discover, file_prints, season_of
 from careerline.sources.warehouse import Warehouse
 from tests import fixture_files as feed
 
@@ -49,15 +49,60 @@ def test_everything_is_text_with_lineage(spark, place):
     assert manifest["atp_rankings_20s.csv"]["row_count"] == 3
 
 
-def test_file_hash_is_sha256_of_the_bytes(spark, place):
+def print_by_hand(data: bytes) -> str:
     import hashlib
 
+    lines = data.split(b"\n")
+    lines = lines[:-1] if not lines[-1] else lines
+    hashes = [hashlib.sha256(line).hexdigest() for line in lines]
+    h, g = ([int(x[a : a + 15], 16) for x in hashes] for a in (0, 15))
+    weighed = [sum(k * v for k, v in enumerate(x)) for x in (h, g)]
+    text = "-".join(map(str, [len(data), len(lines), sum(h), sum(g), *weighed]))
+    return "lines-1:" + hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_file_hash_is_that_of_the_bytes(spark, place):
     source, root = place
     warehouse = Warehouse(spark, root)
     load.ingest(warehouse, str(source))
     for row in load.read_manifest(warehouse).collect():
-        data = (source / row["source_file"]).read_bytes()
-        assert row["file_hash"] == hashlib.sha256(data).hexdigest()
+        assert row["file_hash"] == print_by_hand((source / row["source_file"]).read_bytes())
+
+
+def test_hash_does_not_depend_on_splits_but_on_every_byte(spark, tmp_path):
+    lines = [f"{k},{k * k},text {k % 7}".encode() for k in range(3000)]
+    data = b"\n".join(lines) + b"\n"
+    variants = {
+        "plain": data,
+        "swapped": data.replace(b"10,100,", b"x").replace(b"11,121,", b"10,100,").replace(b"x", b"11,121,"),
+        "carriage": data.replace(b"\n", b"\r\n"),
+        "open": data[:-1],
+        "blank": data + b"\n",
+        "reversed": b"\n".join(reversed(lines)) + b"\n",
+        "invalid": data.replace(b"text 3", b"text \xff"),
+    }
+    for name, content in variants.items():
+        (tmp_path / f"{name}.csv").write_bytes(content)
+    paths = [str(tmp_path / f"{name}.csv") for name in variants]
+    whole = {r["path"].split("/")[-1][:-4]: r["file_hash"] for r in file_prints(spark, paths).collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        found = file_prints(spark, paths)
+        assert spark.read.text(paths).rdd.getNumPartitions() > len(paths)
+        split = {r["path"].split("/")[-1][:-4]: r["file_hash"] for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert whole == split == {name: print_by_hand(content) for name, content in variants.items()}
+    assert len(set(whole.values())) == len(variants)
+
+
+def test_rewritten_order_is_a_change(spark, place):
+    source, root = place
+    load.ingest(Warehouse(spark, root), str(source))
+    path = source / "atp_rankings_20s.csv"
+    head, *rows = path.read_text().splitlines()
+    path.write_text("\n".join([head, *reversed(rows)]) + "\n")
+    assert load.ingest(Warehouse(spark, root), str(source))["reloaded"] == 1
 
 
 def test_changed_file_replaces_its_part(spark, place):
@@ -71,30 +116,12 @@ def test_changed_file_replaces_its_part(spark, place):
     assert matches(warehouse).where("score = '6-1 6-2 6-7(5) 6-3'").count() == 1
 
 
-def test_large_files_take_the_split_route(spark, place):
-    """Files above the size limit are hashed and read in splits, with the same rows."""
-    source, root = place
-    by_file = Warehouse(spark, root + "-a")
-    by_split = Warehouse(spark, root + "-b")
-    load.ingest(by_file, str(source))
-    rows = [*feed.OLD_MATCHES]
-    assert load.ingest(by_split, str(source), whole_file_bytes=0)["loaded"] == 5
-    for entity in ENTITIES:
-        columns = [c for c in by_file.columns(load.raw_table(entity)) if c not in load.LINEAGE]
-        left, right = (w.read(load.raw_table(entity)).select(columns) for w in (by_file, by_split))
-        assert left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
-    rows[0] = {**rows[0], "score": "6-0 6-0 6-0"}
-    feed.write_matches(source, 2003, rows)
-    assert load.ingest(by_split, str(source), whole_file_bytes=0)["reloaded"] == 1
-
-
-@pytest.mark.parametrize("whole_file_bytes", [0, 1 << 20])
-def test_line_end_inside_quotes(spark, place, whole_file_bytes):
+def test_line_end_inside_quotes(spark, place):
     source, root = place
     rows = [{**feed.OLD_MATCHES[0], "score": 'one\n"two", three'}]
     feed.write_matches(source, 2003, rows)
     warehouse = Warehouse(spark, root)
-    load.ingest(warehouse, str(source), whole_file_bytes=whole_file_bytes)
+    load.ingest(warehouse, str(source))
     assert matches(warehouse).where("match_num = '127'").where(
         F.col("score") == 'one\n"two", three'
     ).count() == 1
@@ -202,3 +229,31 @@ def test_superseded_folders_can_be_dropped(spark, place):
     table = load.raw_table("matches")
     warehouse.drop_superseded([table])
     assert Warehouse(spark, root).read(table).count() == 4
+
+
+def test_an_old_handle_cannot_touch_what_was_published_since(spark, tmp_path):
+    root = str(tmp_path / "w")
+    old = Warehouse(spark, root)
+    new = Warehouse(spark, root)
+    new.replace("raw/t", spark.range(5).toDF("x"))
+    new.publish()
+    old.replace("raw/t", spark.range(2).toDF("x"))
+    assert Warehouse(spark, root).read("raw/t").count() == 5
+    with pytest.raises(RuntimeError, match="raw/t"):
+        old.publish()
+    assert Warehouse(spark, root).read("raw/t").count() == 5
+
+
+def test_folders_are_not_dropped_while_writes_are_pending(spark, tmp_path):
+    root = str(tmp_path / "w")
+    warehouse = Warehouse(spark, root)
+    warehouse.replace("raw/t", spark.range(5).toDF("x"))
+    warehouse.publish()
+    warehouse.replace("raw/t", spark.range(2).toDF("x"))
+    with pytest.raises(ValueError, match="publish"):
+        warehouse.drop_superseded()
+    assert Warehouse(spark, root).read("raw/t").count() == 5
+    warehouse.publish()
+    warehouse.drop_superseded()
+    assert Warehouse(spark, root).read("raw/t").count() == 2
+    assert len([p for p in (tmp_path / "w" / "raw" / "t").iterdir() if p.is_dir()]) == 1
