@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from careerline.operators.joins import BROADCAST_ROWS, small_side
+from careerline.operators.joins import small_side
 from careerline.operators.local import local_frame
 
 
@@ -48,27 +48,38 @@ def counts_up_to_point(
     """Per pair, how many events of ``key`` lie at or before the pair's ``limit``.
 
     ``counts`` maps output columns to conditions; a pair without an event gets zeros.
-    ``pair_rows`` is a proven upper bound of the grid. A small grid is broadcast, so the events
-    are counted where they lie. Before a grid that has to be shuffled, events are summed per
-    (key, point), so a key that owns most of them brings its distinct points only.
+    Events are summed per (key, point) and added up in order of their points, and each pair reads
+    the running totals at its limit: the work grows with the events and the pairs, not with their
+    product. ``pair_rows`` is a proven upper bound of the grid; events of keys that no pair
+    has are left out before anything is shuffled if it is small.
     """
     names = list(counts)
-    if pair_rows <= BROADCAST_ROWS:
-        flags = [condition.cast("long").alias(name) for name, condition in counts.items()]
-        tallies = events.select(key, point, *flags)
-    else:
-        sums = [F.count_if(condition).alias(name) for name, condition in counts.items()]
-        tallies = events.groupBy(key, point).agg(*sums)
-    reached = (
-        tallies.join(small_side(pairs, pair_rows), key)
-        .where(F.col(point) <= F.col(limit))
-        .select(*pairs.columns, *names)
+    sums = [F.count_if(condition).alias(name) for name, condition in counts.items()]
+    wanted = small_side(pairs.select(key).distinct(), pair_rows)
+    tallies = (
+        events.where(F.col(point).isNotNull())
+        .join(wanted, key, "left_semi")
+        .groupBy(F.col(key).alias("_key"), F.col(point).alias("_at"))
+        .agg(*sums)
+        .withColumn("_pair", F.lit(None).cast(pairs.schema))
     )
-    empty = pairs.select("*", *[F.lit(0).cast("long").alias(name) for name in names])
+    asked = pairs.select(
+        F.col(key).alias("_key"),
+        F.col(limit).alias("_at"),
+        *[F.lit(0).cast("long").alias(name) for name in names],
+        F.struct(*pairs.columns).alias("_pair"),
+    )
+    so_far = (
+        Window.partitionBy("_key")
+        .orderBy(F.col("_at").asc_nulls_first(), F.col("_pair").isNotNull())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    totals = [F.sum(name).over(so_far).alias(name) for name in names]
     return (
-        reached.unionByName(empty)
-        .groupBy(*pairs.columns)
-        .agg(*[F.sum(name).alias(name) for name in names])
+        tallies.unionByName(asked)
+        .select("_pair", *totals)
+        .where(F.col("_pair").isNotNull())
+        .select("_pair.*", *names)
     )
 
 

@@ -2,7 +2,8 @@
 
 Unchanged files are skipped, changed ones replace their part. Data and manifest become visible
 together, so a run that dies in between loads the same files again instead of losing or doubling
-them. Files that disappear keep what was loaded from them.
+them. Files that disappear keep what was loaded from them. A file with a broken row or an unknown
+column does not keep the sound ones from being loaded; it is reported and tried again next time.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import csv
 from collections.abc import Iterable, Sequence
 from functools import partial, reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,19 +82,25 @@ def header_columns(header: str) -> list[str]:
 
 
 def read_text_csv(
-    spark: SparkSession, paths: Sequence[str], columns: Sequence[str], whole: bool = True
+    spark: SparkSession,
+    paths: Sequence[str],
+    columns: Sequence[str],
+    whole: bool = True,
+    broken: str | None = None,
 ) -> DataFrame:
     """Every column as text. All ``paths`` must have the same header.
 
     Spark assigns CSV columns by position, so files with other headers need a read of their own.
     ``whole`` allows line ends inside quotes, which makes a file a single task; files without such
-    line ends are read in splits. Broken rows are an error.
+    line ends are read in splits. Broken rows are an error, or kept in the column ``broken``.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    names = [*columns, broken] if broken else columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    reader = spark.read.option("columnNameOfCorruptRecord", broken) if broken else spark.read
     return (
-        spark.read.schema(schema)
+        reader.schema(schema)
         .option("header", True)
-        .option("mode", "FAILFAST")
+        .option("mode", "PERMISSIVE" if broken else "FAILFAST")
         .option("multiLine", whole)
         .option("escape", '"')
         .csv(list(paths))
@@ -119,17 +128,61 @@ def _text_of(spark: SparkSession, files: list[Row], columns: Sequence[str]) -> D
     )
 
 
-def _load_entity(warehouse: Warehouse, entity: str, files: list[Row]) -> dict[str, int]:
-    """Replace the parts of ``files``; returns rows per file."""
+class LoadError(ValueError):
+    """Files that could not be loaded, and why. All others were."""
+
+    def __init__(self, failed: dict[str, str], outcomes: dict[str, int]) -> None:
+        super().__init__("; ".join(f"{name}: {why}" for name, why in sorted(failed.items())))
+        self.failed, self.outcomes = failed, outcomes
+
+
+def _broken_files(spark: SparkSession, files: list[Row]) -> set[str]:
+    """Names of the files with a row that does not fit their header."""
+    found: set[str] = set()
+    for header, whole in dict.fromkeys((f["header"], f["quoted_newline"]) for f in files):
+        group = [f["path"] for f in files if (f["header"], f["quoted_newline"]) == (header, whole)]
+        columns = header_columns(header)
+        text = read_text_csv(spark, group, columns, whole, broken="_broken")
+        # Reading every column keeps the parser from overlooking a ragged row.
+        rows = text.groupBy(F.col("_metadata.file_name").alias("name")).agg(
+            F.count("_broken").alias("broken"),
+            F.max(F.xxhash64(*[F.col(f"`{c}`") for c in columns])).alias("read"),
+        )
+        found |= {r["name"] for r in rows.collect() if r["broken"]}  # one row per file
+    return found
+
+
+def _load_entity(
+    warehouse: Warehouse, entity: str, files: list[Row]
+) -> tuple[dict[str, int], dict[str, str]]:
+    """Replace the parts of ``files``; returns rows per file and what is wrong with the others."""
     table = raw_table(entity)
     if warehouse.exists(table):
         columns = [c for c in warehouse.columns(table) if c not in LINEAGE]
     else:
         columns = header_columns(files[0]["header"])
+    failed = {}
     for f in files:
         extra = [c for c in header_columns(f["header"]) if c not in columns]
         if extra:
-            raise ValueError(f"{f['source_file']}: columns not in {table}: {extra}")
+            failed[f["source_file"]] = f"columns not in {table}: {extra}"
+    sound = [f for f in files if f["source_file"] not in failed]
+    if not sound:
+        return {}, failed
+    try:
+        return _load_files(warehouse, table, sound, columns), failed
+    except (PySparkException, Py4JJavaError):
+        broken = _broken_files(warehouse.spark, sound)
+        if not broken:
+            raise
+    failed |= dict.fromkeys(broken, "malformed rows")
+    sound = [f for f in sound if f["source_file"] not in broken]
+    return (_load_files(warehouse, table, sound, columns) if sound else {}), failed
+
+
+def _load_files(
+    warehouse: Warehouse, table: str, files: list[Row], columns: Sequence[str]
+) -> dict[str, int]:
     text = reduce(
         DataFrame.unionByName,
         [
@@ -148,7 +201,10 @@ def read_manifest(warehouse: Warehouse) -> DataFrame:
 
 
 def ingest(warehouse: Warehouse, source_dir: str, min_year: int = 1990) -> dict[str, int]:
-    """Load what is new or changed below ``source_dir``; returns files per outcome."""
+    """Load what is new or changed below ``source_dir``; returns files per outcome.
+
+    Raises :class:`LoadError` when all sound files are loaded and published, if others are not.
+    """
     spark = warehouse.spark
     files = discover(spark, source_dir, min_year).collect()  # one row per file
     if not files:
@@ -156,15 +212,23 @@ def ingest(warehouse: Warehouse, source_dir: str, min_year: int = 1990) -> dict[
     manifest = read_manifest(warehouse)
     plan = plan_load(fingerprint(spark, files), manifest).collect()
     changed = sorted((f for f in plan if f["outcome"] != "skipped"), key=lambda f: f["path"])
+    failed: dict[str, str] = {}
     if changed:
         by_entity = {
             e: [f for f in changed if f["entity"] == e] for e in {f["entity"] for f in changed}
         }
         loads = [partial(_load_entity, warehouse, e, files) for e, files in by_entity.items()]
         with warehouse.publishing():
-            counts = {name: n for rows in side_by_side(loads) for name, n in rows.items()}
-            _record(warehouse, manifest, changed, counts)
-    return _tally(f["outcome"] for f in plan)
+            results = side_by_side(loads)
+            counts = {name: n for rows, _ in results for name, n in rows.items()}
+            failed = {name: why for _, wrong in results for name, why in wrong.items()}
+            loaded = [f for f in changed if f["source_file"] in counts]
+            if loaded:
+                _record(warehouse, manifest, loaded, counts)
+    outcomes = _tally(f["outcome"] for f in plan if f["source_file"] not in failed)
+    if failed:
+        raise LoadError(failed, outcomes)
+    return outcomes
 
 
 def _record(

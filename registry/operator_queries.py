@@ -31,6 +31,7 @@ from careerline.operators import (
     ordered_list,
     quality,
     running_totals,
+    small_side,
     trailing_upsert,
     two_sided,
 )
@@ -38,8 +39,6 @@ from careerline.sources import ingest
 from careerline.sources.files import file_prints, recognised
 from registry.feed import feed_for
 
-NATIONS = 25  # fixed size of the nation table
-
 
 def _given(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return feed_for(spark, sf_dir).given(table)
@@ -197,7 +196,7 @@ def same_tenure_pace(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = pairs.withColumn("last_day", F.date_add("first_day", F.col("tenure")))
     return counts_up_to_point(
         limits,
-        NATIONS * NATIONS,
+        _given(spark, sf_dir, "nation").count() ** 2,
         events,
         key="nation",
         point="o_orderdate",
@@ -208,22 +207,23 @@ def same_tenure_pace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nation_head_to_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trade lines between African and American nations."""
-    nations = _given(spark, sf_dir, "nation").join(
-        F.broadcast(_given(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")
-    )
+    nation, region = (_given(spark, sf_dir, t) for t in ("nation", "region"))
+    nation_rows = nation.count()
+    same_region = F.col("n_regionkey") == F.col("r_regionkey")
+    nations = nation.join(small_side(region, region.count()), same_region)
     returned, bought = F.col("l_returnflag") == "R", F.col("is_buyer")
     return head_to_head(
         two_sided_trade(spark, sf_dir),
         as_role(
             nations.where(F.col("r_name") == "AFRICA"), {"nation": "n_nationkey", "own": "n_name"}
         ),
-        NATIONS,
+        nation_rows,
         "nation",
         as_role(
             nations.where(F.col("r_name") == "AMERICA"),
             {"partner": "n_nationkey", "other": "n_name"},
         ),
-        NATIONS,
+        nation_rows,
         "partner",
         group=["own", "other"],
         counts={"lines": F.lit(True), "bought": bought, "returned": returned & bought},

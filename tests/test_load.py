@@ -147,13 +147,21 @@ def test_extra_column_is_an_error_and_loads_nothing_of_the_entity(spark, place):
     assert counts(Warehouse(spark, root)) == [6, 6, 5]
 
 
-def test_ragged_row_is_an_error(spark, place):
+def test_a_broken_file_does_not_hold_up_the_others(spark, place):
     source, root = place
     path = source / "atp_rankings_20s.csv"
-    path.write_text(path.read_text() + "20240624,1\n")
-    with pytest.raises(Exception, match="(?i)malformed"):
+    sound = path.read_text()
+    path.write_text(sound + "20240624,1\n")
+    feed.write_matches(source, 2024, feed.NEW_MATCHES, [*feed.MATCH_COLUMNS, "weather"])
+    with pytest.raises(load.LoadError, match="(?i)malformed") as error:
         load.ingest(Warehouse(spark, root), str(source))
-    assert Warehouse(spark, root).exists(load.MANIFEST) is False
+    assert sorted(error.value.failed) == ["atp_matches_2024.csv", "atp_rankings_20s.csv"]
+    assert error.value.outcomes == {"skipped": 0, "loaded": 3, "reloaded": 0}
+    assert counts(Warehouse(spark, root)) == [3, 6, 2]
+    path.write_text(sound)
+    feed.write_matches(source, 2024, feed.NEW_MATCHES)
+    assert load.ingest(Warehouse(spark, root), str(source)) == {"skipped": 3, "loaded": 2, "reloaded": 0}
+    assert counts(Warehouse(spark, root)) == [6, 6, 5]
 
 
 def test_file_reduced_to_its_header_loses_its_rows(spark, place):
