@@ -135,11 +135,15 @@ def train(
     known = known.where("lang IS NOT NULL")
     rows, counts = document_counts(known, terms, SIZE)
     idf = inverse_frequencies(rows, counts)
-    # Spark cuts each task's rows to the limit before it shuffles them, so no task holds a whole language.
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("place", "key"))
+    # A share of the hashes leaves about three times the rows that are wanted of each language, so no task
+    # sorts a whole language; there is one row per language to join.
     lettered = known.where(F.col("text").rlike(r"\p{L}"))
-    chosen = lettered.select("key", "lang", F.xxhash64(F.lit(SEED), "key").alias("place"))
-    chosen = chosen.withColumn("n", place).where(F.col("n") <= per_language).select("key", "lang").distinct()
+    frequent = known.groupBy("lang").agg(F.count("*").alias("n"))
+    hashed = lettered.select("key", "lang", F.xxhash64(F.lit(SEED), "key").alias("place"))
+    share = F.shiftrightunsigned("place", 1) / F.lit(float(1 << 63))
+    few = hashed.join(F.broadcast(frequent), "lang").where(share * F.col("n") <= 3 * per_language)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("place", "key"))
+    chosen = few.withColumn("at", place).where(F.col("at") <= per_language).select("key", "lang").distinct()
     sample = lettered.join(F.broadcast(chosen), ["key", "lang"])
 
     def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
