@@ -174,7 +174,7 @@ def train(
         for index, values, label in fitted:
             model.learn(index, values, label)
     weights = model.weights(slice(None))
-    margins = np.array([values @ weights[index] for index, values, _ in apart]).reshape(len(apart), -1)
+    margins = np.array([values @ weights[index] for index, values, _ in apart])
     heat = temperature(margins, np.array([label for *_, label in apart], np.int64))
     return Identifier(languages, idf, weights, heat)
 
