@@ -25,11 +25,11 @@ SEED = 3
 _BITS = 12
 _GRAMS = (1, 2, 3)
 SIZE = len(_GRAMS) << _BITS
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # and a few numerals, such as raised digits
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    return any(found[0].isalpha() for found in _LETTER.finditer(text or ""))
 
 
 def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:

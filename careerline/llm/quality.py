@@ -96,14 +96,39 @@ class Voters:
         return out
 
 
-def _basis(matrix: np.ndarray, dimensions: int) -> np.ndarray:
+class TermRows:
+    """Term vectors of which only the terms that occur are held; products are taken over blocks of rows."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.rows = rows
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        for at in range(0, len(self.rows), _BATCH):
+            part = self.rows[at : at + _BATCH]
+            block = np.zeros((len(part), SIZE), np.float32)
+            for vector, (index, weights) in zip(block, part, strict=True):
+                vector[index] = weights
+            yield block
+
+    def times(self, basis: np.ndarray) -> np.ndarray:
+        return np.concatenate([block @ basis for block in self.blocks()])
+
+    def covariance_times(self, basis: np.ndarray) -> np.ndarray:
+        """Rows' transpose by rows by ``basis``, in one pass over the rows."""
+        total = np.zeros((SIZE, basis.shape[1]), np.float32)
+        for block in self.blocks():
+            total += block.T @ (block @ basis)
+        return total
+
+
+def _basis(rows: TermRows, dimensions: int) -> np.ndarray:
     """The leading right singular vectors, by randomised subspace iteration."""
     rng = np.random.default_rng(SEED)
-    wide = min(*matrix.shape, dimensions + 16)
-    found = matrix.T @ rng.standard_normal((len(matrix), wide)).astype(np.float32)
-    for _ in range(4):
-        found, _ = np.linalg.qr(matrix.T @ (matrix @ found))
-    _, _, right = np.linalg.svd(matrix @ found, full_matrices=False)
+    wide = min(len(rows.rows), SIZE, dimensions + 16)
+    found = rng.standard_normal((SIZE, wide)).astype(np.float32)
+    for _ in range(5):
+        found, _ = np.linalg.qr(rows.covariance_times(found))
+    _, _, right = np.linalg.svd(rows.times(found), full_matrices=False)
     return (found @ right.T)[:, :dimensions].astype(np.float32)
 
 
@@ -133,19 +158,27 @@ def train(
 
     def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            vectors = [weigh(terms(x), idf).astype("<f2").tobytes() for x in frame["text"]]
-            yield pd.DataFrame({"key": frame["key"].astype(str), "label": frame["label"], "vector": vectors})
-
-    found = sample.mapInPandas(measured, "key string, label double, vector binary").collect()
-    found = sorted((r["key"], r["label"], bytes(r["vector"])) for r in found)
+            vectors = [weigh(terms(x), idf) for x in frame["text"]]
+            seen = [np.flatnonzero(v) for v in vectors]
+            yield pd.DataFrame(
+                {
+                    "key": frame["key"].astype(str),
+                    "label": frame["label"],
+                    "terms": [k.astype("<u2").tobytes() for k in seen],
+                    "weights": [v[k].astype("<f2").tobytes() for v, k in zip(vectors, seen, strict=True)],
+                }
+            )
+
+    found = sample.mapInPandas(measured, "key string, label double, terms binary, weights binary").collect()
+    found = sorted((r["key"], r["label"], bytes(r["terms"]), bytes(r["weights"])) for r in found)
     if not found:
         return Voters(idf, np.zeros((SIZE, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
-    matrix = np.stack([np.frombuffer(v, "<f2") for _, _, v in found]).astype(np.float32)
-    basis = _basis(matrix, dimensions)
-    latent = matrix @ basis
+    rows = TermRows([(np.frombuffer(t, "<u2"), np.frombuffer(w, "<f2")) for _, _, t, w in found])
+    basis = _basis(rows, dimensions)
+    latent = rows.times(basis)
     lengths = np.linalg.norm(latent, axis=1)
     kept = lengths > 0
-    return Voters(idf, basis, latent[kept] / lengths[kept, None], np.array([x for _, x, _ in found])[kept])
+    return Voters(idf, basis, latent[kept] / lengths[kept, None], np.array([r[1] for r in found])[kept])
 
 
 def score(docs: DataFrame, voters: Voters, text: str = "text", neighbours: int = NEIGHBOURS) -> DataFrame:
