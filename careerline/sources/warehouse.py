@@ -84,6 +84,10 @@ class Warehouse:
         """Parts that hold rows."""
         return sorted(p for p, folder in self._live.get(table, {}).items() if folder)
 
+    def snapshot(self, table: str) -> list[tuple[str, str | None]]:
+        """Parts and their folders: the same for as long as nothing of the table is written."""
+        return sorted(self._live.get(table, {}).items())
+
     def read(self, table: str, parts: Iterable[str] | None = None) -> DataFrame:
         """The live rows, of all parts or of the named ones only."""
         live = self._live[table]

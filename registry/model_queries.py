@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careerline.operators import quality, trailing_upsert
+from careerline.operators import quality
 from careerline.plans import checks, reports
+from careerline.plans.build import FACT, refresh_fact
+from careerline.sources.warehouse import Warehouse
 from registry.feed import feed_for
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,7 +63,7 @@ def raw_table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _refreshed(spark: SparkSession, sf_dir: str, full_refresh: bool) -> DataFrame:
-    """The fact after a late load.
+    """The stored fact after two builds' refreshes, of which the second follows a late load.
 
     The target holds what was known on the last load, with surfaces that were corrected since;
     the source has newer matches and has lost those of unknown level.
@@ -71,9 +74,12 @@ def _refreshed(spark: SparkSession, sf_dir: str, full_refresh: bool) -> DataFram
         "surface", F.lit("Unknown")
     )
     source = current.where(F.col("tourney_level") != "X")
-    return trailing_upsert(
-        target, source, "player_match_id", "tourney_date", full_refresh=full_refresh
-    )
+    warehouse = Warehouse(spark, f"{feed.folder}/refresh-{uuid.uuid4().hex}")
+    with warehouse.publishing():
+        refresh_fact(warehouse, target)
+    with warehouse.publishing():
+        refresh_fact(warehouse, source, full_refresh)
+    return warehouse.read(FACT)
 
 
 def fct_player_matches(spark: SparkSession, sf_dir: str) -> DataFrame:

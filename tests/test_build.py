@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from careerline.plans import build as plan
 from careerline.plans import checks, reports
+from careerline.sources import seeds
 from careerline.sources.ingest import ingest
 from careerline.sources.warehouse import Warehouse
 from tests import fixture_files as feed
@@ -41,6 +42,29 @@ def test_second_build_changes_nothing(built):
         assert sorted(map(repr, frame.collect())) == first[name], name
 
 
+def test_unchanged_inputs_write_nothing_and_a_rebuild_gives_the_same(spark, place):
+    """A build over the inputs of the last one leaves its snapshots; another roster does not."""
+    source, root = place
+    names = [plan.stored_name(n) for n in plan.STORED]
+    snapshots = lambda: [Warehouse(spark, root).snapshot(n) for n in names]
+    before = snapshots()
+    warehouse = Warehouse(spark, root)
+    content = {n: sorted(map(repr, f.collect())) for n, f in plan.stored_marts(warehouse).items()}
+    ingest(warehouse, str(source))
+    tables = plan.build(warehouse)
+    assert tables.keys() == {"tourney_levels", *plan.STORED}
+    assert spark.table("dim_players").count() == 6
+    assert snapshots() == before
+    plan.build(warehouse, rebuild=True)
+    assert all(old != new for old, new in zip(before, snapshots(), strict=True))
+    rebuilt = plan.stored_marts(Warehouse(spark, root))
+    assert {n: sorted(map(repr, f.collect())) for n, f in rebuilt.items()} == content
+    others = [r for r in seeds.FOCUS_PLAYERS if r[1] != "Nadal"]
+    plan.build(warehouse, roster=seeds.literal_seed(spark, others, seeds.ROSTER_SCHEMA))
+    players = plan.stored_marts(warehouse)["mart_age_curves"].select("display_name").distinct()
+    assert {r[0] for r in players.collect()} == {"Federer", "Djokovic", "Alcaraz", "Sinner"}
+
+
 def test_layer_sizes(built):
     _, warehouse = built
     sizes = {n: f.count() for n, f in plan.stored_marts(warehouse).items()}
