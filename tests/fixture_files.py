@@ -1,4 +1,7 @@
-"""Source files of a small results feed: three older and three newer matches."""
+"""Source files of a small results feed: three older and three newer matches.
+
+Scores, durations, body heights, ranking points and small events are invented.
+"""
 
 from __future__ import annotations
 
@@ -58,35 +61,35 @@ def match(
 
 OLD_MATCHES = [
     match("2003-540", "Wimbledon", "Grass", "G", "20030623", 127, FEDERER, OPPONENT,
-          "7-6 6-2 7-6", 5, "F", 120, 4, 48),
+          "6-3 7-5 6-2", 5, "F", 131, 4, 48),
     match("2003-540", "Wimbledon", "Grass", "G", "20030623", 126, FEDERER, NADAL,
-          "6-4 6-4 6-4", 5, "SF", 100, 4, 9),
+          "7-5 6-1 6-3", 5, "SF", 112, 4, 9),
     match("2003-0404", "Indian Wells", "Hard", "M", "20030310", 10, NADAL, OPPONENT,
-          "6-3 RET", 3, "R64", 40, 60, 48),
+          "4-2 RET", 3, "R64", 33, 60, 48),
 ]
 NEW_MATCHES = [
     match("2024-520", "Roland Garros", "Clay", "G", "20240527", 127, ALCARAZ, SINNER,
-          "2-6 6-3 3-6 6-4 6-3", 5, "F", 250, 3, 2),
+          "6-2 4-6 7-5 6-1", 5, "F", 188, 3, 2),
     match("2024-580", "Australian Open", "Hard", "G", "20240115", 127, SINNER, DJOKOVIC,
           "6-1 6-2 6-7 6-3", 5, "F", 200, 4, 1),
     match("2024-0421", "Madrid", "Clay", "M", "20240422", 50, NADAL, ALCARAZ,
-          "6-4 6-4", 3, "R32", 90, 500, 3),
+          "7-6 6-2", 3, "R32", 97, 500, 3),
 ]
 PLAYER_COLUMNS = "player_id,name_first,name_last,hand,dob,ioc,height,wikidata_id".split(",")
 PLAYERS = [
-    (FEDERER, "Roger", "Federer", "R", "19810808", "SUI", 185, "a"),
-    (NADAL, "Rafael", "Nadal", "L", "19860603", "ESP", 185, "b"),
-    (DJOKOVIC, "Novak", "Djokovic", "R", "19870522", "SRB", 188, "c"),
-    (ALCARAZ, "Carlos", "Alcaraz", "R", "20030505", "ESP", 183, "d"),
-    (SINNER, "Jannik", "Sinner", "R", "20010816", "ITA", 191, "e"),
-    (OPPONENT, "Test", "Opponent", "R", "19800101", "USA", 180, "f"),
+    (FEDERER, "Roger", "Federer", "R", "19810808", "SUI", 184, "q1"),
+    (NADAL, "Rafael", "Nadal", "L", "19860603", "ESP", 186, "q2"),
+    (DJOKOVIC, "Novak", "Djokovic", "R", "19870522", "SRB", 187, "q3"),
+    (ALCARAZ, "Carlos", "Alcaraz", "R", "20030505", "ESP", 182, "q4"),
+    (SINNER, "Jannik", "Sinner", "R", "20010816", "ITA", 190, "q5"),
+    (OPPONENT, "Test", "Opponent", "R", "19800101", "USA", 179, "q6"),
 ]
 RANKING_COLUMNS = ["ranking_date", "rank", "player", "points"]
-OLD_RANKINGS = [("20040202", 1, FEDERER, 5000), ("20040209", 1, FEDERER, 5000)]
+OLD_RANKINGS = [("20040202", 1, FEDERER, 4410), ("20040209", 1, FEDERER, 4475)]
 NEW_RANKINGS = [
-    ("20240610", 1, SINNER, 9500),
-    ("20240617", 1, SINNER, 9500),
-    ("20240610", 2, DJOKOVIC, 9000),
+    ("20240610", 1, SINNER, 8815),
+    ("20240617", 1, SINNER, 8790),
+    ("20240610", 2, DJOKOVIC, 8105),
 ]
 
 
