@@ -269,6 +269,34 @@ def test_likeness_of_edits():
     assert like("") == 0
 
 
+def test_likeness_of_copies_edited_in_several_places():
+    rng = np.random.default_rng(4)
+    prose = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, rng.integers(2, 10)))) for _ in range(n))
+    for n, edits in ((400, 4), (3000, 30), (30_000, 300)):
+        text = prose(n)
+        at = [0, *(len(text) * (2 * k + 1) // (2 * edits) for k in range(edits)), len(text)]
+        edited = "".join(f"{text[i:j]} new {k}" for k, (i, j) in enumerate(zip(at, at[1:], strict=False)))
+        prints = fingerprints.fingerprint(text), fingerprints.fingerprint("Ahead. " + edited)
+        assert 0.6 < fingerprints.likeness(*prints) < 1
+        assert fingerprints.likeness(*prints) == fingerprints.likeness(*prints[::-1])
+        assert fingerprints.likeness(prints[0], fingerprints.fingerprint(prose(n))) < 0.1
+    # Spans are found where they stand, also in another order, and past a shared end of less than one step.
+    one, two, other = prose(3000), prose(3000), prose(200_000)
+    assert fingerprints.likeness(fingerprints.fingerprint(one + two), fingerprints.fingerprint(two + one)) > 0.95
+    shared = fingerprints.likeness(fingerprints.fingerprint(one + other), fingerprints.fingerprint(one + prose(200_000)))
+    assert shared == pytest.approx(len(one) / len(one + other), rel=0.05)
+
+
+def test_spans_cover_the_text_and_have_the_hashes_of_their_places():
+    text = "".join(f"line {k * k} of the text; " for k in range(9000))
+    prefix = fingerprints.prefix_hashes(fingerprints.code_points(text))
+    bounds = [0, *fingerprints.cuts(prefix).tolist(), len(text)]
+    assert len(text) > 2 * 65_536 and min(np.diff(bounds)[1:-1]) > fingerprints.RADIUS
+    spans = fingerprints.fingerprint(text).split(".")[-1].split("-")
+    assert [int(x[8:], 16) for x in spans] == np.diff(bounds).tolist()
+    assert [int(x[:8], 16) for x in spans] == [fingerprints.span_hash(prefix, i, j) for i, j in zip(bounds, bounds[1:], strict=False)]
+
+
 # --- SimHash ---------------------------------------------------------------------------------
 
 
