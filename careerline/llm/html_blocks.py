@@ -17,13 +17,14 @@ FEATURES = (
     "aside",
 )
 
-# Element and class names by their usual meaning.
+# Element and class names by their usual meaning. A head's own text is in dropped elements, and its
+# end tag may be left out, so the head is not dropped as a whole.
 _BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _VOID_TAGS = frozenset("hr".split())
-_DROPPED_TAGS = "script|style|noscript|template|textarea|select|button|svg|iframe|object|title|head"
+_DROPPED_TAGS = "script|style|noscript|template|textarea|select|button|svg|iframe|object|title"
 _ASIDE_TAGS = frozenset("nav footer aside form menu dialog header".split())
 _MAIN_TAGS = frozenset("article main".split())
 _ASIDE_WORDS = frozenset(
@@ -45,7 +46,9 @@ _LISTS = frozenset("ul ol dl menu table body article main section div".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<dropped>" + _DROPPED_TAGS + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:/>|>.*?(?:</(?P=dropped)\s*>|\Z))"
+    # A slash ends foreign elements only.
+    r"|<svg(?=[\s/])(?:[^>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*+/>"
+    r"|<(?P<dropped>" + _DROPPED_TAGS + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=dropped)(?=[\s/>])[^>]*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,

@@ -129,6 +129,20 @@ def test_article_without_what_is_around_it(spark):
     assert got[6][0] == "\n".join(["x y"] * 20_000)
 
 
+def test_dropped_elements_end_where_html_ends_them(spark):
+    article = "<article><p>Words of the page that stay.</p></article>"
+    sources = [
+        f"<body><svg width='1' a=\"/>\" height='2'/>{article}",
+        f"<body><svg/><svg class=x /><p>{article}<svg><path d=''/>gone</svg>",
+        f"<html><head><meta charset=utf-8><title>No</title><script>'<article>no'</script><body>{article}</body></html>",
+        f"<html><head lang=en><style>no</style>{article}",
+        f"<head-line></head-line><svg-icon name=x></svg-icon><button-bar></button-bar>{article}",
+        f"<script src=a />no</script x>{article}",
+    ]
+    got = texts_of(spark, sources)
+    assert [got[k][0] for k in range(len(sources))] == ["Words of the page that stay."] * len(sources)
+
+
 def test_page_without_article_element(spark):
     long = "Many plain words of running text without any link in it, said at some length and again. " * 3
     page = f"<body><div><a href=a>One</a></div><div><a href=b>Two</a></div><div><p>{long}</p><p>{long}</p></div><div><a href=c>Three</a></div></body>"
