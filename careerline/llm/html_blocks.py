@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 #: What is measured on each block, in the order of its feature list.
 FEATURES = (
@@ -32,7 +33,7 @@ _ASIDE_WORDS = frozenset(
     "notice notices popup modal overlay newsletter subscribe subscription signup sidebar rail menu nav navbar navigation "
     "breadcrumb breadcrumbs header masthead topbar footer bottombar copyright comment comments commentlist disqus reply replies respond "
     "discussion share sharing social related recommended recommendations widget login search searchform toolbar pagination pager "
-    "complementary contentinfo alert disclaimer form".split()
+    "complementary contentinfo alert disclaimer form hidden".split()
 )
 _CLOSED_BY = {
     "li": frozenset(["li"]),
@@ -53,29 +54,42 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none", re.IGNORECASE)
-_WORD = re.compile(r"[A-Za-z]+")
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NO_DISPLAY = re.compile(r"\bdisplay\s*:\s*none\b", re.IGNORECASE)
+_WORD = re.compile(r"[a-z]+")
+
+
+def _names_aside(value: str) -> bool:
+    """Whether one of the names in a class, id or role says so: all words of it are listed ones."""
+    return any(_ASIDE_WORDS.issuperset(words) for name in value.lower().split() if (words := _WORD.findall(name)))
 
 
 def _stands_aside(name: str, rest: str, in_main: bool) -> bool:
-    """Whether an element is one of the parts around an article."""
+    """Whether an element is one of the parts around an article; a body, main or article element is none by its names."""
     if name in _ASIDE_TAGS and not (name == "header" and in_main):
         return True
-    if not rest.strip():
+    if name == "body" or not rest.strip():
         return False
-    if _HIDDEN.search(rest):
-        return True
-    values = (next(filter(None, m.groups()[1:]), "") for m in _ATTRIBUTE.finditer(rest))
-    return any(word in _ASIDE_WORDS for value in values for word in _WORD.findall(value.lower()))
+    for m in _ATTRIBUTE.finditer(rest):
+        attribute, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if attribute in ("hidden", "aria-hidden") and value.lower() != "false":
+            return True
+        if attribute == "style" and _NO_DISPLAY.search(value):
+            return True
+        if attribute in ("class", "id", "role") and name not in _MAIN_TAGS and _names_aside(value):
+            return True
+    return False
 
 
 class _Page:
     """Collects blocks while the page is read from start to end."""
 
     def __init__(self) -> None:
-        self.blocks: list[tuple[str, int, int, bool, bool]] = []
-        self.stack: list[tuple[str, bool, bool]] = []  # name, aside, main; the flags hold for all inside
+        self.blocks: list[tuple[str, int, int, bool, tuple[int, ...]]] = []
+        # Name, numbers of the elements around it that stand aside, whether in an article; both hold for all inside.
+        self.stack: list[tuple[str, tuple[int, ...], bool]] = []
+        self.asides = 0
+        self.mains: list[tuple[int, ...]] = []  # for each article or main element, what it is inside of
         self.parts: list[str] = []
         self.linked: list[str] = []
         self.in_link = False
@@ -92,7 +106,7 @@ class _Page:
         words = "".join(self.parts).split()
         if words:
             linked = sum(map(len, "".join(self.linked).split()))
-            _, aside, main = self.stack[-1] if self.stack else ("", False, False)
+            _, aside, main = self.stack[-1] if self.stack else ("", (), False)
             self.blocks.append((" ".join(words), len(words), linked, main, aside))
         self.parts, self.linked = [], []
 
@@ -109,8 +123,13 @@ class _Page:
             if self.stack and self.stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
                 self.stack.pop()
             self._close_open_item(name)
-            _, aside, main = self.stack[-1] if self.stack else ("", False, False)
-            self.stack.append((name, aside or _stands_aside(name, rest, main), main or name in _MAIN_TAGS))
+            _, aside, main = self.stack[-1] if self.stack else ("", (), False)
+            if _stands_aside(name, rest, main):
+                aside = (*aside, self.asides)
+                self.asides += 1
+            if name in _MAIN_TAGS and not main:
+                self.mains.append(aside)
+            self.stack.append((name, aside, main or name in _MAIN_TAGS))
 
     def _close_open_item(self, name: str) -> None:
         ends = _CLOSED_BY.get(name, ())
@@ -131,12 +150,22 @@ class _Page:
                     return
 
 
+def _wrappers(page: _Page) -> set[int]:
+    """The elements that stand aside by their tag or names but hold most words of the page and all its articles."""
+    inside = Counter()
+    for _, words, _, _, around in page.blocks:
+        inside.update(dict.fromkeys(around, words))
+    total = sum(words for _, words, *_ in page.blocks)
+    return {k for k, words in inside.items() if 2 * words > total and all(k in around for around in page.mains)}
+
+
 def page_blocks(source: str | None) -> tuple[list[str], list[list[float]]]:
     """The texts of a page's blocks and their features.
 
     ``link_density`` is the share of a block's characters inside links. Neighbours are the blocks before and
     after it on the page; a missing one has no words. ``place`` is 2 inside an article or main
-    element, 0 outside it, and 1 on a page without one; ``aside`` is 1 inside a part around the article.
+    element, 0 outside it, and 1 on a page where these hold less than half of the words that do not stand aside;
+    ``aside`` is 1 inside a part around the article, unless it is a wrapper around most of the page.
     """
     page, at = _Page(), 0
     for token in _TOKEN.finditer(source or ""):
@@ -149,10 +178,12 @@ def page_blocks(source: str | None) -> tuple[list[str], list[list[float]]]:
             page.open(name, token["rest"])
     page.text((source or "")[at:])
     page.cut()
-    blocks = page.blocks
+    wrappers = _wrappers(page)
+    blocks = [(*block, not wrappers.issuperset(around)) for *block, around in page.blocks]
     measured = [(float(n), linked / sum(map(len, text.split()))) for text, n, linked, _, _ in blocks]
     around = [(0.0, 0.0), *measured, (0.0, 0.0)]
-    has_main = any(main and not aside for *_, main, aside in blocks)
+    in_main = sum(n for _, n, _, main, aside in blocks if main and not aside)
+    has_main = in_main and 2 * in_main >= sum(n for _, n, *_, aside in blocks if not aside)
     features = [
         [*measured[k], *around[k], *around[k + 2], (2.0 if main else 0.0) if has_main else 1.0, float(aside)]
         for k, (*_, main, aside) in enumerate(blocks)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from careerline.llm.html_blocks import FEATURES, page_blocks
 
 # The labelled table. Each line is a block: its words and link density, those of the
-# block before and the block after, its place (2 in the article, 1 on a page without one, 0 outside the article), whether it
+# block before and the block after, its place (2 in the article, 1 on a page whose words are mostly outside of any, 0 outside the article), whether it
 # stands aside, and the label (1 main text).
 LABELLED = """
 6 1.00 0 0.00 6 1.00 0 1 0
@@ -74,6 +74,22 @@ LABELLED = """
 90 0.00 8 0.00 40 0.00 1 1 0
 5 1.00 5 1.00 5 1.00 1 1 0
 3 0.00 0 0.00 30 0.00 1 1 0
+60 0.00 70 0.00 80 0.00 0 0 1
+120 0.02 50 0.00 90 0.00 0 0 1
+45 0.00 120 0.00 60 0.00 0 0 1
+35 0.05 60 0.00 45 0.00 0 0 1
+200 0.00 8 0.00 150 0.00 0 0 1
+180 0.00 150 0.00 6 0.00 0 0 1
+70 0.90 60 0.00 80 0.00 0 0 0
+45 0.80 90 0.10 60 0.00 0 0 0
+150 0.00 120 0.00 140 0.00 0 1 1
+90 0.00 100 0.00 110 0.00 0 1 1
+200 0.02 90 0.00 160 0.00 2 1 1
+110 0.00 150 0.00 90 0.00 1 1 1
+80 0.05 130 0.00 120 0.00 2 1 1
+300 0.00 200 0.00 180 0.00 0 1 1
+150 0.90 120 0.00 140 0.00 0 1 0
+90 0.85 100 0.10 110 0.20 1 1 0
 """
 MAX_DEPTH = 6
 

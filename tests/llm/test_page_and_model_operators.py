@@ -143,6 +143,31 @@ def test_dropped_elements_end_where_html_ends_them(spark):
     assert [got[k][0] for k in range(len(sources))] == ["Words of the page that stay."] * len(sources)
 
 
+def test_names_and_places_do_not_decide_alone(spark):
+    long = "Many plain words of running text without any link in it, said at some length and again."
+    body = "".join(f"<p>{long} {k}</p>" for k in range(5))
+    text = "\n".join(f"{long} {k}" for k in range(5))
+    longer = [" ".join([long] * 6) + f" {k}" for k in range(5)]
+    running = "".join(f"<p>{x}</p>" for x in longer)
+    cards = "".join(f"<article><a href=/{k}>Card {k}</a></article>" for k in range(4))
+    nav = "<nav><a href=/>Home</a></nav>"
+    sources = [
+        f"<body class='single no-sidebar'>{nav}<article>{body}</article>",
+        f"<body class=sidebar><div class='content has-sidebar'><article>{body}</article></div>",
+        f"{nav}<main class='page-with-header' id=main><div style='overflow: hidden' class=overflow-hidden>{body}</div></main>",
+        f"{nav}<main class='menu'>{body}</main><div class='cookie notice'>{long}</div>",
+        f"<body>{nav}<form id=page><div class=widget>{body}</div></form>",
+        f"<body>{nav}<div>{body}</div><div>{cards}</div>",
+        f"<body>{nav}<article>{body}<section id=comments>{body * 3}</section></article>",
+        f"<article>{body}</article><div hidden>{body}</div><div style='display:none'>{body}</div><div id=cookie-notice>{long}</div>",
+    ]
+    got = texts_of(spark, sources)
+    assert [got[k][0] for k in range(len(sources))] == [text] * len(sources)
+    # Running text among running text is main text also where the flags are against it.
+    found = texts_of(spark, [f"<article>{running * 2}</article><div>{running}</div>", f"<article>{running * 2}</article><aside>{running}</aside>"])
+    assert all(found[k][0].count(longer[2]) == 3 for k in (0, 1))
+
+
 def test_page_without_article_element(spark):
     long = "Many plain words of running text without any link in it, said at some length and again. " * 3
     page = f"<body><div><a href=a>One</a></div><div><a href=b>Two</a></div><div><p>{long}</p><p>{long}</p></div><div><a href=c>Three</a></div></body>"
