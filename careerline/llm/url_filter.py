@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +19,18 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _TAG = r"(?is)<(?:link|meta)\b[^>]*>"
 _CANONICAL = r"""(?is)^<link\b[^>]*\brel\s*=\s*["']?\s*canonical\b"""
 _HREF = r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+_BASE = r"(?is)<base\b[^>]*>"
 _REFRESH = r"""(?is)^<meta\b[^>]*\bhttp-equiv\s*=\s*["']?\s*refresh\b"""
 _REFRESH_URL = r"""(?is)\bcontent\s*=\s*["']?\s*[\d.]+\s*[;,]\s*(?:url\s*=\s*)?["']?\s*([^"'>\s]+)"""
 
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+_REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]+);"
+# The named character references that urls are written with.
+_NAMED = {
+    "amp": "&", "AMP": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "sol": "/", "colon": ":", "period": ".", "quest": "?",
+    "num": "#", "equals": "=", "percnt": "%", "lowbar": "_", "plus": "+", "comma": ",", "semi": ";", "excl": "!", "commat": "@",
+}
+
 
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; else empty."""
@@ -38,17 +47,71 @@ def node_of(url: Column) -> Column:
     slash at the path's end are left out. NULL where there is no host."""
     query = F.regexp_extract(url, r"\?[^#]*", 0)
     host = host_of(url)
-    return F.when(host != "", F.concat(host, F.regexp_replace(path_of(url), "/+$", ""), query))
+    return F.when(host != "", F.concat(host, F.regexp_replace(without_dots(path_of(url)), "/+$", ""), query))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value's expression held once in the plan, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def without_dots(path: Column) -> Column:
+    """A path whose ``.`` and ``..`` segments are resolved; ``..`` does not lead above the root."""
+    return F.when(path.rlike(r"(?i)/(\.|%2e)"), _let(F.split(path, "/", -1), _joined)).otherwise(path)
+
+
+def _joined(parts: Column) -> Column:
+    named = lambda part: F.regexp_replace(part, "(?i)%2e", ".")
+    # The first part is empty, as paths start with a slash.
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda found, part: F.when(named(part) == ".", found)
+        .when(named(part) == "..", F.slice(found, F.lit(1), F.greatest(F.lit(1), F.size(found) - 1)))
+        .otherwise(F.concat(found, F.array(part))),
+    )
+    folder = F.when(named(F.element_at(parts, -1)).isin(".", ".."), "/").otherwise("")
+    return F.concat(F.array_join(kept, "/"), folder)
+
+
+def decoded(text: Column) -> Column:
+    """Numeric and the usual named character references replaced by their characters; others stay."""
+
+    known = F.create_map(*(F.lit(x) for pair in _NAMED.items() for x in pair))
+    valid = lambda code: F.when((code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF), code)
+    char = lambda code: F.decode(F.unhex(F.lpad(F.hex(valid(code)), 8, "0")), "UTF-32")
+
+    def named(name: Column) -> Column:
+        code = F.when(name.rlike("^#[xX]"), F.conv(name.substr(3, 6), 16, 10)).when(name.startswith("#"), name.substr(2, 7))
+        return F.coalesce(_let(code.cast("long"), char), F.try_element_at(known, name))
+
+    def plain(part: Column) -> Column:
+        found = _let(F.regexp_extract(part, _REFERENCE, 1), named)
+        return F.coalesce(F.concat(found, F.regexp_replace(part, _REFERENCE, "")), F.concat(F.lit("&"), part))
+
+    whole = lambda parts: F.array_join(
+        F.transform(parts, lambda part, k: F.when(k == 0, part).otherwise(plain(part))), ""
+    )
+    return _let(text, lambda x: F.when(x.contains("&"), _let(F.split(x, "&", -1), whole)).otherwise(x))
 
 
 def absolute(target: Column, url: Column) -> Column:
-    """A link's target seen from the page at ``url``; NULL if it stays on the page."""
+    """A link's target seen from the page at ``url``, without dot segments; NULL if it stays on the page or has no host."""
+    found = _let(target, lambda target: _let(url, lambda url: _joined_to(target, url)))
+    cleaned = lambda x: F.concat(
+        F.regexp_extract(x, r"^[^/?#]*//[^/?#]*", 0), _let(path_of(x), without_dots), F.regexp_extract(x, r"(?s)[?#].*", 0)
+    )
+    return _let(found, lambda x: F.when(x.isNotNull(), cleaned(x)))
+
+
+def _joined_to(target: Column, url: Column) -> Column:
     scheme = F.regexp_extract(url, r"^[^:/?#]*", 0)
     site = F.concat(scheme, F.lit("://"), host_of(url))
     folder = F.regexp_replace(path_of(url), "[^/]*$", "")
     return (
         F.when((target == "") | target.startswith("#"), F.lit(None))
-        .when(target.contains("://"), target)
+        .when(target.rlike(_SCHEME + "//"), target)
+        .when(target.rlike(_SCHEME), F.lit(None))
         .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
         .when(target.startswith("/"), F.concat(site, target))
         .when(target.startswith("?"), F.concat(site, path_of(url), target))
@@ -56,21 +119,25 @@ def absolute(target: Column, url: Column) -> Column:
     )
 
 
+def _href(tag: Column) -> Column:
+    return F.concat(*(F.coalesce(F.regexp_extract(tag, _HREF, k), F.lit("")) for k in (1, 2, 3)))
+
+
 def alias_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``url`` and ``target`` (absolute) of each page's canonical links and immediate redirects."""
+    """``url`` and ``target`` (absolute) of each page's canonical links and immediate redirects.
+
+    Targets are seen from the page's first base element with a target, or else from the page.
+    """
     tags = F.regexp_extract_all(F.col(html), F.lit(_TAG), F.lit(0))
+    bases = F.transform(F.regexp_extract_all(F.col(html), F.lit(_BASE), F.lit(0)), lambda tag: F.trim(decoded(_href(tag))))
+    base = absolute(F.get(F.filter(bases, lambda x: x != ""), F.lit(0)), F.col(url))
     named = pages.where(F.col(html).rlike("(?i)canonical|refresh") & (host_of(F.col(url)) != ""))
     tag = F.col("__tag")
-    links = named.select(F.col(url).alias("url"), F.explode(tags).alias("__tag")).select(
-        "url",
-        F.when(
-            tag.rlike(_CANONICAL),
-            F.concat(*(F.coalesce(F.regexp_extract(tag, _HREF, k), F.lit("")) for k in (1, 2, 3))),
-        )
-        .when(tag.rlike(_REFRESH), F.regexp_extract(tag, _REFRESH_URL, 1))
-        .alias("target"),
+    seen = F.coalesce(base, F.col(url)).alias("__from")
+    links = named.select(F.col(url).alias("url"), seen, F.explode(tags).alias("__tag")).select(
+        "url", "__from", F.when(tag.rlike(_CANONICAL), _href(tag)).when(tag.rlike(_REFRESH), F.regexp_extract(tag, _REFRESH_URL, 1)).alias("target")
     )
-    target = absolute(F.trim(F.replace("target", F.lit("&amp;"), F.lit("&"))), F.col("url"))
+    target = absolute(F.trim(decoded(F.col("target"))), F.col("__from"))
     return links.where(F.col("target").isNotNull()).select("url", target.alias("target")).where("target IS NOT NULL")
 
 

@@ -86,6 +86,40 @@ def test_blocks_reach_aliases_over_any_number_of_steps(spark):
     assert got[50] == got[51] == "block"
 
 
+def test_relative_targets_are_resolved(spark):
+    canonical = '<head><link rel="canonical" href="{}"></head>'
+    based = '<head><BASE target=_top><base href="{}"><base href="/other/"><link rel=canonical href="{}"></head>'
+    refresh = "<meta http-equiv=refresh content='0; url={}'>"
+    blocked = [
+        ("http://a.com/folder/sub/x", canonical.format("../../de/1")),
+        ("http://b.com/folder/x", canonical.format("./.././../../de/./1?q=../x")),
+        ("http://c.com/x", canonical.format("/fr/../de/")),
+        ("http://d.net/x", canonical.format("https://d.com/x/%2E%2e/de/1")),
+        ("http://e.net/p/q", based.format("http://e.com/de/", "9")),
+        ("http://f.com/p/q", based.format("../de/y", "./x")),
+        ("http://g.com/p/q", refresh.format("../de/1")),
+        ("http://h.net/x", canonical.format("http&#58;&#x2F;&sol;h.com/de/&#228;?a&amp;b")),
+        ("http://i.com/x", canonical.format("de/x?u=http://free.net/")),
+        ("http://free.net/a/../m", canonical.format("http://bad.com/de/")),
+        ("http://free.net/m", ""),
+    ]
+    allowed = [
+        ("http://j.com/folder/x", canonical.format("de/../../y..z/.d/1")),
+        ("http://k.com/x", canonical.format("mailto:a@b.com/de/")),
+        ("http://l.com/x", canonical.format("&unknown;&#1114112;&#xD800;&")),
+        ("http://m.com/x", refresh.format("..")),
+    ]
+    got = verdicts(spark, [(k, *row) for k, row in enumerate(blocked + allowed)])
+    assert [got[k][3] for k in range(len(got))] == ["block"] * len(blocked) + ["allow"] * len(allowed)
+    links = url_filter.alias_links(pages_of(spark, [(k, *row) for k, row in enumerate(blocked + allowed)]))
+    targets = {r["url"]: r["target"] for r in links.collect()}
+    assert targets["http://b.com/folder/x"] == "http://b.com/de/1?q=../x"
+    assert targets["http://h.net/x"] == "http://h.com/de/ä?a&b"
+    assert targets["http://j.com/folder/x"] == "http://j.com/y..z/.d/1"
+    assert targets["http://m.com/x"] == "http://m.com/"
+    assert "http://k.com/x" not in targets
+
+
 def test_many_rules_are_joined_with_the_same_result(spark):
     urls = [(k, f"http://h{k % 7}.x{k % 3}.net/p{k % 5}/q", None) for k in range(100)]
     rules = [("block" if k % 2 else "allow", f"h{k % 7}.x{k % 3}.net", f"/p{k % 5}") for k in range(60)]
