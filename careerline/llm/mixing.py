@@ -69,14 +69,16 @@ def mix(
     epochs: int = MAX_EPOCHS,
     seed: int = SEED,
     rows_per_slice: int = SLICE,
+    positions: bool = True,
 ) -> DataFrame:
     """How many words of each document the mix takes, and where the mix reads it first.
 
     Every source is a queue of its shuffled documents, read again from the start up to ``epochs``
     times. The virtual finish time of a document is the number of words of its queue up to
-    its end, divided by the source's target. The mix reads all queues in order of that time, and stops when
-    its words reach the budget, which is the virtual time 1; the one document per source that
-    is being read then is cut there, so a source gives its target, rounded down.
+    its end, divided by the source's target. A queue is cut where its words reach its target, rounded down, which
+    is the virtual time 1: the targets add up to the budget, so no cut over all queues is made. The
+    order of finish times over all queues gives ``position`` only; without ``positions`` there is no such
+    column and nothing is sorted.
 
     Returns ``key``, ``size``, ``source``, ``source_size``, ``target``, ``taken`` (words, repeats counted) and
     ``position`` (words read before it is first read; NULL if it is not taken). Documents without
@@ -92,25 +94,20 @@ def mix(
     targets = stored(source_targets(per_source, weights, budget, epochs))
     queued = _queue(sized, per_source, targets, rows_per_slice)
     whole = F.floor("target")
+    taken = sum(
+        F.greatest(F.lit(0), F.least(F.col("size"), whole - F.col("before") - F.lit(k) * F.col("source_size")))
+        for k in range(epochs)
+    )
+    columns = [F.col("key").alias(key), "size", F.col("source").alias(source), "source_size", "target", taken.cast("long").alias("taken")]
+    if not positions:
+        return queued.select(*columns)
     copies = queued.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     start = F.col("before") + F.col("epoch") * F.col("source_size")
     words = F.greatest(F.lit(0), F.least(F.col("size"), whole - start))
     served = copies.withColumn("words", words).where("words > 0")
     served = served.withColumn("finish", (start + F.col("size")) / F.col("target"))
     position = _positions(served).groupBy("row").agg(F.min("position").alias("position"))
-    taken = sum(
-        F.greatest(F.lit(0), F.least(F.col("size"), whole - F.col("before") - F.lit(k) * F.col("source_size")))
-        for k in range(epochs)
-    )
-    return queued.join(position, "row", "left").select(
-        F.col("key").alias(key),
-        "size",
-        F.col("source").alias(source),
-        "source_size",
-        "target",
-        taken.cast("long").alias("taken"),
-        "position",
-    )
+    return queued.join(position, "row", "left").select(*columns, "position")
 
 
 def _queue(sized: DataFrame, per_source: DataFrame, targets: DataFrame, rows_per_slice: int) -> DataFrame:
@@ -163,12 +160,14 @@ def _positions(served: DataFrame) -> DataFrame:
     return joined.select("row", (F.col("ahead") + F.col("inside")).alias("position"))
 
 
-def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", whole: bool = False, **options) -> DataFrame:
     """``docs`` as often as the mix takes them; the last, cut reading of a document holds its first words only.
 
+    With ``whole`` that reading holds the whole text, so a source may exceed its target by the rest of one document.
+
     Rows that repeat a key share what the mix takes of that key. The columns stay those of ``docs``.
     """
-    found = mix(docs, key, text, source, **options)
+    found = mix(docs, key, text, source, positions=False, **options)
     per_key = found.groupBy(F.col(key).alias("of")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("sizes"))
     rows = wrapped(docs, key=key, text=text)
     joined = rows.join(per_key.where("taken > 0"), F.col("key").eqNullSafe(F.col("of")))
@@ -180,5 +179,5 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     pieces = F.split("text", WORD_START, -1)
     leading = F.col("text").rlike(r"^[\x20\x09-\x0D]").cast("int")
     first_words = F.array_join(F.slice(pieces, F.lit(1), count + leading), "")
-    part = F.when(share >= 1, F.col("text")).when(count > 0, first_words)
+    part = F.when(share > 0 if whole else share >= 1, F.col("text")).when(count > 0, first_words)
     return unwrapped(read.withColumn("part", part).where("part IS NOT NULL"), docs.columns, **{text: F.col("part")})

@@ -10,8 +10,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from careerline.llm import fingerprints, line_dedup, mixing, packing, simhash
 from careerline.llm.components import connected_components
 from careerline.llm.queries import vocabulary
@@ -138,6 +140,21 @@ def test_mixed_documents_hold_the_words_taken(spark, sample):
     assert got == {k: n for k, n in taken.items() if n}
 
 
+def test_whole_documents_of_the_mix(spark, sample):
+    """No reading is a prefix of its document; each source gives its target and at most the rest of one document."""
+    docs = docs_of(spark, sample)
+    texts = {k: t for k, t, _ in sample}
+    mixed = corpus_pipeline.mix_sources(spark, docs.withColumn("n_chars", F.lit(0).cast("long")), "").collect()
+    assert mixed and all(r["text"] == texts[r["doc_id"]] and r["n_chars"] == len(r["text"]) for r in mixed)
+    taken = mixing.mix(docs, positions=False)
+    assert "position" not in taken.columns
+    read, given = Counter(r["doc_id"] for r in mixed), defaultdict(int)
+    for r in taken.collect():
+        assert read[r["doc_id"]] == (math.ceil(r["taken"] / r["size"]) if r["size"] else 0)
+        given[r["source"]] += read[r["doc_id"]] * r["size"] - r["taken"]
+    assert all(0 <= more < max(words(t) for t in texts.values()) for more in given.values())
+
+
 def test_mix_of_an_empty_table(spark):
     assert mixing.mix(docs_of(spark, [])).count() == 0
     assert mixing.mixed_documents(docs_of(spark, [])).count() == 0
