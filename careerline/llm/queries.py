@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careerline.llm import fingerprints, html_text, language, line_dedup, mixing, neighbours, packing, quality, simhash, url_filter
+from careerline.llm import (
+    chat_format, conversation_repair, fill_in_middle, fingerprints, html_text, language, line_dedup, mixing, neighbours, packing, quality,
+    simhash, url_filter,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +90,34 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.classify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The faults of every damaged conversation, its cheapest repair and the hash of the repaired rows."""
+    return conversation_repair.digests(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+#: A conversation whose texts look like the template.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What can be read back from the training examples of every conversation, and of one with control strings."""
+    given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = [(-7, 0, "user", CONTROL_TEXT), (-7, 1, chat_format.ASSISTANT, CONTROL_TEXT)]
+    added = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    return chat_format.digests(chat_format.examples(given.unionByName(added)))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form and cuts of every document, and the hashes of its output and of the text made from it again."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = fill_in_middle.fill_in_middle(docs)
+    again = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"),
+    )
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
@@ -98,4 +129,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_quality": op9_quality,
     "op10_language": op10_language,
+    "op11_repair": op11_repair,
+    "op12_chat_format": op12_chat_format,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
