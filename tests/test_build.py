@@ -15,17 +15,21 @@ from tests import fixture_files as feed
 D = datetime.date
 
 
+def roster(spark, rows=feed.ROSTER):
+    return seeds.literal_seed(spark, rows, seeds.ROSTER_SCHEMA)
+
+
 @pytest.fixture(scope="module")
 def built(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("run")
     source = feed.write_feed(folder / "source")
     warehouse = Warehouse(spark, str(folder / "warehouse"))
     ingest(warehouse, str(source))
-    plan.build(warehouse)
+    plan.build(warehouse, roster=roster(spark))
     first = {n: sorted(map(repr, f.collect())) for n, f in plan.stored_marts(warehouse).items()}
     again = Warehouse(spark, str(folder / "warehouse"))
     ingest(again, str(source))
-    plan.build(again)
+    plan.build(again, roster=roster(spark))
     return first, again
 
 
@@ -51,66 +55,61 @@ def test_unchanged_inputs_write_nothing_and_a_rebuild_gives_the_same(spark, plac
     warehouse = Warehouse(spark, root)
     content = {n: sorted(map(repr, f.collect())) for n, f in plan.stored_marts(warehouse).items()}
     ingest(warehouse, str(source))
-    tables = plan.build(warehouse)
+    tables = plan.build(warehouse, roster=roster(spark))
     assert tables.keys() == {"tourney_levels", *plan.STORED}
-    assert spark.table("dim_players").count() == 6
+    assert spark.table("dim_players").count() == 7
     assert snapshots() == before
-    plan.build(warehouse, rebuild=True)
+    plan.build(warehouse, rebuild=True, roster=roster(spark))
     assert all(old != new for old, new in zip(before, snapshots(), strict=True))
     rebuilt = plan.stored_marts(Warehouse(spark, root))
     assert {n: sorted(map(repr, f.collect())) for n, f in rebuilt.items()} == content
-    others = [r for r in seeds.FOCUS_PLAYERS if r[1] != "Nadal"]
-    plan.build(warehouse, roster=seeds.literal_seed(spark, others, seeds.ROSTER_SCHEMA))
+    plan.build(warehouse, roster=roster(spark, [r for r in feed.ROSTER if r[1] != "Pell"]))
     players = plan.stored_marts(warehouse)["mart_age_curves"].select("display_name").distinct()
-    assert {r[0] for r in players.collect()} == {"Federer", "Djokovic", "Alcaraz", "Sinner"}
+    assert {r[0] for r in players.collect()} == {"Osk", "Quarn", "Rill", "Stav", "Tarn"}
 
 
 def test_layer_sizes(built):
     _, warehouse = built
     sizes = {n: f.count() for n, f in plan.stored_marts(warehouse).items()}
     assert sizes == {
-        "stg_matches": 6,
-        "stg_players": 6,
-        "stg_rankings": 5,
-        "int_player_matches": 12,
-        "dim_players": 6,
-        "fct_player_matches": 12,
+        "stg_matches": 9,
+        "stg_players": 7,
+        "stg_rankings": 6,
+        "int_player_matches": 18,
+        "dim_players": 7,
+        "fct_player_matches": 18,
         "mart_no1_weeks": 4,
-        "mart_slam_titles": 3,
-        "mart_age_curves": 7,
+        "mart_slam_titles": 2,
+        "mart_age_curves": 9,
         "mart_pace_comparison": 8,
         "mart_big3_era_slams": 2,
-        "mart_vs_big3_h2h": 2,
+        "mart_vs_big3_h2h": 3,
     }
 
 
 def test_dimension(built):
     _, warehouse = built
     dim = {r[0]: r[1:] for r in rows(warehouse, "dim_players", "player_id", "display_name", "cohort", "is_focus_player")}
-    assert dim[feed.OPPONENT] == ("Test Opponent", None, False)
-    assert dim[feed.SINNER] == ("Sinner", "New generation", True)
-    assert sum(focus for _, _, focus in dim.values()) == 5
+    assert dim[feed.UMBER] == ("Ulf Umber", None, False)
+    assert dim[feed.RILL] == ("Rill", "New generation", True)
+    assert sum(focus for _, _, focus in dim.values()) == 6
 
 
 def test_weeks_at_number_one(built):
     _, warehouse = built
     found = rows(warehouse, "mart_no1_weeks", "ranking_date", "display_name", F.round("age_at_ranking", 4), order=["ranking_date"])
     assert found == [
-        (D(2004, 2, 2), "Federer", 22.4860),
-        (D(2004, 2, 9), "Federer", 22.5051),
-        (D(2024, 6, 10), "Sinner", 22.8172),
-        (D(2024, 6, 17), "Sinner", 22.8364),
+        (D(2007, 7, 9), "Pell", 26.8118),
+        (D(2007, 7, 16), "Pell", 26.8309),
+        (D(2019, 7, 8), "Rill", 22.5462),
+        (D(2019, 11, 4), "Stav", 21.5852),
     ]
 
 
 def test_slam_titles(built):
     _, warehouse = built
     found = rows(warehouse, "mart_slam_titles", "season", "tourney_name", "display_name", "age_at_title", order=["tourney_date"])
-    assert found == [
-        (2003, "Wimbledon", "Federer", 21.87),
-        (2024, "Australian Open", "Sinner", 22.41),
-        (2024, "Roland Garros", "Alcaraz", 21.06),
-    ]
+    assert found == [(2007, "Summit Open", "Pell", 26.79), (2019, "Summit Open", "Rill", 22.53)]
 
 
 def test_age_curves(built):
@@ -121,13 +120,15 @@ def test_age_curves(built):
         "cum_titles", "cum_slam_titles", "cum_weeks_at_no1", order=["player_id", "age_year"],
     )
     assert found == [
-        ("Federer", 21, 2, 2, 1, 1, 1, 1, 1.0, 1.0, 0, 1, 1, 0),
-        ("Nadal", 17, 1, 0, 1, 0, 0, 0, 0.0, 0.0, 0, 0, 0, 0),
-        ("Nadal", 37, 1, 1, 1, 1, 0, 0, 1.0, 1.0, 0, 0, 0, 0),
-        ("Djokovic", 36, 1, 0, 1, 0, 0, 0, 0.0, 0.0, 0, 0, 0, 0),
-        ("Sinner", 22, 2, 1, 2, 1, 1, 1, 0.5, 0.5, 2, 1, 1, 2),
-        ("Alcaraz", 20, 1, 0, 0, 0, 0, 0, 0.0, None, 0, 0, 0, 0),
-        ("Alcaraz", 21, 1, 1, 1, 1, 1, 1, 1.0, 1.0, 0, 1, 1, 0),
+        ("Osk", 21, 1, 1, 0, 0, 1, 0, 1.0, None, 0, 1, 0, 0),
+        ("Osk", 42, 1, 0, 1, 0, 0, 0, 0.0, 0.0, 0, 1, 0, 0),
+        ("Pell", 17, 1, 0, 0, 0, 0, 0, 0.0, None, 0, 0, 0, 0),
+        ("Pell", 26, 1, 1, 1, 1, 1, 1, 1.0, 1.0, 2, 1, 1, 2),
+        ("Quarn", 24, 2, 1, 1, 0, 0, 0, 0.5, 0.0, 0, 0, 0, 0),
+        ("Quarn", 36, 1, 0, 1, 0, 0, 0, 0.0, 0.0, 0, 0, 0, 0),
+        ("Rill", 22, 3, 2, 1, 1, 1, 1, 0.6667, 1.0, 1, 1, 1, 1),
+        ("Stav", 21, 1, 1, 1, 1, 1, 0, 1.0, 1.0, 1, 1, 0, 1),
+        ("Tarn", 22, 1, 0, 1, 0, 0, 0, 0.0, 0.0, 0, 0, 0, 0),
     ]
 
 
@@ -140,14 +141,14 @@ def test_pace(built):
     new, old = "New generation", "Big 3"
     assert sorted(found, key=repr) == sorted(
         [
-            ("Alcaraz", 21.1, "Alcaraz", new, 1, 1, 1, 0.5, 0),
-            ("Alcaraz", 21.1, "Federer", old, 0, 0, 0, None, 0),
-            ("Alcaraz", 21.1, "Nadal", old, 0, 0, 0, 0.0, 0),
-            ("Alcaraz", 21.1, "Djokovic", old, 0, 0, 0, None, 0),
-            ("Sinner", 22.8, "Sinner", new, 1, 1, 1, 0.5, 0),
-            ("Sinner", 22.8, "Federer", old, 1, 1, 2, 1.0, 2),
-            ("Sinner", 22.8, "Nadal", old, 0, 0, 0, 0.0, 0),
-            ("Sinner", 22.8, "Djokovic", old, 0, 0, 0, None, 0),
+            ("Rill", 22.9, "Rill", new, 1, 1, 2, 0.667, 1),
+            ("Rill", 22.9, "Osk", old, 0, 1, 1, 1.0, 0),
+            ("Rill", 22.9, "Pell", old, 0, 0, 0, 0.0, 0),
+            ("Rill", 22.9, "Quarn", old, 0, 0, 0, None, 0),
+            ("Stav", 21.6, "Stav", new, 0, 1, 1, 1.0, 0),
+            ("Stav", 21.6, "Osk", old, 0, 1, 1, 1.0, 0),
+            ("Stav", 21.6, "Pell", old, 0, 0, 0, 0.0, 0),
+            ("Stav", 21.6, "Quarn", old, 0, 0, 0, None, 0),
         ],
         key=repr,
     )
@@ -160,8 +161,8 @@ def test_era_slams(built):
         "big3_wins_in_run", "big3_beaten", order=["tourney_date"],
     )
     assert found == [
-        (2024, "Sinner", "New generation", "Djokovic", 1, "Djokovic (F)"),
-        (2024, "Alcaraz", "New generation", "Sinner", 0, None),
+        (2007, "Pell", "Big 3", "Quarn", 1, "Quarn (F)"),
+        (2019, "Rill", "New generation", "Osk", 2, "Osk (F), Quarn (SF)"),
     ]
 
 
@@ -169,11 +170,12 @@ def test_head_to_head(built):
     _, warehouse = built
     found = rows(
         warehouse, "mart_vs_big3_h2h", "player", "opponent", "matches", "wins", "win_pct",
-        "slam_matches", "slam_wins", "slam_finals", "slam_finals_won", order=["player"],
+        "slam_matches", "slam_wins", "slam_finals", "slam_finals_won", order=["player", "opponent"],
     )
     assert found == [
-        ("Alcaraz", "Nadal", 1, 0, 0.0, 0, 0, 0, 0),
-        ("Sinner", "Djokovic", 1, 1, 1.0, 1, 1, 1, 1),
+        ("Rill", "Osk", 1, 1, 1.0, 1, 1, 1, 1),
+        ("Rill", "Quarn", 1, 1, 1.0, 1, 1, 0, 0),
+        ("Tarn", "Quarn", 1, 0, 0.0, 1, 0, 0, 0),
     ]
 
 
@@ -184,32 +186,28 @@ def test_reports(built):
         for n, f in reports.all_reports(plan.stored_marts(warehouse)).items()
     }
     assert found["headline"] == [
-        ("Alcaraz", "Alcaraz: Grand Slams at 21.1", 1, "Djokovic", 0, "+1 vs Djokovic at the same age"),
-        ("Sinner", "Sinner: Grand Slams at 22.8", 1, "Federer", 1, "+0 vs Federer at the same age"),
+        ("Rill", "Rill: Grand Slams at 22.9", 1, "Osk", 0, "+1 vs Osk at the same age"),
+        ("Stav", "Stav: Grand Slams at 21.6", 0, "Osk", 0, "+0 vs Osk at the same age"),
     ]
     assert found["anchor_count"] == [(2,)]
-    assert found["cutoff_caption"] == [(1, "27 May 2024")]
-    assert found["era_split"] == [(2, 0, 2)]
-    assert found["other_champions"] == [
-        ("Alcaraz", 1, 0, 1, "1  (0 beating a Big 3 player)"),
-        ("Sinner", 1, 1, 0, "1  (1 beating a Big 3 player)"),
-    ]
-    assert [r[3] for r in found["all_titles"]] == ["Alcaraz", "Sinner", "Federer"]
-    assert [r[2] for r in found["other_titles"]] == ["Sinner", "Alcaraz"]
-    assert [r[1] for r in found["same_age_table"]][:4] == ["Alcaraz", "Djokovic", "Federer", "Nadal"]
-    assert [(r[1], r[4]) for r in found["curve_table"]][:3] == [
-        ("Federer", 21), ("Nadal", 17), ("Nadal", 37),
-    ]
-    assert [r[2] for r in found["pace_bars"]][:4] == ["Djokovic", "Federer", "Nadal", "Alcaraz"]
-    assert found["challenger_finals"] == []
+    assert found["cutoff_caption"] == [(1, "28 Oct 2019")]
+    assert found["era_split"] == [(2, 1, 1)]
+    assert found["other_champions"] == [("Rill", 1, 1, 0, "1  (1 beating a Big 3 player)")]
+    assert [r[3] for r in found["all_titles"]] == ["Rill", "Pell"]
+    assert [r[2] for r in found["other_titles"]] == ["Rill"]
+    assert [r[1] for r in found["same_age_table"]][:4] == ["Rill", "Osk", "Pell", "Quarn"]
+    assert [(r[1], r[4]) for r in found["curve_table"]][:3] == [("Osk", 21), ("Osk", 42), ("Pell", 17)]
+    assert [r[2] for r in found["pace_bars"]][:4] == ["Osk", "Pell", "Quarn", "Rill"]
+    assert found["challenger_finals"] == [("Tarn", 0, 0, 0, "won 0 of 0")]
     assert found["series_win_pct"] == []  # no age with five matches
-    assert len(found["series_cum_slam_titles"]) == 7
+    assert len(found["series_cum_slam_titles"]) == 9
     assert sorted(found["line_ends_cum_slam_titles"]) == [
-        ("Alcaraz", 21, 1.0),
-        ("Djokovic", 36, 0.0),
-        ("Federer", 21, 1.0),
-        ("Nadal", 37, 0.0),
-        ("Sinner", 22, 1.0),
+        ("Osk", 42, 0.0),
+        ("Pell", 26, 1.0),
+        ("Quarn", 36, 0.0),
+        ("Rill", 22, 1.0),
+        ("Stav", 21, 0.0),
+        ("Tarn", 22, 0.0),
     ]
 
 
@@ -224,10 +222,14 @@ def test_there_are_23_checks():
 def place(spark, tmp_path):
     source = feed.write_feed(tmp_path / "source")
     root = str(tmp_path / "warehouse")
-    plan.full_run(spark, str(source), root)
+    run(spark, source, root)
     return source, root
 
 
+def run(spark, source, root, **options):
+    return plan.full_run(spark, str(source), root, roster=roster(spark), **options)
+
+
 def fact(spark, root):
     frame = Warehouse(spark, root).read(plan.FACT)
     return {r["player_match_id"]: r for r in frame.collect()}
@@ -237,47 +239,47 @@ def test_late_corrections(spark, place):
     """Inside 365 days a correction arrives, an older one waits for a full refresh; a row may
     move to another season; a vanished match stays until the full refresh."""
     source, root = place
-    new = [dict(m) for m in feed.NEW_MATCHES]
-    new[0]["surface"] = "Hard"
-    new[1]["tourney_date"] = "20231231"  # moves to another season
-    feed.write_matches(source, 2024, new[:2])  # the third match vanishes
-    old = [dict(m) for m in feed.OLD_MATCHES]
+    new = [dict(m) for m in feed.MATCHES_2019]
+    new[0]["surface"] = "Clay"
+    new[1]["tourney_date"] = "20181231"  # moves to another season
+    feed.write_matches(source, 2019, new[:3])  # the last match vanishes
+    old = [dict(m) for m in feed.MATCHES_2007]
     old[0]["surface"] = "Carpet"
-    feed.write_matches(source, 2003, old)
-    plan.full_run(spark, str(source), root)
+    feed.write_matches(source, 2007, old)
+    run(spark, source, root)
     found = fact(spark, root)
-    assert len(found) == 12
-    final, moved = f"2024-520-127-{feed.ALCARAZ}", f"2024-580-127-{feed.SINNER}"
-    assert found[final]["surface"] == "Hard"
-    assert found[moved]["tourney_date"] == D(2023, 12, 31)
-    assert found[f"2003-540-127-{feed.FEDERER}"]["surface"] == "Grass"
-    assert f"2024-0421-50-{feed.NADAL}" in found
-    assert Warehouse(spark, root).parts(plan.FACT) == ["2003", "2023", "2024"]
-    plan.full_run(spark, str(source), root, full_refresh=True)
+    assert len(found) == 18
+    final, moved = f"2019-61-64-{feed.RILL}", f"2019-61-62-{feed.QUARN}"
+    assert found[final]["surface"] == "Clay"
+    assert found[moved]["tourney_date"] == D(2018, 12, 31)
+    assert found[f"2007-61-64-{feed.PELL}"]["surface"] == "Grass"
+    assert f"2019-90-20-{feed.STAV}" in found
+    assert Warehouse(spark, root).parts(plan.FACT) == ["1998", "2007", "2018", "2019"]
+    run(spark, source, root, full_refresh=True)
     found = fact(spark, root)
-    assert len(found) == 10
-    assert found[f"2003-540-127-{feed.FEDERER}"]["surface"] == "Carpet"
+    assert len(found) == 16
+    assert found[f"2007-61-64-{feed.PELL}"]["surface"] == "Carpet"
 
 
 def test_failing_check_stops_the_run(spark, place):
     source, root = place
     before = fact(spark, root)
-    feed.write_matches(source, 2024, [*feed.NEW_MATCHES, feed.NEW_MATCHES[0]])
+    feed.write_matches(source, 2019, [*feed.MATCHES_2019, feed.MATCHES_2019[0]])
     warehouse = Warehouse(spark, root)
     ingest(warehouse, str(source))
     with pytest.raises(checks.DataCheckError, match="stg_matches.match_id.unique"):
-        plan.build(warehouse)
+        plan.build(warehouse, roster=roster(spark))
     assert fact(spark, root).keys() == before.keys()
-    assert warehouse.read(plan.stored_name("stg_matches")).count() == 6
-    feed.write_matches(source, 2024, feed.NEW_MATCHES)
+    assert warehouse.read(plan.stored_name("stg_matches")).count() == 9
+    feed.write_matches(source, 2019, feed.MATCHES_2019)
     ingest(warehouse, str(source))
-    plan.build(warehouse)
+    plan.build(warehouse, roster=roster(spark))
     assert fact(spark, root).keys() == before.keys()
 
 
 def test_unknown_player_only_warns(spark, place):
     source, root = place
-    stranger = {**feed.NEW_MATCHES[2], "loser_id": 1, "match_num": 51}
-    feed.write_matches(source, 2024, [*feed.NEW_MATCHES, stranger])
-    plan.full_run(spark, str(source), root)
-    assert fact(spark, root)["2024-0421-51-1"]["date_of_birth"] is None
+    stranger = {**feed.MATCHES_2019[2], "loser_id": 1, "match_num": 19}
+    feed.write_matches(source, 2019, [*feed.MATCHES_2019, stranger])
+    run(spark, source, root)
+    assert fact(spark, root)["2019-90-19-1"]["date_of_birth"] is None

@@ -27,11 +27,11 @@ def matches(warehouse):
 def test_second_load_changes_nothing(spark, place):
     source, root = place
     first = load.ingest(Warehouse(spark, root), str(source))
-    assert first == {"skipped": 0, "loaded": 5, "reloaded": 0}
+    assert first == {"skipped": 0, "loaded": 7, "reloaded": 0}
     warehouse = Warehouse(spark, root)
-    assert counts(warehouse) == [6, 6, 5]
-    assert load.ingest(warehouse, str(source)) == {"skipped": 5, "loaded": 0, "reloaded": 0}
-    assert counts(warehouse) == [6, 6, 5]
+    assert counts(warehouse) == [9, 7, 6]
+    assert load.ingest(warehouse, str(source)) == {"skipped": 7, "loaded": 0, "reloaded": 0}
+    assert counts(warehouse) == [9, 7, 6]
 
 
 def test_everything_is_text_with_lineage(spark, place):
@@ -41,12 +41,12 @@ def test_everything_is_text_with_lineage(spark, place):
     types = dict(matches(warehouse).dtypes)
     assert len(types) == len(feed.MATCH_COLUMNS) + 3
     assert {types[c] for c in feed.MATCH_COLUMNS} == {"string"}
-    row = matches(warehouse).where("match_num = '10'").first()
-    assert row["_source_file"] == "atp_matches_2003.csv"
+    row = matches(warehouse).where("match_num = '30'").first()
+    assert row["_source_file"] == "atp_matches_1998.csv"
     assert row["winner_seed"] is None
     manifest = {r["source_file"]: r for r in load.read_manifest(warehouse).collect()}
-    assert manifest["atp_matches_2003.csv"]["file_hash"] == row["_file_hash"]
-    assert manifest["atp_rankings_20s.csv"]["row_count"] == 3
+    assert manifest["atp_matches_1998.csv"]["file_hash"] == row["_file_hash"]
+    assert manifest["atp_rankings_00s.csv"]["row_count"] == 3
 
 
 def print_by_hand(data: bytes) -> str:
@@ -99,7 +99,7 @@ def test_hash_does_not_depend_on_splits_but_on_every_byte(spark, tmp_path):
 def test_rewritten_order_is_a_change(spark, place):
     source, root = place
     load.ingest(Warehouse(spark, root), str(source))
-    path = source / "atp_rankings_20s.csv"
+    path = source / "atp_rankings_10s.csv"
     head, *rows = path.read_text().splitlines()
     path.write_text("\n".join([head, *reversed(rows)]) + "\n")
     assert load.ingest(Warehouse(spark, root), str(source))["reloaded"] == 1
@@ -108,21 +108,21 @@ def test_rewritten_order_is_a_change(spark, place):
 def test_changed_file_replaces_its_part(spark, place):
     source, root = place
     load.ingest(Warehouse(spark, root), str(source))
-    path = source / "atp_matches_2024.csv"
-    path.write_text(path.read_text().replace("6-1 6-2 6-7 6-3", "6-1 6-2 6-7(5) 6-3"))
+    path = source / "atp_matches_2019.csv"
+    path.write_text(path.read_text().replace("6-7 6-4 6-2", "6-7(5) 6-4 6-2"))
     warehouse = Warehouse(spark, root)
-    assert load.ingest(warehouse, str(source)) == {"skipped": 4, "loaded": 0, "reloaded": 1}
-    assert counts(warehouse) == [6, 6, 5]
-    assert matches(warehouse).where("score = '6-1 6-2 6-7(5) 6-3'").count() == 1
+    assert load.ingest(warehouse, str(source)) == {"skipped": 6, "loaded": 0, "reloaded": 1}
+    assert counts(warehouse) == [9, 7, 6]
+    assert matches(warehouse).where("score = '6-7(5) 6-4 6-2'").count() == 1
 
 
 def test_line_end_inside_quotes(spark, place):
     source, root = place
-    rows = [{**feed.OLD_MATCHES[0], "score": 'one\n"two", three'}]
-    feed.write_matches(source, 2003, rows)
+    rows = [{**feed.MATCHES_1998[0], "score": 'one\n"two", three'}]
+    feed.write_matches(source, 1998, rows)
     warehouse = Warehouse(spark, root)
     load.ingest(warehouse, str(source))
-    assert matches(warehouse).where("match_num = '127'").where(
+    assert matches(warehouse).where("match_num = '30'").where(
         F.col("score") == 'one\n"two", three'
     ).count() == 1
 
@@ -130,59 +130,59 @@ def test_line_end_inside_quotes(spark, place):
 def test_columns_are_matched_by_name(spark, place):
     source, root = place
     reordered = [c for c in reversed(feed.MATCH_COLUMNS) if c != "minutes"]
-    feed.write_matches(source, 2024, feed.NEW_MATCHES, reordered)
+    feed.write_matches(source, 2019, feed.MATCHES_2019, reordered)
     warehouse = Warehouse(spark, root)
     load.ingest(warehouse, str(source))
-    row = matches(warehouse).where("tourney_id = '2024-520'").first()
-    assert (row["winner_id"], row["surface"], row["minutes"]) == (str(feed.ALCARAZ), "Clay", None)
+    row = matches(warehouse).where("match_num = '21'").first()
+    assert (row["winner_id"], row["surface"], row["minutes"]) == (str(feed.STAV), "Hard", None)
 
 
 def test_extra_column_is_an_error_and_loads_nothing_of_the_entity(spark, place):
     source, root = place
     load.ingest(Warehouse(spark, root), str(source))
-    feed.write_matches(source, 2024, feed.NEW_MATCHES, [*feed.MATCH_COLUMNS, "weather"])
+    feed.write_matches(source, 2019, feed.MATCHES_2019, [*feed.MATCH_COLUMNS, "weather"])
     warehouse = Warehouse(spark, root)
     with pytest.raises(ValueError, match="weather"):
         load.ingest(warehouse, str(source))
-    assert counts(Warehouse(spark, root)) == [6, 6, 5]
+    assert counts(Warehouse(spark, root)) == [9, 7, 6]
 
 
 def test_a_broken_file_does_not_hold_up_the_others(spark, place):
     source, root = place
-    path = source / "atp_rankings_20s.csv"
+    path = source / "atp_rankings_current.csv"
     sound = path.read_text()
-    path.write_text(sound + "20240624,1\n")
-    feed.write_matches(source, 2024, feed.NEW_MATCHES, [*feed.MATCH_COLUMNS, "weather"])
+    path.write_text(sound + "20191111,1\n")
+    feed.write_matches(source, 2019, feed.MATCHES_2019, [*feed.MATCH_COLUMNS, "weather"])
     with pytest.raises(load.LoadError, match="(?i)malformed") as error:
         load.ingest(Warehouse(spark, root), str(source))
-    assert sorted(error.value.failed) == ["atp_matches_2024.csv", "atp_rankings_20s.csv"]
-    assert error.value.outcomes == {"skipped": 0, "loaded": 3, "reloaded": 0}
-    assert counts(Warehouse(spark, root)) == [3, 6, 2]
+    assert sorted(error.value.failed) == ["atp_matches_2019.csv", "atp_rankings_current.csv"]
+    assert error.value.outcomes == {"skipped": 0, "loaded": 5, "reloaded": 0}
+    assert counts(Warehouse(spark, root)) == [5, 7, 5]
     path.write_text(sound)
-    feed.write_matches(source, 2024, feed.NEW_MATCHES)
-    assert load.ingest(Warehouse(spark, root), str(source)) == {"skipped": 3, "loaded": 2, "reloaded": 0}
-    assert counts(Warehouse(spark, root)) == [6, 6, 5]
+    feed.write_matches(source, 2019, feed.MATCHES_2019)
+    assert load.ingest(Warehouse(spark, root), str(source)) == {"skipped": 5, "loaded": 2, "reloaded": 0}
+    assert counts(Warehouse(spark, root)) == [9, 7, 6]
 
 
 def test_file_reduced_to_its_header_loses_its_rows(spark, place):
     source, root = place
     load.ingest(Warehouse(spark, root), str(source))
-    feed.write_matches(source, 2024, [])
+    feed.write_matches(source, 2007, [])
     warehouse = Warehouse(spark, root)
     assert load.ingest(warehouse, str(source))["reloaded"] == 1
-    assert counts(warehouse) == [3, 6, 5]
-    manifest = load.read_manifest(warehouse).where("source_file = 'atp_matches_2024.csv'").first()
+    assert counts(warehouse) == [6, 7, 6]
+    manifest = load.read_manifest(warehouse).where("source_file = 'atp_matches_2007.csv'").first()
     assert manifest["row_count"] == 0
-    assert load.ingest(warehouse, str(source))["skipped"] == 5
+    assert load.ingest(warehouse, str(source))["skipped"] == 7
 
 
 def test_vanished_file_and_raised_min_year_keep_their_rows(spark, place):
     source, root = place
     load.ingest(Warehouse(spark, root), str(source))
-    (source / "atp_matches_2024.csv").rename(source / "other.csv")
+    (source / "atp_matches_2019.csv").rename(source / "other.csv")
     warehouse = Warehouse(spark, root)
-    assert load.ingest(warehouse, str(source), min_year=2010)["skipped"] == 3
-    assert counts(warehouse) == [6, 6, 5]
+    assert load.ingest(warehouse, str(source), min_year=2005)["skipped"] == 5
+    assert counts(warehouse) == [9, 7, 6]
 
 
 def test_crash_between_data_and_manifest_loads_again(spark, place, monkeypatch):
@@ -192,8 +192,8 @@ def test_crash_between_data_and_manifest_loads_again(spark, place, monkeypatch):
         load.ingest(Warehouse(spark, root), str(source))
     monkeypatch.undo()
     warehouse = Warehouse(spark, root)
-    assert load.ingest(warehouse, str(source))["loaded"] == 5
-    assert counts(warehouse) == [6, 6, 5]
+    assert load.ingest(warehouse, str(source))["loaded"] == 7
+    assert counts(warehouse) == [9, 7, 6]
 
 
 def test_same_name_in_two_folders_is_one_part(spark, place):
@@ -224,19 +224,19 @@ def test_file_names(spark, place):
     frame = spark.createDataFrame([(n,) for n in names], "n string")
     rows = frame.select("n", classify(F.col("n")).alias("e"), season_of(F.col("n")).alias("s"))
     assert {r["n"]: (r["e"], r["s"]) for r in rows.collect()} == names
-    found = discover(spark, str(source), 2010).select("source_file").collect()
-    assert "atp_matches_2003.csv" not in [r["source_file"] for r in found]
+    found = discover(spark, str(source), 2005).select("source_file").collect()
+    assert "atp_matches_1998.csv" not in [r["source_file"] for r in found]
 
 
 def test_superseded_folders_can_be_dropped(spark, place):
     source, root = place
     load.ingest(Warehouse(spark, root), str(source))
-    feed.write_matches(source, 2024, feed.NEW_MATCHES[:1])
+    feed.write_matches(source, 2019, feed.MATCHES_2019[:1])
     warehouse = Warehouse(spark, root)
     load.ingest(warehouse, str(source))
     table = load.raw_table("matches")
     warehouse.drop_superseded([table])
-    assert Warehouse(spark, root).read(table).count() == 4
+    assert Warehouse(spark, root).read(table).count() == 6
 
 
 def test_an_old_handle_cannot_touch_what_was_published_since(spark, tmp_path):
