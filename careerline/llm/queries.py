@@ -102,8 +102,8 @@ CONTROL_TEXT = "\\### Assistant: </turn> ok"
 def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What can be read back from the training examples of every conversation, and of one with control strings."""
     given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    rows = [(-7, 0, "user", CONTROL_TEXT), (-7, 1, chat_format.ASSISTANT, CONTROL_TEXT)]
-    added = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise(chat_format.ASSISTANT).alias("role")
+    added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role, F.lit(CONTROL_TEXT).alias("text"))
     return chat_format.digests(chat_format.examples(given.unionByName(added)))
 
 
