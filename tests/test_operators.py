@@ -1,7 +1,10 @@
 """Column helpers and generic operators, against plain Python on small inputs."""
 
+import contextlib
 import datetime
+import io
 import random
+import re
 
 import duckdb
 import pytest
@@ -23,6 +26,8 @@ from careerline.operators import (
     two_sided,
 )
 from careerline.operators import joins
+from careerline.plans import staging
+from tests import fixture_files
 
 D = datetime.date
 
@@ -242,3 +247,41 @@ def test_one_of_each(spark):
     data = [("ok", True), ("ok", False), ("two", True), ("two", True), ("single", False)]
     frame = local_frame(spark, data, "k string, w boolean")
     assert rows(quality.one_of_each(frame, "k", "w")) == [("single", 1, 0), ("two", 2, 2)]
+
+
+def generated_method_sizes(frame):
+    """Bytes of the largest method in each compiled stage of the plan."""
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        frame.explain("codegen")
+    return [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", shown.getvalue())]
+
+
+def test_typing_is_compiled(spark):
+    """The JVM leaves methods of 8,000 bytes and more to the interpreter."""
+    texts = lambda names: spark.range(9).select(*[F.col("id").cast("string").alias(c) for c in names])
+    columns = [*fixture_files.MATCH_COLUMNS, "_source_file"]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # plans that adapt show no code before they run
+    for typed in (
+        staging.stg_matches(texts(columns)),
+        staging.stg_players(texts(fixture_files.PLAYER_COLUMNS)),
+        staging.stg_rankings(texts(fixture_files.RANKING_COLUMNS)),
+    ):
+        sizes = generated_method_sizes(typed)
+        assert sizes and max(sizes) < 8000
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_days_match_the_pattern_parser(spark):
+    days = spark.range(0, 800_000, 13).select(F.date_add(F.to_date(F.lit("0001-01-01")), F.col("id").cast("int")).alias("day"))
+    texts = days.select("day", F.date_format("day", "yyyyMMdd").alias("text"))
+    for typed in (fn.strict_date, fn.lenient_date):
+        assert texts.where(~F.col("day").eqNullSafe(typed("text"))).count() == 0
+    bad = ["", "1999", "19990229", "20000230", "19991301", "19990100", "00000101", "1999-1-1", "19990101 ", "19990101\n", "١٩٩٩٠١٠١"]
+    frame = spark.createDataFrame([(x,) for x in [*bad, None]], "text string")
+    assert frame.where(fn.lenient_date("text").isNotNull()).count() == 0
+    assert frame.where("text IS NULL").select(fn.strict_date("text").alias("d")).first()["d"] is None
+    for text in bad:
+        with pytest.raises(Exception, match="not a yyyyMMdd date"):
+            frame.where(F.col("text") == text).select(fn.strict_date("text")).collect()
