@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass, replace
 from functools import partial, reduce
 
 from py4j.protocol import Py4JJavaError
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 
 from careerline.operators import local_frame
 from careerline.sources.files import discover, fingerprint
+from careerline.sources.records import read_quoted_csv, split_states
 from careerline.sources.warehouse import Warehouse, side_by_side
 
 MANIFEST = "raw/manifest"
@@ -92,7 +94,8 @@ def read_text_csv(
 
     Spark assigns CSV columns by position, so files with other headers need a read of their own.
     ``whole`` allows line ends inside quotes, which makes a file a single task; files without such
-    line ends are read in splits. Broken rows are an error, or kept in the column ``broken``.
+    line ends are read in splits, and most of the others by :func:`read_quoted_csv`. Broken rows are
+    an error, or kept in the column ``broken``.
     """
     names = [*columns, broken] if broken else columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
@@ -107,25 +110,47 @@ def read_text_csv(
     )
 
 
-def _text_of(spark: SparkSession, files: list[Row], columns: Sequence[str]) -> DataFrame:
-    """All rows of ``files`` (same entity, any header) with lineage."""
+@dataclass(frozen=True)
+class Source:
+    """A file to load and how it is read: by ``lines``, in ``splits`` that put their records together, or ``whole``."""
+
+    name: str
+    path: str
+    file_hash: str
+    header: str
+    route: str
+
+
+def routed(spark: SparkSession, files: Sequence[Row]) -> list[Source]:
+    """``files`` (rows of ``fingerprint``) with the way to read them."""
+    quoted = [f["path"] for f in files if f["quoted_newline"]]
+    unfit = split_states(spark, quoted)[1] if quoted else set()
+    route = lambda f: "lines" if not f["quoted_newline"] else "whole" if f["path"] in unfit else "splits"
+    return [Source(f["source_file"], f["path"], f["file_hash"], f["header"], route(f)) for f in files]
+
+
+def _reads(spark: SparkSession, files: Sequence[Source], broken: str | None = None) -> list[tuple[list[str], DataFrame]]:
+    """One read per header and route: the columns of the files, and their rows with ``_source_file``."""
     reads = []
-    for header, whole in dict.fromkeys((f["header"], f["quoted_newline"]) for f in files):
-        group = [f for f in files if (f["header"], f["quoted_newline"]) == (header, whole)]
-        text = read_text_csv(spark, [f["path"] for f in group], header_columns(header), whole)
-        name = F.col("_metadata.file_name").alias("_source_file")
-        named = text.select("*", name)
-        reads.append(conform(named, [*columns, "_source_file"]))
-    rows = reduce(DataFrame.unionByName, reads)
-    hashes = local_frame(
-        spark,
-        [(f["source_file"], f["file_hash"]) for f in files],
-        "_source_file string, _file_hash string",
-    )
+    for header, route in dict.fromkeys((f.header, f.route) for f in files):
+        paths = [f.path for f in files if (f.header, f.route) == (header, route)]
+        columns = header_columns(header)
+        if route == "splits":
+            rows = read_quoted_csv(spark, paths, columns, "_source_file", broken)
+        else:
+            text = read_text_csv(spark, paths, columns, route == "whole", broken)
+            rows = text.select("*", F.col("_metadata.file_name").alias("_source_file"))
+        reads.append((columns, rows))
+    return reads
+
+
+def _text_of(spark: SparkSession, files: Sequence[Source], columns: Sequence[str]) -> DataFrame:
+    """All rows of ``files`` (same entity, any header) with lineage."""
+    named = [conform(rows, [*columns, "_source_file"]) for _, rows in _reads(spark, files)]
+    hashes = local_frame(spark, [(f.name, f.file_hash) for f in files], "_source_file string, _file_hash string")
     # at most FILES_PER_READ rows
-    return rows.join(F.broadcast(hashes), "_source_file", "left").select(
-        *columns, "_source_file", "_file_hash", F.current_timestamp().alias("_loaded_at")
-    )
+    joined = reduce(DataFrame.unionByName, named).join(F.broadcast(hashes), "_source_file", "left")
+    return joined.select(*columns, "_source_file", "_file_hash", F.current_timestamp().alias("_loaded_at"))
 
 
 class LoadError(ValueError):
@@ -136,19 +161,16 @@ class LoadError(ValueError):
         self.failed, self.outcomes = failed, outcomes
 
 
-def _broken_files(spark: SparkSession, files: list[Row]) -> set[str]:
+def _broken_files(spark: SparkSession, files: Sequence[Source]) -> set[str]:
     """Names of the files with a row that does not fit their header."""
     found: set[str] = set()
-    for header, whole in dict.fromkeys((f["header"], f["quoted_newline"]) for f in files):
-        group = [f["path"] for f in files if (f["header"], f["quoted_newline"]) == (header, whole)]
-        columns = header_columns(header)
-        text = read_text_csv(spark, group, columns, whole, broken="_broken")
+    for columns, text in _reads(spark, files, broken="_broken"):
         # Reading every column keeps the parser from overlooking a ragged row.
-        rows = text.groupBy(F.col("_metadata.file_name").alias("name")).agg(
+        rows = text.groupBy("_source_file").agg(
             F.count("_broken").alias("broken"),
             F.max(F.xxhash64(*[F.col(f"`{c}`") for c in columns])).alias("read"),
         )
-        found |= {r["name"] for r in rows.collect() if r["broken"]}  # one row per file
+        found |= {r["_source_file"] for r in rows.collect() if r["broken"]}  # one row per file
     return found
 
 
@@ -166,7 +188,7 @@ def _load_entity(
         extra = [c for c in header_columns(f["header"]) if c not in columns]
         if extra:
             failed[f["source_file"]] = f"columns not in {table}: {extra}"
-    sound = [f for f in files if f["source_file"] not in failed]
+    sound = routed(warehouse.spark, [f for f in files if f["source_file"] not in failed])
     if not sound:
         return {}, failed
     try:
@@ -175,13 +197,20 @@ def _load_entity(
         broken = _broken_files(warehouse.spark, sound)
         if not broken:
             raise
+    # A stray quote misleads only those who count quotes.
+    in_doubt = [replace(f, route="whole") for f in sound if f.name in broken and f.route == "splits"]
+    sound = [f for f in sound if f.name not in broken]
+    if in_doubt:
+        broken -= {f.name for f in in_doubt}
+        misled = _broken_files(warehouse.spark, in_doubt)
+        broken |= misled
+        sound += [f for f in in_doubt if f.name not in misled]
     failed |= dict.fromkeys(broken, "malformed rows")
-    sound = [f for f in sound if f["source_file"] not in broken]
     return (_load_files(warehouse, table, sound, columns) if sound else {}), failed
 
 
 def _load_files(
-    warehouse: Warehouse, table: str, files: list[Row], columns: Sequence[str]
+    warehouse: Warehouse, table: str, files: list[Source], columns: Sequence[str]
 ) -> dict[str, int]:
     text = reduce(
         DataFrame.unionByName,
@@ -190,7 +219,7 @@ def _load_files(
             for start in range(0, len(files), FILES_PER_READ)
         ],
     )
-    names = [f["source_file"] for f in files]
+    names = [f.name for f in files]
     return warehouse.replace_parts(table, text, F.col("_source_file"), names)
 
 

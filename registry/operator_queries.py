@@ -37,6 +37,7 @@ from careerline.operators import (
 )
 from careerline.sources import ingest
 from careerline.sources.files import file_prints, recognised
+from careerline.sources.records import read_quoted_csv
 from registry.feed import feed_for
 
 
@@ -346,26 +347,32 @@ def insert_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.conform(newer, columns).unionByName(ingest.conform(older, columns))
 
 
-def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written as CSV and read back as text, quotes and line ends included."""
+def _documents_csv(spark: SparkSession, sf_dir: str) -> tuple[str, list[str]]:
+    """The folder of all documents as CSV files, quotes and line ends included, and the columns."""
     documents = _given(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    folder = f"{feed_for(spark, sf_dir).folder}/documents_csv"
+    folder = f"{feed_for(spark, sf_dir).folder}/documents_csv-{uuid.uuid4().hex}"
     (
-        documents.write.mode("overwrite")
-        .option("header", True)
+        documents.write.option("header", True)
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(folder)
     )
-    text = ingest.read_text_csv(spark, [folder], documents.columns, whole=True)
-    return text.select(
-        try_number("doc_id", "bigint").alias("doc_id"),
-        "lang",
-        "source",
-        F.length("text").cast("long").alias("n_chars"),
-        F.md5("text").alias("text_md5"),
-    )
+    return folder, documents.columns
+
+
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as CSV and read back as text, each file as a whole."""
+    folder, columns = _documents_csv(spark, sf_dir)
+    text = ingest.read_text_csv(spark, [folder], columns, whole=True)
+    return text.withColumn("doc_id", try_number("doc_id", "bigint"))
+
+
+def csv_round_trip_in_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as CSV and read back as text, the records put together by splits."""
+    folder, columns = _documents_csv(spark, sf_dir)
+    text = read_quoted_csv(spark, [folder], columns, "file_name").drop("file_name")
+    return text.withColumn("doc_id", try_number("doc_id", "bigint"))
 
 
 def text_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -492,6 +499,7 @@ OPERATOR_QUERIES = {
         classified_files,
         insert_by_name,
         csv_round_trip,
+        csv_round_trip_in_splits,
         text_typing,
         null_logic_flags,
         first_and_last_per_group,
