@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careerline.operators import apply_window, local_frame
@@ -24,11 +24,16 @@ FACT_KEY = "player_match_id"
 FACT_DATE = "tourney_date"
 TRAILING_DAYS = 365
 NO_SEASON = -1
+#: The season of every key of the fact, and the rows that the last refresh brought.
+FACT_KEYS = "marts/fct_player_matches_keys"
+FACT_WINDOW = "marts/fct_player_matches_window"
+#: Ranking rows by source file, before the best of each player and week is picked.
+TYPED_RANKINGS = "staging/typed_rankings"
 
 #: What the stored tables were built from, published together with them.
 BUILT = "marts/built_from"
 #: Another name here has everything built again by changed model rules.
-RULES = "models-1"
+RULES = "models-2"
 ENTITIES = ("matches", "players", "rankings")
 
 # Layer of every stored table.
@@ -52,50 +57,91 @@ def stored_name(name: str) -> str:
     return f"{STORED[name]}/{name}"
 
 
-def _season(frame: DataFrame) -> DataFrame:
-    season = F.coalesce(F.year(FACT_DATE), F.lit(NO_SEASON)).cast("string")
-    return frame.select(season.alias("season"))
+def _season(date: str) -> Column:
+    return F.coalesce(F.year(date), F.lit(NO_SEASON)).cast("string")
 
 
-def _seasons(*frames: DataFrame) -> set[str]:
+def _seasons(frame: DataFrame, date: str = FACT_DATE) -> set[str]:
     """The seasons that occur: as many rows as there are calendar years."""
-    return {r["season"] for f in frames for r in _season(f).distinct().collect()}
+    return {r[0] for r in frame.select(_season(date)).distinct().collect()}
 
 
 def refresh_fact(warehouse: Warehouse, source: DataFrame, full_refresh: bool = False) -> DataFrame:
-    """Bring the stored fact up to date with ``source``; rewrites only the seasons concerned.
+    """Bring the stored fact up to date with ``source``; reads and rewrites only the seasons concerned.
 
     These are the seasons of the trailing window and those that hold an older row with a key of
-    the window: a corrected date can move a row from one season to another.
+    the window: a corrected date can move a row from one season to another. A side table of key hashes tells
+    them (two keys with one hash cost a season that is rewritten as it was), so no other season is opened.
     """
-    season = F.coalesce(F.year(FACT_DATE), F.lit(NO_SEASON)).cast("string")
+    hashed = F.xxhash64(FACT_KEY).alias("key")
+
+    def store(rows: DataFrame, concerned: set[str]) -> None:
+        warehouse.replace_parts(FACT, rows, _season(FACT_DATE), concerned, rebalance=True)
+        keys = warehouse.read(FACT, concerned).select(hashed, _season(FACT_DATE).alias("season"))
+        warehouse.replace_parts(FACT_KEYS, keys, F.col("season"), concerned)
+
     if full_refresh or not warehouse.exists(FACT):
-        concerned = _seasons(source) | set(warehouse.parts(FACT))
-        warehouse.replace_parts(FACT, source, season, concerned, rebalance=True)
+        store(source, _seasons(source) | set(warehouse.parts(FACT)))
         return warehouse.read(FACT)
-    target = warehouse.read(FACT)
-    newest = target.agg(F.max(FACT_DATE)).first()[0]  # a literal skips row groups of both scans
-    window = source.where(F.col(FACT_DATE) >= F.date_sub(F.lit(newest).cast("date"), TRAILING_DAYS))
-    replaced = target.join(window.select(FACT_KEY), FACT_KEY, "left_semi")
-    concerned = _seasons(window, replaced)
+    newest = warehouse.read(FACT).agg(F.max(FACT_DATE)).first()[0]  # a literal skips row groups of the scan
+    since = F.date_sub(F.lit(newest).cast("date"), TRAILING_DAYS)
+    window = warehouse.replace(FACT_WINDOW, source.where(F.col(FACT_DATE) >= since))
+    known = warehouse.read(FACT_KEYS).join(window.select(hashed), "key", "left_semi")
+    concerned = _seasons(window) | {r["season"] for r in known.select("season").distinct().collect()}
     if concerned:
-        refreshed = apply_window(warehouse.read(FACT, concerned), window, FACT_KEY)
-        warehouse.replace_parts(FACT, refreshed, season, concerned, rebalance=True)
+        store(apply_window(warehouse.read(FACT, concerned), window, FACT_KEY), concerned)
     return warehouse.read(FACT)
 
 
-def _built_from(warehouse: Warehouse, *lookups: seeds.Seed) -> str:
-    """A hash of what the models read: the snapshots of the raw tables and the rows of the seeds."""
-    raw = [warehouse.snapshot(raw_table(e)) for e in ENTITIES]
-    # Seeds are small by what they are; the raw tables add one name per source file.
-    rows = [sorted(str(r.asDict()) for r in seed.frame.collect()) for seed in lookups]
-    return hashlib.sha256(json.dumps([RULES, raw, rows]).encode()).hexdigest()
-
-
-def _is_current(warehouse: Warehouse, built_from: str) -> bool:
-    if not all(map(warehouse.exists, [BUILT, *map(stored_name, STORED)])):
-        return False
-    return warehouse.read(BUILT).first()["built_from"] == built_from
+def _inputs(warehouse: Warehouse, roster: seeds.Seed, levels: seeds.Seed) -> dict[str, str]:
+    """What the models read, each with a text that changes when it does: one entry per source file, the rules and the seeds."""
+    found = {f"raw_{e}/{part}": str(folder) for e in ENTITIES for part, folder in warehouse.snapshot(raw_table(e))}
+    for name, seed in (("roster", roster), ("levels", levels)):
+        rows = sorted(str(r.asDict()) for r in seed.frame.collect())  # seeds are small by what they are
+        found[name] = hashlib.sha256("\n".join(rows).encode()).hexdigest()
+    return {**found, "rules": RULES}
+
+
+@dataclass(frozen=True)
+class Changes:
+    """What differs from the inputs of the last build."""
+
+    matches: list[str]
+    players: list[str]
+    rankings: list[str]
+    roster: bool
+    levels: bool
+
+    def __bool__(self) -> bool:
+        return any((self.matches, self.players, self.rankings, self.roster, self.levels))
+
+
+def _changes(warehouse: Warehouse, inputs: dict[str, str], rebuild: bool) -> Changes:
+    """Source files by entity, and seeds, that are new or changed; all of them without a usable last build."""
+    known: dict[str, str] = {}
+    if not rebuild and all(map(warehouse.exists, [BUILT, TYPED_RANKINGS, FACT_KEYS, *map(stored_name, STORED)])):
+        known = {r["input"]: r["state"] for r in warehouse.read(BUILT).collect()}  # one row per source file
+        known = known if known.get("rules") == RULES else {}
+    new = {name for name, state in inputs.items() if known.get(name) != state}
+    files = {e: sorted(n.split("/", 1)[1] for n in new if n.startswith(f"raw_{e}/")) for e in ENTITIES}
+    return Changes(**files, roster="roster" in new, levels="levels" in new)
+
+
+def _store_rankings(warehouse: Warehouse, files: list[str]) -> DataFrame:
+    """Type the rows of ``files`` and pick the best again in the years that they have, or had before."""
+    name, day = stored_name("stg_rankings"), F.col("ranking_date")
+    years = _seasons(warehouse.read(TYPED_RANKINGS, files), "ranking_date") if warehouse.exists(TYPED_RANKINGS) else set()
+    raw = warehouse.read(raw_table("rankings"), files)
+    typed = staging.typed_rankings(raw, "_source_file")
+    warehouse.replace_parts(TYPED_RANKINGS, typed, F.col("_source_file"), files, drop=["_source_file"])
+    years |= _seasons(warehouse.read(TYPED_RANKINGS, files), "ranking_date")
+    dated = sorted(int(y) for y in years if int(y) != NO_SEASON)
+    near = day.isNull()
+    if dated:  # a range of days is pushed down to the scan, a year is not
+        near |= day.between(F.make_date(F.lit(dated[0]), F.lit(1), F.lit(1)), F.make_date(F.lit(dated[-1]), F.lit(12), F.lit(31)))
+    concerned = warehouse.read(TYPED_RANKINGS).where(near & _season("ranking_date").isin(*years))
+    warehouse.replace_parts(name, staging.best_rankings(concerned), _season("ranking_date"), years, rebalance=True)
+    return warehouse.read(name)
 
 
 def build(
@@ -107,67 +153,89 @@ def build(
 ) -> dict[str, DataFrame]:
     """All models over the raw tables; every layer is checked before the next one is built.
 
-    The new tables are published together at the end: a failing check leaves the old ones. If the
-    raw tables and the seeds are those of the last published build, its tables stand as they are, unless
-    ``full_refresh`` or ``rebuild`` asks for more.
+    Only what depends on a source file or seed that has changed since the last build is built and checked again: matches
+    are typed and turned into player rows file by file, rankings typed by file and picked by year, the fact is refreshed, and the
+    marts are made anew from what changed below them. ``rebuild`` takes all files as changed, ``full_refresh``
+    also replaces the whole fact. The new tables are published together at the end: a failing check leaves the old ones.
     """
     spark = warehouse.spark
     roster = roster or seeds.focus_players(spark)
     levels = levels or seeds.tourney_levels(spark)
-    built_from = _built_from(warehouse, roster, levels)
-    if not (full_refresh or rebuild) and _is_current(warehouse, built_from):
+    inputs = _inputs(warehouse, roster, levels)
+    changes = _changes(warehouse, inputs, rebuild or full_refresh)
+    if not changes:
         tables = stored_marts(warehouse)
         for name, frame in tables.items():
             frame.createOrReplaceTempView(name)
         return {"tourney_levels": levels.frame, **tables}
-    raw = {e: warehouse.read(raw_table(e)) for e in ENTITIES}
 
     tables = {"tourney_levels": levels.frame}
+    touched: set[str] = {"tourney_levels"} if changes.levels else set()
+
+    def store(steps: dict[str, tuple[object, Callable[[], object]]]) -> None:
+        """Run the steps that there is a reason for, side by side, and register their tables."""
+        due = {name: step for name, (reason, step) in steps.items() if reason}
+        side_by_side(list(due.values()))
+        touched.update(due)
+        for name in steps:
+            tables[name] = warehouse.read(stored_name(name))
+            tables[name].createOrReplaceTempView(name)
 
-    def store(**models: Callable[[], DataFrame]) -> None:
-        """Store models that do not depend on each other."""
+    def whole(name: str, model: Callable[[], DataFrame]) -> Callable[[], object]:
+        return lambda: warehouse.replace(stored_name(name), model())
 
-        def write(name: str) -> None:
-            tables[name] = warehouse.replace(stored_name(name), models[name]())
-            tables[name].createOrReplaceTempView(name)
+    def gate(wanted: Iterable[checks.Check]) -> None:
+        concerned = [c for c in wanted if c.table in touched or c.options.get("parent") in touched]
+        if concerned:
+            checks.gate(tables, concerned)
+
+    def store_matches() -> None:
+        typed = staging.stg_matches(warehouse.read(raw_table("matches"), changes.matches))
+        warehouse.replace_parts(stored_name("stg_matches"), typed, F.col("_source_file"), changes.matches)
 
-        side_by_side([partial(write, name) for name in models])
+    def store_player_matches() -> None:
+        every = changes.players or changes.levels
+        files = [p for p, _ in warehouse.snapshot(stored_name("stg_matches"))] if every else changes.matches
+        matches = warehouse.read(stored_name("stg_matches"), files)
+        rows = marts.int_player_matches(matches, tables["stg_players"], levels, more=["_source_file"])
+        warehouse.replace_parts(stored_name("int_player_matches"), rows, F.col("_source_file"), files, drop=["_source_file"])
 
     with warehouse.publishing():
-        store(
-            stg_matches=lambda: staging.stg_matches(raw["matches"]),
-            stg_players=lambda: staging.stg_players(raw["players"]),
-            stg_rankings=lambda: staging.stg_rankings(raw["rankings"]),
-        )
-        checks.gate(tables, checks.STAGING)
-
-        store(
-            int_player_matches=lambda: marts.int_player_matches(
-                tables["stg_matches"], tables["stg_players"], levels
-            ),
-            dim_players=lambda: marts.dim_players(tables["stg_players"], roster),
-        )
-        dim = tables["dim_players"]
-        checks.gate(tables, [*checks.INTERMEDIATE, *checks.DIMENSION])
-
-        fct = refresh_fact(warehouse, tables["int_player_matches"], full_refresh)
-        fct.createOrReplaceTempView("fct_player_matches")
-        tables["fct_player_matches"] = fct
-        checks.gate(tables, checks.FACT)
-
-        store(
-            mart_no1_weeks=lambda: marts.mart_no1_weeks(tables["stg_rankings"], dim),
-            mart_slam_titles=lambda: marts.mart_slam_titles(fct, dim),
-            mart_big3_era_slams=lambda: marts.mart_big3_era_slams(fct, dim, roster.rows),
-            mart_vs_big3_h2h=lambda: marts.mart_vs_big3_h2h(fct, dim, roster.rows),
-        )
+        raw_players = partial(warehouse.read, raw_table("players"))
+        store({
+            "stg_matches": (changes.matches, store_matches),
+            "stg_players": (changes.players, whole("stg_players", lambda: staging.stg_players(raw_players()))),
+            "stg_rankings": (changes.rankings, partial(_store_rankings, warehouse, changes.rankings)),
+        })
+        gate(checks.STAGING)
+
+        store({
+            "int_player_matches": (changes.matches or changes.players or changes.levels, store_player_matches),
+            "dim_players": (changes.players or changes.roster, whole("dim_players", lambda: marts.dim_players(tables["stg_players"], roster))),
+        })
+        gate([*checks.INTERMEDIATE, *checks.DIMENSION])
+
+        facts_due = full_refresh or "int_player_matches" in touched
+        store({"fct_player_matches": (facts_due, lambda: refresh_fact(warehouse, tables["int_player_matches"], full_refresh))})
+        gate(checks.FACT)
+
+        fct, dim = tables["fct_player_matches"], tables["dim_players"]
+        rows = roster.rows
+        careers = bool(touched & {"fct_player_matches", "dim_players"}) or changes.roster
+        weeks = bool(touched & {"stg_rankings", "dim_players"})
+        store({
+            "mart_no1_weeks": (weeks, whole("mart_no1_weeks", lambda: marts.mart_no1_weeks(tables["stg_rankings"], dim))),
+            "mart_slam_titles": (careers, whole("mart_slam_titles", lambda: marts.mart_slam_titles(fct, dim))),
+            "mart_big3_era_slams": (careers, whole("mart_big3_era_slams", lambda: marts.mart_big3_era_slams(fct, dim, rows))),
+            "mart_vs_big3_h2h": (careers, whole("mart_vs_big3_h2h", lambda: marts.mart_vs_big3_h2h(fct, dim, rows))),
+        })
         no1 = tables["mart_no1_weeks"]
-        store(
-            mart_age_curves=lambda: marts.mart_age_curves(fct, dim, no1, roster.rows),
-            mart_pace_comparison=lambda: marts.mart_pace_comparison(fct, dim, no1, roster.rows),
-        )
-        checks.gate(tables, checks.MARTS)
-        warehouse.replace(BUILT, local_frame(spark, [(built_from,)], "built_from string"))
+        store({
+            "mart_age_curves": (careers or weeks, whole("mart_age_curves", lambda: marts.mart_age_curves(fct, dim, no1, rows))),
+            "mart_pace_comparison": (careers or weeks, whole("mart_pace_comparison", lambda: marts.mart_pace_comparison(fct, dim, no1, rows))),
+        })
+        gate(checks.MARTS)
+        warehouse.replace(BUILT, local_frame(spark, sorted(inputs.items()), "input string, state string"))
     return tables
 
 
@@ -188,5 +256,4 @@ def full_run(
     warehouse = Warehouse(spark, root)
     log.info("load: %s", ingest(warehouse, source_dir, min_year))
     build(warehouse, full_refresh, roster)
-    warehouse.drop_superseded()
     return reports.all_reports(stored_marts(warehouse))

@@ -8,6 +8,7 @@ them without a shuffle, whatever its size and however its rows are spread over p
 from __future__ import annotations
 
 import datetime
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +36,13 @@ TOP_RANK = 10
 FINAL = "F"
 
 
-def int_player_matches(matches: DataFrame, players: DataFrame, levels: Seed) -> DataFrame:
-    """Two rows per match, one from each side, with age, level and title flags."""
+def int_player_matches(
+    matches: DataFrame, players: DataFrame, levels: Seed, more: Sequence[str] = ()
+) -> DataFrame:
+    """Two rows per match, one from each side, with age, level and title flags.
+
+    The columns ``more`` of a match come last.
+    """
     rows = two_sided(
         matches,
         common=[
@@ -49,6 +55,7 @@ def int_player_matches(matches: DataFrame, players: DataFrame, levels: Seed) ->
             "round_code",
             "best_of",
             "is_incomplete",
+            *more,
         ],
         first={
             "player_id": "winner_id",
@@ -64,7 +71,7 @@ def int_player_matches(matches: DataFrame, players: DataFrame, levels: Seed) ->
         },
         flag="is_win",
     )
-    columns = rows.columns
+    columns = [c for c in rows.columns if c not in more]
     births = players.select("player_id", "date_of_birth")
     return (
         rows.join(small_side(levels.frame, levels.rows), "tourney_level", "left")
@@ -78,6 +85,7 @@ def int_player_matches(matches: DataFrame, players: DataFrame, levels: Seed) ->
             years_between("date_of_birth", "tourney_date").alias("age_at_match"),
             (F.col("opponent_rank") <= TOP_RANK).alias("vs_top10"),
             ((F.col("round_code") == FINAL) & F.col("is_win")).alias("is_title"),
+            *more,
         )
     )
 

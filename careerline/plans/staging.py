@@ -66,16 +66,26 @@ def stg_players(raw: DataFrame) -> DataFrame:
     return keep_first(typed, ["player_id"], [F.col(c).asc_nulls_last() for c in tie_breaks])
 
 
-def stg_rankings(raw: DataFrame) -> DataFrame:
-    """One row per player and week: the best rank, then the most points.
-
-    Neighbouring files repeat weeks, and now and then with another rank for the same player.
-    """
-    typed = raw.select(
+def typed_rankings(raw: DataFrame, *more: str) -> DataFrame:
+    """Ranking rows as typed, and the columns ``more`` as they are."""
+    return raw.select(
         strict_date("ranking_date").alias("ranking_date"),
         try_number("rank").alias("ranking"),
         try_number("player", "bigint").alias("player_id"),
         try_number("points").alias("ranking_points"),
+        *more,
     ).where(F.col("player_id").isNotNull() & F.col("ranking").isNotNull())
+
+
+def best_rankings(typed: DataFrame) -> DataFrame:
+    """One row per player and week: the best rank, then the most points.
+
+    Neighbouring files repeat weeks, and now and then with another rank for the same player.
+    """
     order = [F.col("ranking").asc_nulls_last(), F.col("ranking_points").desc_nulls_last()]
     return keep_first(typed, ["ranking_date", "player_id"], order)
+
+
+def stg_rankings(raw: DataFrame) -> DataFrame:
+    """One row per player and week of the raw rankings."""
+    return best_rankings(typed_rankings(raw))

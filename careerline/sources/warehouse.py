@@ -1,12 +1,9 @@
-"""Parquet tables whose snapshots replace each other in one step.
-
-Plain Parquet folders have no transactions, and a table must not be overwritten while the same
-plan reads it. So every write goes to a folder of its own that no other write can name, and
-``publish`` appends one file to a commit log that makes all writes since the last one visible
-together. A run that dies before that leaves the old snapshots in place. A table is either one
-snapshot or a set of parts (seasons, source files) that are replaced one by one. One writer at a
-time is meant, whose threads may write different tables; a handle that was opened before somebody
-else published a table it writes is refused.
+"""Parquet tables that become visible together.
+
+Every write goes to a folder of its own. One small table, the pointer, tells the folders that are in force; ``publish`` replaces it
+by one with the new folders, so a run that dies before leaves everything as it was. A table is one folder or a set of parts
+(seasons, source files) that are replaced one by one. One writer at a time is meant, whose threads may write different
+tables. Folders that no pointer names are left to the owner of the root folder.
 """
 
 from __future__ import annotations
@@ -26,10 +23,8 @@ from pyspark.sql import types as T
 
 from careerline.operators.local import local_frame
 
-LINE_SCHEMA = "table_name string, version int, part string, folder string, columns string"
-LOG_SCHEMA = f"{LINE_SCHEMA}, committed_at timestamp"
-WHOLE = ""
-THREADS = 4
+POINTER_SCHEMA = "turn long, table_name string, part string, folder string, columns string"
+WHOLE, THREADS = "", 4
 Result = TypeVar("Result")
 PLAIN_NAME = re.compile(r"[\w.\-]+")
 
@@ -44,130 +39,98 @@ class Warehouse:
     """Tables named ``layer/name`` below one folder that all executors can reach."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark = spark
-        self.root = root.rstrip("/")
-        self._read_log()
-
-    def _read_log(self) -> None:
-        self._live: dict[str, dict[str, str | None]] = {}
-        self._columns: dict[str, T.StructType] = {}
-        self._version: dict[str, int] = {}  # as published
-        self._unpublished: list[tuple] = []
-        try:
-            log = self.spark.read.schema(LOG_SCHEMA).parquet(self._log)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return
-        newest = F.max_by(F.struct("version", "folder", "columns"), "version").alias("newest")
-        for row in log.groupBy("table_name", "part").agg(newest).collect():  # one row per part
-            self._remember(row["table_name"], {row["part"]: row["newest"]["folder"]})
-            if row["newest"]["version"] >= self._version.get(row["table_name"], 0):
-                self._version[row["table_name"]] = row["newest"]["version"]
-                columns = T.StructType.fromJson(json.loads(row["newest"]["columns"]))
-                self._columns[row["table_name"]] = columns
-
-    @property
-    def _log(self) -> str:
-        return f"{self.root}/commits"
-
-    def _remember(self, table: str, parts: dict[str, str | None]) -> None:
-        self._live.setdefault(table, {}).update(parts)
+        self.spark, self.root = spark, root.rstrip("/")
+        self._open()
+
+    def _open(self) -> None:
+        self._turn, self._opened = self._published()
+        self._tables = dict(self._opened)
+        self._written: set[str] = set()
+
+    def _published(self) -> tuple[int, dict[str, tuple[str, dict[str, str | None]]]]:
+        """The newest pointer: per table its columns, and its folders by part. Two folders hold
+        pointers in turn, so one of them is complete at any time."""
+        found = []
+        for slot in (0, 1):
+            try:
+                found.append(self.spark.read.schema(POINTER_SCHEMA).parquet(f"{self.root}/pointer-{slot}").collect())  # a row per part
+            except AnalysisException as error:
+                if error.getCondition() != "PATH_NOT_FOUND":
+                    raise
+        rows = max((x for x in found if x), key=lambda x: x[0]["turn"], default=[])
+        tables: dict[str, tuple[str, dict]] = {r["table_name"]: (r["columns"], {}) for r in rows}
+        for r in rows:
+            tables[r["table_name"]][1][r["part"]] = r["folder"]
+        return (rows[0]["turn"] if rows else 0), tables
 
     def exists(self, table: str) -> bool:
-        return table in self._columns
+        return table in self._tables
 
     def columns(self, table: str) -> list[str]:
-        return self._columns[table].names
+        return T.StructType.fromJson(json.loads(self._tables[table][0])).names
 
     def parts(self, table: str) -> list[str]:
         """Parts that hold rows."""
-        return sorted(p for p, folder in self._live.get(table, {}).items() if folder)
+        return [p for p, folder in self.snapshot(table) if folder]
 
     def snapshot(self, table: str) -> list[tuple[str, str | None]]:
         """Parts and their folders: the same for as long as nothing of the table is written."""
-        return sorted(self._live.get(table, {}).items())
+        return sorted(self._tables[table][1].items()) if self.exists(table) else []
 
     def read(self, table: str, parts: Iterable[str] | None = None) -> DataFrame:
-        """The live rows, of all parts or of the named ones only."""
-        live = self._live[table]
-        chosen = live if parts is None else [p for p in parts if p in live]
-        folders = sorted(live[p] for p in chosen if live[p])
-        schema = self._columns[table]
-        if not folders:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*folders)
+        """The rows in force, of all parts or of the named ones only."""
+        schema = T.StructType.fromJson(json.loads(self._tables[table][0]))
+        wanted = None if parts is None else set(parts)
+        folders = [folder for p, folder in self.snapshot(table) if folder and (wanted is None or p in wanted)]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
     def replace(self, table: str, frame: DataFrame) -> DataFrame:
-        """Make ``frame`` the whole content of ``table``; returns the stored table.
-
-        This session sees it at once, others after ``publish``.
-        """
-        folder = self._next_folder(table)
+        """Make ``frame`` the whole content of ``table``; this session sees it at once, others after ``publish``."""
+        folder = self._new_folder(table)
         frame.write.parquet(folder)
-        self._written(table, frame.schema, {WHOLE: folder})
+        self._now(table, frame.schema, {WHOLE: folder})
         return self.read(table)
 
-    def replace_parts(
-        self,
-        table: str,
-        frame: DataFrame,
-        part: Column,
-        parts: Iterable[str],
-        rebalance: bool = False,
-    ) -> dict[str, int]:
-        """Replace ``parts`` by the rows of ``frame``; returns the number of rows of each.
-
-        A part without rows ends up empty; parts that are not named stay untouched.
-        ``rebalance`` asks Spark to even out the files: small parts are put together and a part
-        that holds most rows is split over several tasks.
+    def replace_parts(self, table: str, frame: DataFrame, part: Column, parts: Iterable[str], rebalance: bool = False, drop: Sequence[str] = ()) -> dict[str, int]:
+        """Replace ``parts`` by the rows of ``frame``, without the columns ``drop``; returns the number of rows of each.
+
+        A part without rows ends up empty; parts that are not named stay untouched. ``rebalance`` evens out the
+        files: small parts are put together and a part that holds most rows is split over several tasks.
         """
         wanted = sorted(parts)
-        for name in wanted:
-            if not PLAIN_NAME.fullmatch(name):
-                raise ValueError(f"{name!r} cannot name a part of {table}")
-        folder = self._next_folder(table)
-        schema = frame.schema
-        tagged = frame.withColumn("_part", part.cast("string"))
-        if rebalance:
-            tagged = tagged.hint("rebalance", F.col("_part"))
-        tagged.write.partitionBy("_part").parquet(folder)
+        if bad := [name for name in wanted if not PLAIN_NAME.fullmatch(name)]:
+            raise ValueError(f"{bad[0]!r} cannot name a part of {table}")
+        folder = self._new_folder(table)
+        tagged = frame.withColumn("_part", part.cast("string")).drop(*drop)
+        (tagged.hint("rebalance", F.col("_part")) if rebalance else tagged).write.partitionBy("_part").parquet(folder)
         stored = self.spark.read.schema(T.StructType().add("_part", "string")).parquet(folder)
         rows = {r["_part"]: r["count"] for r in stored.groupBy("_part").count().collect()}
-        unexpected = sorted(set(rows) - set(wanted))
-        if unexpected:
+        if unexpected := sorted(set(rows) - set(wanted)):
             raise ValueError(f"rows of unnamed parts of {table}: {unexpected[:5]}")
-        self._written(
-            table, schema, {p: f"{folder}/_part={p}" if p in rows else None for p in wanted}
-        )
+        now = {p: f"{folder}/_part={p}" if p in rows else None for p in wanted}
+        self._now(table, tagged.drop("_part").schema, {**dict(self.snapshot(table)), **now})
         return {p: rows.get(p, 0) for p in wanted}
 
-    def _next_folder(self, table: str) -> str:
-        if any(line[0] == table for line in self._unpublished):
+    def _new_folder(self, table: str) -> str:
+        if table in self._written:
             raise ValueError(f"{table} is written already; publish first")
-        return f"{self.root}/{table}/v{self._version.get(table, 0) + 1:06d}-{uuid.uuid4().hex}"
+        return f"{self.root}/{table}/{uuid.uuid4().hex}"
 
-    def _written(self, table: str, schema: T.StructType, parts: dict[str, str | None]) -> None:
-        version = self._version.get(table, 0) + 1
-        lines = [(table, version, p, folder, schema.json()) for p, folder in parts.items()]
-        self._unpublished.extend(lines)
-        self._columns[table] = schema
-        self._remember(table, parts)
+    def _now(self, table: str, schema: T.StructType, parts: dict[str, str | None]) -> None:
+        self._written.add(table)
+        self._tables[table] = (schema.json(), parts)
 
     def publish(self) -> None:
         """Make everything written since the last call visible, in one step."""
-        if not self._unpublished:
+        if not self._written:
             return
-        published = Warehouse(self.spark, self.root)._version
-        moved = {t for t, *_ in self._unpublished if published.get(t) != self._version.get(t)}
-        if moved:
-            raise RuntimeError(f"published by another writer in the meantime: {sorted(moved)}")
-        lines = local_frame(self.spark, self._unpublished, LINE_SCHEMA)
-        log = lines.withColumn("committed_at", F.current_timestamp())
-        log.coalesce(1).write.mode("append").parquet(self._log)
-        for table, version, *_ in self._unpublished:
-            self._version[table] = version
-        self._unpublished = []
+        turn, published = self._published()
+        if moved := sorted(t for t in self._written if published.get(t) != self._opened.get(t)):
+            raise RuntimeError(f"published by another writer in the meantime: {moved}")
+        tables = {**published, **{t: self._tables[t] for t in self._written}}
+        rows = [(turn + 1, t, p, folder, columns) for t, (columns, parts) in tables.items() for p, folder in parts.items()]
+        local_frame(self.spark, rows, POINTER_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/pointer-{(turn + 1) % 2}")
+        self._open()
 
     @contextmanager
     def publishing(self) -> Iterator[None]:
@@ -175,22 +138,6 @@ class Warehouse:
         try:
             yield
         except BaseException:
-            self._read_log()
+            self._open()
             raise
         self.publish()
-
-    def drop_superseded(self, tables: Iterable[str] | None = None) -> None:
-        """Delete published folders that no published part points to any more, of all tables or of
-        the named ones. Call it when nobody reads older snapshots."""
-        if self._unpublished:
-            raise ValueError("publish before folders are dropped")
-        published = Warehouse(self.spark, self.root)
-        wanted = sorted(published._live if tables is None else tables)
-        live = {folder for t in wanted for folder in published._live[t].values() if folder}
-        log = self.spark.read.schema(LOG_SCHEMA).parquet(self._log)
-        old = log.where(F.col("table_name").isin(wanted) & F.col("folder").isNotNull())
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for row in old.select("folder").distinct().collect():  # one row per part and version
-            if row["folder"] not in live:
-                path = jvm.org.apache.hadoop.fs.Path(row["folder"])
-                path.getFileSystem(conf).delete(path, True)

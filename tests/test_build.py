@@ -261,6 +261,70 @@ def test_late_corrections(spark, place):
     assert found[f"2007-61-64-{feed.PELL}"]["surface"] == "Carpet"
 
 
+def contents(warehouse):
+    return {n: sorted(map(repr, f.collect())) for n, f in plan.stored_marts(warehouse).items()}
+
+
+def test_one_changed_file_is_built_alone(spark, place):
+    """Other files' parts stay as they are; the rows are those of a rebuild."""
+    source, root = place
+    before = Warehouse(spark, root)
+    late = [dict(m) for m in feed.MATCHES_2019]
+    late[2]["minutes"], late[2]["surface"] = 99, "Carpet"
+    feed.write_matches(source, 2019, late)
+    run(spark, source, root)
+    after = Warehouse(spark, root)
+
+    def written(name):
+        old, new = (dict(w.snapshot(plan.stored_name(name))) for w in (before, after))
+        return sorted(p for p in new if old.get(p) != new[p])
+
+    assert written("stg_matches") == written("int_player_matches") == ["atp_matches_2019.csv"]
+    assert written("fct_player_matches") == ["2019"]
+    assert written("stg_players") == written("stg_rankings") == written("dim_players") == written("mart_no1_weeks") == []
+    assert written("mart_age_curves") == [""]
+    delta = contents(after)
+    assert any("Carpet" in row for row in delta["fct_player_matches"])
+    plan.build(after, rebuild=True, roster=roster(spark))
+    assert contents(Warehouse(spark, root)) == delta
+
+
+def test_a_late_ranking_file_is_picked_again_in_its_years(spark, place):
+    """A week that moves to another file and to another year: both years are picked again, others are not."""
+    source, root = place
+    before = dict(Warehouse(spark, root).snapshot(plan.stored_name("stg_rankings")))
+    feed.write_csv(source / "atp_rankings_10s.csv", feed.RANKING_COLUMNS, [("20180101", 1, feed.RILL, 1), ("20191104", 2, feed.STAV, 9)])
+    feed.write_csv(source / "atp_rankings_current.csv", feed.RANKING_COLUMNS, [("20191104", 1, feed.STAV, 9), ("20191104", 3, feed.RILL, 5)])
+    run(spark, source, root)
+    warehouse = Warehouse(spark, root)
+    after = dict(warehouse.snapshot(plan.stored_name("stg_rankings")))
+    assert sorted(p for p in after if before.get(p) != after[p]) == ["2018", "2019"]
+    assert rows(warehouse, "stg_rankings", "ranking", "player_id", order=["ranking_date", "ranking", "player_id"]) == [
+        (1, feed.PELL), (2, feed.OSK), (1, feed.PELL), (1, feed.RILL), (1, feed.STAV), (3, feed.RILL),
+    ]
+    delta = contents(warehouse)
+    plan.build(warehouse, rebuild=True, roster=roster(spark))
+    assert contents(Warehouse(spark, root)) == delta
+
+
+def test_refresh_opens_only_the_seasons_concerned(spark, place, monkeypatch):
+    source, root = place
+    late = [dict(m) for m in feed.MATCHES_2019]
+    late[1]["tourney_date"] = "20181231"
+    feed.write_matches(source, 2019, late)
+    opened = []
+    usual = Warehouse.read
+
+    def read(self, table, parts=None):
+        if table == plan.FACT and parts is not None:
+            opened.append(sorted(parts))
+        return usual(self, table, parts)
+
+    monkeypatch.setattr(Warehouse, "read", read)
+    run(spark, source, root)
+    assert set(map(tuple, opened)) == {("2018", "2019")}
+
+
 def test_failing_check_stops_the_run(spark, place):
     source, root = place
     before = fact(spark, root)

@@ -228,17 +228,6 @@ def test_file_names(spark, place):
     assert "atp_matches_1998.csv" not in [r["source_file"] for r in found]
 
 
-def test_superseded_folders_can_be_dropped(spark, place):
-    source, root = place
-    load.ingest(Warehouse(spark, root), str(source))
-    feed.write_matches(source, 2019, feed.MATCHES_2019[:1])
-    warehouse = Warehouse(spark, root)
-    load.ingest(warehouse, str(source))
-    table = load.raw_table("matches")
-    warehouse.drop_superseded([table])
-    assert Warehouse(spark, root).read(table).count() == 6
-
-
 def test_an_old_handle_cannot_touch_what_was_published_since(spark, tmp_path):
     root = str(tmp_path / "w")
     old = Warehouse(spark, root)
@@ -252,16 +241,27 @@ def test_an_old_handle_cannot_touch_what_was_published_since(spark, tmp_path):
     assert Warehouse(spark, root).read("raw/t").count() == 5
 
 
-def test_folders_are_not_dropped_while_writes_are_pending(spark, tmp_path):
-    root = str(tmp_path / "w")
-    warehouse = Warehouse(spark, root)
+def test_a_lost_pointer_write_leaves_the_last_one(spark, tmp_path):
+    """Pointers are written in two folders in turn; whatever happens to the newer one, the older one is whole."""
+    root = tmp_path / "w"
+    for rows in (5, 2, 9):
+        warehouse = Warehouse(spark, str(root))
+        warehouse.replace("raw/t", spark.range(rows).toDF("x"))
+        warehouse.publish()
+        assert Warehouse(spark, str(root)).read("raw/t").count() == rows
+    assert sorted(p.name for p in root.iterdir() if p.name.startswith("pointer")) == ["pointer-0", "pointer-1"]
+    for path in (root / "pointer-1").glob("*.parquet"):  # the third publish, as if it had died while writing
+        path.unlink()
+    assert Warehouse(spark, str(root)).read("raw/t").count() == 2
+
+
+def test_a_table_is_written_once_per_publish(spark, tmp_path):
+    warehouse = Warehouse(spark, str(tmp_path / "w"))
     warehouse.replace("raw/t", spark.range(5).toDF("x"))
-    warehouse.publish()
-    warehouse.replace("raw/t", spark.range(2).toDF("x"))
     with pytest.raises(ValueError, match="publish"):
-        warehouse.drop_superseded()
-    assert Warehouse(spark, root).read("raw/t").count() == 5
+        warehouse.replace("raw/t", spark.range(2).toDF("x"))
     warehouse.publish()
-    warehouse.drop_superseded()
-    assert Warehouse(spark, root).read("raw/t").count() == 2
-    assert len([p for p in (tmp_path / "w" / "raw" / "t").iterdir() if p.is_dir()]) == 1
+    with pytest.raises(RuntimeError, match="lost"), warehouse.publishing():
+        warehouse.replace("raw/t", spark.range(2).toDF("x"))
+        raise RuntimeError("lost")
+    assert warehouse.read("raw/t").count() == 5
