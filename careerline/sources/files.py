@@ -16,7 +16,7 @@ ENTITY_PATTERNS = {
     "rankings": r"^atp_rankings_(\d{2}s|current)\.csv$",
 }
 
-FILE_SCHEMA = "path string, length long, source_file string, entity string"
+FILE_SCHEMA = "path string, length long, modified long, source_file string, entity string"
 
 # Stands before every hash in the manifest, so that another way of hashing reloads the files.
 ALGORITHM = "lines-1"
@@ -50,17 +50,17 @@ def recognised(files: DataFrame, min_year: int) -> DataFrame:
 
 
 def discover(spark: SparkSession, source_dir: str, min_year: int) -> DataFrame:
-    """(path, length, source_file, entity) of the recognised files below ``source_dir``.
+    """(path, length, modified, source_file, entity) of the recognised files below ``source_dir``.
 
     A base name is one partition: of two files with the same name the later path wins. Content
-    is not read here.
+    is not read here; ``modified`` is in microseconds.
     """
     listed = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.csv")
         .load(source_dir)
-        .select("path", "length", base_name(F.col("path")).alias("source_file"))
+        .select("path", "length", F.unix_micros("modificationTime").alias("modified"), base_name(F.col("path")).alias("source_file"))
     )
     return keep_first(recognised(listed, min_year), ["source_file"], [F.desc("path")])
 

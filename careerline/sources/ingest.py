@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from careerline.operators import local_frame
-from careerline.sources.files import discover, fingerprint
+from careerline.sources.files import ALGORITHM, discover, fingerprint
 from careerline.sources.records import read_quoted_csv, split_states
 from careerline.sources.warehouse import Warehouse, side_by_side
 
 MANIFEST = "raw/manifest"
 MANIFEST_SCHEMA = (
-    "source_file string, entity string, file_hash string, row_count long, loaded_at timestamp"
+    "source_file string, entity string, file_hash string, row_count long, path string, length long, modified long, loaded_at timestamp"
 )
 LINEAGE = ("_source_file", "_file_hash", "_loaded_at")
 OUTCOMES = ("skipped", "loaded", "reloaded")
@@ -229,17 +229,29 @@ def read_manifest(warehouse: Warehouse) -> DataFrame:
     return warehouse.spark.createDataFrame([], MANIFEST_SCHEMA)
 
 
-def ingest(warehouse: Warehouse, source_dir: str, min_year: int = 1990) -> dict[str, int]:
+def unmodified(files: Sequence[Row], manifest: DataFrame) -> set[str]:
+    """Names of the files that have the path, length and time of modification they were loaded with."""
+    known = manifest.where(F.col("file_hash").startswith(f"{ALGORITHM}:")).select("source_file", "path", "length", "modified")
+    seen = {tuple(r) for r in known.collect()}  # one row per file
+    return {f["source_file"] for f in files if (f["source_file"], f["path"], f["length"], f["modified"]) in seen}
+
+
+def ingest(
+    warehouse: Warehouse, source_dir: str, min_year: int = 1990, rehash: bool = False
+) -> dict[str, int]:
     """Load what is new or changed below ``source_dir``; returns files per outcome.
 
-    Raises :class:`LoadError` when all sound files are loaded and published, if others are not.
+    Files are compared by content; those that were not modified since they were loaded are not read
+    again for it, unless ``rehash`` asks for that. Raises :class:`LoadError` when all sound files are loaded and published, if others are not.
     """
     spark = warehouse.spark
     files = discover(spark, source_dir, min_year).collect()  # one row per file
     if not files:
         raise ValueError(f"no source files found in {source_dir}")
     manifest = read_manifest(warehouse)
-    plan = plan_load(fingerprint(spark, files), manifest).collect()
+    same = set() if rehash else unmodified(files, manifest)
+    read = [f for f in files if f["source_file"] not in same]
+    plan = plan_load(fingerprint(spark, read), manifest).collect() if read else []
     changed = sorted((f for f in plan if f["outcome"] != "skipped"), key=lambda f: f["path"])
     failed: dict[str, str] = {}
     if changed:
@@ -254,7 +266,7 @@ def ingest(warehouse: Warehouse, source_dir: str, min_year: int = 1990) -> dict[
             loaded = [f for f in changed if f["source_file"] in counts]
             if loaded:
                 _record(warehouse, manifest, loaded, counts)
-    outcomes = _tally(f["outcome"] for f in plan if f["source_file"] not in failed)
+    outcomes = _tally([*("skipped" for _ in same), *(f["outcome"] for f in plan if f["source_file"] not in failed)])
     if failed:
         raise LoadError(failed, outcomes)
     return outcomes
@@ -264,10 +276,11 @@ def _record(
     warehouse: Warehouse, manifest: DataFrame, changed: list[Row], counts: dict[str, int]
 ) -> None:
     rows = [
-        (f["source_file"], f["entity"], f["file_hash"], counts[f["source_file"]]) for f in changed
+        (f["source_file"], f["entity"], f["file_hash"], counts[f["source_file"]], f["path"], f["length"], f["modified"])
+        for f in changed
     ]
     loaded = local_frame(
-        warehouse.spark, rows, "source_file string, entity string, file_hash string, row_count long"
+        warehouse.spark, rows, MANIFEST_SCHEMA.removesuffix(", loaded_at timestamp")
     ).withColumn("loaded_at", F.current_timestamp())
     warehouse.replace(MANIFEST, upsert_manifest(manifest, loaded))
 

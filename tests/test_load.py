@@ -1,5 +1,7 @@
 """The load: idempotent, one replaceable part per file."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +98,30 @@ def test_hash_does_not_depend_on_splits_but_on_every_byte(spark, tmp_path):
     assert len(set(whole.values())) == len(variants)
 
 
+def test_only_modified_files_are_read_again(spark, place, monkeypatch):
+    """A touched file is compared by content; ``rehash`` compares all of them."""
+    source, root = place
+    load.ingest(Warehouse(spark, root), str(source))
+    read = []
+    usual = load.fingerprint
+    monkeypatch.setattr(load, "fingerprint", lambda spark, files: read.append(sorted(f["source_file"] for f in files)) or usual(spark, files))
+    assert load.ingest(Warehouse(spark, root), str(source)) == {"skipped": 7, "loaded": 0, "reloaded": 0}
+    path = source / "atp_players.csv"
+    os.utime(path, (path.stat().st_atime + 60, path.stat().st_mtime + 60))
+    assert load.ingest(Warehouse(spark, root), str(source)) == {"skipped": 7, "loaded": 0, "reloaded": 0}
+    later = path.stat()
+    path.write_text(path.read_text().replace("NOR", "FRO"))
+    assert load.ingest(Warehouse(spark, root), str(source)) == {"skipped": 6, "loaded": 0, "reloaded": 1}
+    # The same length and time of modification hide a change from all but a comparison by content.
+    known = path.stat()
+    path.write_text(path.read_text().replace("FRO", "NOR"))
+    os.utime(path, ns=(known.st_atime_ns, known.st_mtime_ns))
+    assert later.st_size == known.st_size
+    assert load.ingest(Warehouse(spark, root), str(source))["skipped"] == 7
+    assert load.ingest(Warehouse(spark, root), str(source), rehash=True)["reloaded"] == 1
+    assert [len(names) for names in read] == [1, 1, 7]
+
+
 def test_rewritten_order_is_a_change(spark, place):
     source, root = place
     load.ingest(Warehouse(spark, root), str(source))
