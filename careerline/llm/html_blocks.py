@@ -25,7 +25,12 @@ _BLOCK_TAGS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _VOID_TAGS = frozenset("hr".split())
-_DROPPED_TAGS = "script|style|noscript|template|textarea|select|button|svg|iframe|object|title"
+_DROPPED_TAGS = "script|style|noscript|template|textarea|svg|iframe|title"
+#: Their text is no part of a page either, but they end with the element around them if they are not closed.
+_SKIPPED_TAGS = frozenset("select button object".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A linked heading belongs to the text below it if that has so many words, mostly without links.
+_RUNNING_WORDS = 20
 _ASIDE_TAGS = frozenset("nav footer aside form menu dialog header".split())
 _MAIN_TAGS = frozenset("article main".split())
 _ASIDE_WORDS = frozenset(
@@ -85,20 +90,22 @@ class _Page:
     """Collects blocks while the page is read from start to end."""
 
     def __init__(self) -> None:
-        self.blocks: list[tuple[str, int, int, bool, tuple[int, ...]]] = []
+        self.blocks: list[tuple[str, int, int, bool, bool, tuple[int, ...]]] = []
         # Name, numbers of the elements around it that stand aside, whether in an article; both hold for all inside.
         self.stack: list[tuple[str, tuple[int, ...], bool]] = []
         self.asides = 0
         self.mains: list[tuple[int, ...]] = []  # for each article or main element, what it is inside of
         self.parts: list[str] = []
         self.linked: list[str] = []
-        self.in_link = False
+        # Inline elements that end at the latest with the block around them: how deep that block lies.
+        self.link: int | None = None
+        self.skips: list[tuple[str, int]] = []
 
     def text(self, raw: str) -> None:
-        if raw:
+        if raw and not self.skips:
             plain = html.unescape(raw) if "&" in raw else raw
             self.parts.append(plain)
-            if self.in_link:
+            if self.link is not None:
                 self.linked.append(plain)
 
     def cut(self) -> None:
@@ -106,13 +113,16 @@ class _Page:
         words = "".join(self.parts).split()
         if words:
             linked = sum(map(len, "".join(self.linked).split()))
-            _, aside, main = self.stack[-1] if self.stack else ("", (), False)
-            self.blocks.append((" ".join(words), len(words), linked, main, aside))
+            name, aside, main = self.stack[-1] if self.stack else ("", (), False)
+            self.blocks.append((" ".join(words), len(words), linked, name in _HEADINGS, main, aside))
         self.parts, self.linked = [], []
 
     def open(self, name: str, rest: str) -> None:
         if name == "a":
-            self.in_link = True
+            # An anchor without a target is a place, not a link.
+            self.link = len(self.stack) if any(m[1].lower() == "href" for m in _ATTRIBUTE.finditer(rest)) else None
+        elif name in _SKIPPED_TAGS:
+            self.skips.append((name, len(self.stack)))
         elif name == "br":
             self.parts.append("\n")
             self.linked.append("\n")
@@ -120,8 +130,8 @@ class _Page:
             self.cut()
             if name in _VOID_TAGS:
                 return
-            if self.stack and self.stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-                self.stack.pop()
+            if self.stack and self.stack[-1][0] in ("p", *_HEADINGS):
+                self._leave(len(self.stack) - 1)
             self._close_open_item(name)
             _, aside, main = self.stack[-1] if self.stack else ("", (), False)
             if _stands_aside(name, rest, main):
@@ -135,25 +145,37 @@ class _Page:
         ends = _CLOSED_BY.get(name, ())
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] in ends:
-                del self.stack[k:]
+                self._leave(k)
             elif self.stack[k][0] in _LISTS:
                 return
 
     def close(self, name: str) -> None:
         if name == "a":
-            self.in_link = False
+            self.link = None
+        elif name in _SKIPPED_TAGS:
+            for k in range(len(self.skips) - 1, -1, -1):
+                if self.skips[k][0] == name:
+                    del self.skips[k:]
+                    return
         elif name in _BLOCK_TAGS:
             self.cut()
             for k in range(len(self.stack) - 1, -1, -1):
                 if self.stack[k][0] == name:
-                    del self.stack[k:]
+                    self._leave(k)
                     return
 
+    def _leave(self, depth: int) -> None:
+        """Ends the elements from ``depth`` on, and what was opened inside them."""
+        del self.stack[depth:]
+        if self.link is not None and self.link > depth:
+            self.link = None
+        self.skips = [skip for skip in self.skips if skip[1] <= depth]
+
 
 def _wrappers(page: _Page) -> set[int]:
     """The elements that stand aside by their tag or names but hold most words of the page and all its articles."""
     inside = Counter()
-    for _, words, _, _, around in page.blocks:
+    for _, words, *_, around in page.blocks:
         inside.update(dict.fromkeys(around, words))
     total = sum(words for _, words, *_ in page.blocks)
     return {k for k, words in inside.items() if 2 * words > total and all(k in around for around in page.mains)}
@@ -163,7 +185,7 @@ def page_blocks(source: str | None) -> tuple[list[str], list[list[float]]]:
     """The texts of a page's blocks and their features.
 
     ``link_density`` is the share of a block's characters inside links. Neighbours are the blocks before and
-    after it on the page; a missing one has no words. ``place`` is 2 inside an article or main
+    after it on the page; a missing one has no words. Links of a heading over running text do not count. ``place`` is 2 inside an article or main
     element, 0 outside it, and 1 on a page where these hold less than half of the words that do not stand aside;
     ``aside`` is 1 inside a part around the article, unless it is a wrapper around most of the page.
     """
@@ -180,9 +202,13 @@ def page_blocks(source: str | None) -> tuple[list[str], list[list[float]]]:
     page.cut()
     wrappers = _wrappers(page)
     blocks = [(*block, not wrappers.issuperset(around)) for *block, around in page.blocks]
-    measured = [(float(n), linked / sum(map(len, text.split()))) for text, n, linked, _, _ in blocks]
+    measured = [(float(n), linked / sum(map(len, text.split()))) for text, n, linked, *_ in blocks]
+    # A linked heading over running text is the heading of that text.
+    for k, (_, _, _, heading, *_) in enumerate(blocks[:-1]):
+        if heading and measured[k + 1][0] >= _RUNNING_WORDS and measured[k + 1][1] < 0.5:
+            measured[k] = (measured[k][0], 0.0)
     around = [(0.0, 0.0), *measured, (0.0, 0.0)]
-    in_main = sum(n for _, n, _, main, aside in blocks if main and not aside)
+    in_main = sum(n for _, n, *_, main, aside in blocks if main and not aside)
     has_main = in_main and 2 * in_main >= sum(n for _, n, *_, aside in blocks if not aside)
     features = [
         [*measured[k], *around[k], *around[k + 2], (2.0 if main else 0.0) if has_main else 1.0, float(aside)]

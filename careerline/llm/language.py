@@ -144,7 +144,9 @@ def train(
     few = hashed.join(F.broadcast(frequent), "lang").where(share * F.col("n") <= 3 * per_language)
     place = F.row_number().over(Window.partitionBy("lang").orderBy("place", "key"))
     chosen = few.withColumn("at", place).where(F.col("at") <= per_language).select("key", "lang").distinct()
-    sample = lettered.join(F.broadcast(chosen), ["key", "lang"])
+    # Rows that repeat a key count once; the first by the text's hash stands for them.
+    one = F.min_by("text", F.xxhash64("text")).alias("text")
+    sample = lettered.join(F.broadcast(chosen), ["key", "lang"]).groupBy("key", "lang").agg(one)
 
     def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -10,8 +10,11 @@ from careerline.llm.storage import stored
 
 #: A line on more than this share of a host's pages is boilerplate.
 MAX_RATIO = 0.05
-#: A line on fewer pages is kept whatever its share, so that small hosts keep their texts.
-MIN_PAGES = 5
+#: A line is repeated from this many pages on.
+MIN_PAGES = 2
+#: Standard deviations by which a line's pages must exceed what a line at the ratio has on average: a sample as small as
+#: the host shows with 99 % confidence that its share is larger.
+CONFIDENCE = 2.33
 #: Boilerplate lines (about 32 bytes each) up to which their table is broadcast.
 BROADCAST_LINES = 200_000
 #: Parts into which the pages of a host are dealt when the table is too large to broadcast.
@@ -29,11 +32,13 @@ def _lines(text: Column) -> Column:
 
 
 def boilerplate_lines(
-    docs: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES
+    docs: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO, confidence: float = CONFIDENCE
 ) -> DataFrame:
     """``host`` and ``line`` (hash pair) of every line on more than ``max_ratio`` of its host's pages.
 
-    A line counts once a page. Counts are combined before the shuffle, so a host with a large share of all
+    The rule is one for every size of host: a line on at least two of ``n`` pages is boilerplate if it is on more than
+    ``n * max_ratio + confidence * sqrt(n * max_ratio * (1 - max_ratio))`` of them. For large hosts that is the ratio; of a few pages a
+    line must be on more than chance brings together, and a line on every page of a host always goes. A line counts once a page. Counts are combined before the shuffle, so a host with a large share of all
     pages sends one row per line and task.
     """
     pages = docs.select(column(host).alias("host"), column(text).alias("text"))
@@ -43,11 +48,12 @@ def boilerplate_lines(
         pages.select("host", F.explode(F.array_distinct(keys)).alias("line"))
         .groupBy("host", "line")
         .agg(F.count("*").alias("on_pages"))
-        .where(F.col("on_pages") >= min_pages)
+        .where(F.col("on_pages") >= MIN_PAGES)
     )
     totals = totals.withColumnRenamed("host", "of")
     joined = on_pages.join(totals, F.col("host").eqNullSafe(F.col("of")))
-    return joined.where(F.col("on_pages") > F.col("pages") * F.lit(max_ratio)).select("host", "line")
+    spread = F.sqrt(F.col("pages") * F.lit(max_ratio) * F.lit(1 - max_ratio))
+    return joined.where(F.col("on_pages") > F.col("pages") * F.lit(max_ratio) + F.lit(confidence) * spread).select("host", "line")
 
 
 def drop_boilerplate(
@@ -55,7 +61,7 @@ def drop_boilerplate(
     host: str = "source",
     text: str = "text",
     max_ratio: float = MAX_RATIO,
-    min_pages: int = MIN_PAGES,
+    confidence: float = CONFIDENCE,
     broadcast_lines: int = BROADCAST_LINES,
 ) -> DataFrame:
     """``docs`` without the boilerplate lines of their hosts, and the column ``dropped_lines`` (replaced if there is one).
@@ -64,7 +70,7 @@ def drop_boilerplate(
     boilerplate. Rows with a NULL host form one host. A NULL text stays NULL, a text that loses
     every line becomes empty, and a row is never dropped. Repeated rows are pages of their own.
     """
-    flagged = stored(boilerplate_lines(docs, host, text, max_ratio, min_pages))
+    flagged = stored(boilerplate_lines(docs, host, text, max_ratio, confidence))
     per_host = flagged.groupBy("host").agg(F.collect_list("line").alias("flagged")).withColumnRenamed("host", "of")
     pages = wrapped(docs, host=host, text=text)
     same_host = F.col("host").eqNullSafe(F.col("of"))

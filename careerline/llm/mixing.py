@@ -15,6 +15,8 @@ WEIGHTS = (5, 2, 1)
 #: No source is read more often than this.
 MAX_EPOCHS = 3
 SEED = 20_24
+#: Words of a document that are sent at a time.
+PACKET = 64
 #: Documents that one slice of a source holds on average.
 SLICE = 4096
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,20 +28,16 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _share_out(sizes: list[int], weights: Sequence[float], total: float, epochs: int) -> list[float]:
-    """Targets in proportion to the weights; what exceeds ``epochs`` times a size is shared again."""
-    targets, open_ = [0.0] * len(sizes), {k for k, n in enumerate(sizes) if n > 0}
-    left = float(total)
-    while open_ and left > 0:
-        weight = sum(weights[k] for k in open_)
-        full = {k for k in open_ if left * weights[k] / weight >= epochs * sizes[k]}
-        for k in full or open_:
-            targets[k] = float(epochs * sizes[k]) if full else left * weights[k] / weight
-        if not full:
-            break
-        left -= sum(targets[k] for k in full)
-        open_ -= full
-    return targets
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with ``rank``, the place of each source by code point, NULL last; no task holds all of them."""
+    order = [F.col("source").isNull(), F.col("source")]
+    ranged = stored(sizes.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    per_part = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    per_part = per_part.select(F.col("part").alias("of"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    joined = ranged.withColumn("inside", inside).join(per_part, F.col("part") == F.col("of"))
+    return joined.withColumn("rank", F.col("ahead") + F.col("inside")).drop("part", "of", "ahead", "inside")
 
 
 def source_targets(
@@ -47,16 +45,27 @@ def source_targets(
 ) -> DataFrame:
     """``source``, ``source_size`` and ``target`` in words from the words per source.
 
-    One row per source reaches the driver: names are ranked by code point, NULL last, and
-    weighed by the repeating ``weights``.
+    Names are ranked by code point, NULL last, and weighed by the repeating ``weights``. A target stops at
+    ``epochs`` times the size; the excess is shared again by weight, in a few rounds of which three sums reach the driver.
     """
-    rows = [(r["source"], int(r["source_size"])) for r in sizes.select("source", "source_size").collect()]
-    rows.sort(key=lambda r: (r[0] is None, (r[0] or "").encode()))
-    by = [float(weights[k % len(weights)]) for k in range(len(rows))]
-    total = sum(n for _, n in rows) if budget is None else budget
-    found = _share_out([n for _, n in rows], by, total, epochs)
-    table = [(*row, target) for row, target in zip(rows, found, strict=True)]
-    return sizes.sparkSession.createDataFrame(table, "source string, source_size long, target double")
+    given = F.array(*[F.lit(float(w)) for w in weights])
+    weight = F.get(given, (F.col("rank") % len(weights)).cast("int"))
+    ranked = _ranked(sizes.select("source", "source_size"))
+    none = F.when(F.col("source_size") <= 0, F.lit(0.0))
+    state = stored(ranked.select("source", "source_size", weight.alias("weight"), none.alias("target")))
+    left = float(state.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0] if budget is None else budget)
+    while True:
+        open_ = state.where("target IS NULL")
+        total = open_.agg(F.sum("weight")).first()[0]
+        if total is None:
+            break
+        share = F.lit(max(left, 0.0)) * F.col("weight") / F.lit(total)
+        full = share >= epochs * F.col("source_size")
+        words, count = open_.agg(F.coalesce(F.sum(F.when(full, epochs * F.col("source_size"))), F.lit(0)), F.count_if(full)).first()
+        settled = F.when(full, (epochs * F.col("source_size")).cast("double")) if count else share
+        state = stored(state.withColumn("target", F.coalesce("target", settled)))
+        left -= float(words)
+    return state.select("source", "source_size", "target")
 
 
 def mix(
@@ -69,16 +78,15 @@ def mix(
     epochs: int = MAX_EPOCHS,
     seed: int = SEED,
     rows_per_slice: int = SLICE,
-    positions: bool = True,
+    packet: int = PACKET,
 ) -> DataFrame:
     """How many words of each document the mix takes, and where the mix reads it first.
 
-    Every source is a queue of its shuffled documents, read again from the start up to ``epochs``
-    times. The virtual finish time of a document is the number of words of its queue up to
-    its end, divided by the source's target. A queue is cut where its words reach its target, rounded down, which
-    is the virtual time 1: the targets add up to the budget, so no cut over all queues is made. The
-    order of finish times over all queues gives ``position`` only; without ``positions`` there is no such
-    column and nothing is sorted.
+    Every source is a queue of its shuffled documents, read again from the start up to ``epochs`` times. Its words are
+    sent in packets: a document's words, at most ``packet`` at a time. The virtual finish time of a packet is the number of
+    words of its queue up to its end, divided by the source's target. The packets of all queues are range-sorted by
+    finish time, and the mix takes them until their words reach the total budget. So each source comes
+    near its target: no queue is ahead of the others by more than a packet.
 
     Returns ``key``, ``size``, ``source``, ``source_size``, ``target``, ``taken`` (words, repeats counted) and
     ``position`` (words read before it is first read; NULL if it is not taken). Documents without
@@ -93,21 +101,22 @@ def mix(
     )
     targets = stored(source_targets(per_source, weights, budget, epochs))
     queued = _queue(sized, per_source, targets, rows_per_slice)
-    whole = F.floor("target")
-    taken = sum(
-        F.greatest(F.lit(0), F.least(F.col("size"), whole - F.col("before") - F.lit(k) * F.col("source_size")))
-        for k in range(epochs)
+    sources, words = per_source.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+    budget = words if budget is None else budget
+    copies = queued.where("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    packets = copies.withColumn("packet", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / packet).cast("int") - 1)))
+    start = F.col("before") + F.col("epoch") * F.col("source_size") + F.col("packet") * packet
+    sent = packets.withColumn("start", start).withColumn("words", F.least(F.lit(packet), F.col("size") - F.col("packet") * packet))
+    # At the virtual time 1 every queue is within a packet of its target, so a queue sends what the others are short of at most after it.
+    sent = sent.where(F.col("start") < F.col("target") + F.lit(packet) * F.lit(sources))
+    sent = sent.withColumn("finish", (F.col("start") + F.col("words")) / F.col("target"))
+    left = F.lit(budget) - F.col("position")
+    served = _positions(sent).withColumn("taken", F.greatest(F.lit(0), F.least(F.col("words"), left)))
+    per_row = served.groupBy("row").agg(
+        F.sum("taken").alias("taken"), F.min(F.when(F.col("taken") > 0, F.col("position"))).alias("position")
     )
-    columns = [F.col("key").alias(key), "size", F.col("source").alias(source), "source_size", "target", taken.cast("long").alias("taken")]
-    if not positions:
-        return queued.select(*columns)
-    copies = queued.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    start = F.col("before") + F.col("epoch") * F.col("source_size")
-    words = F.greatest(F.lit(0), F.least(F.col("size"), whole - start))
-    served = copies.withColumn("words", words).where("words > 0")
-    served = served.withColumn("finish", (start + F.col("size")) / F.col("target"))
-    position = _positions(served).groupBy("row").agg(F.min("position").alias("position"))
-    return queued.join(position, "row", "left").select(*columns, "position")
+    columns = [F.col("key").alias(key), "size", F.col("source").alias(source), "source_size", "target"]
+    return queued.join(per_row, "row", "left").select(*columns, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "position")
 
 
 def _queue(sized: DataFrame, per_source: DataFrame, targets: DataFrame, rows_per_slice: int) -> DataFrame:
@@ -143,13 +152,13 @@ def _queue(sized: DataFrame, per_source: DataFrame, targets: DataFrame, rows_per
 
 
 def _positions(served: DataFrame) -> DataFrame:
-    """``row`` and ``position`` of every copy in the global order of virtual finish times.
+    """``row``, ``words`` and ``position`` of every packet in the global order of virtual finish times.
 
     The range sort is stored with its partition numbers; the words of whole partitions are
     added up over one row per partition, and inside a partition row by row.
     """
-    order = ["finish", "source", "place", "row", "epoch"]
-    ranged = served.select("row", "epoch", "source", "place", "finish", "words").repartitionByRange(*order)
+    order = ["finish", "source", "place", "row", "epoch", "packet"]
+    ranged = served.select("row", "epoch", "packet", "source", "place", "finish", "words").repartitionByRange(*order)
     ranged = stored(ranged.withColumn("part", F.spark_partition_id()))
     per_part = ranged.groupBy("part").agg(F.sum("words").alias("total"))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -157,7 +166,7 @@ def _positions(served: DataFrame) -> DataFrame:
     inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.withColumn("inside", F.coalesce(F.sum("words").over(inside), F.lit(0)))
     joined = placed.join(per_part, F.col("part") == F.col("of"))
-    return joined.select("row", (F.col("ahead") + F.col("inside")).alias("position"))
+    return joined.select("row", "words", (F.col("ahead") + F.col("inside")).alias("position"))
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", whole: bool = False, **options) -> DataFrame:
@@ -167,7 +176,7 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
 
     Rows that repeat a key share what the mix takes of that key. The columns stay those of ``docs``.
     """
-    found = mix(docs, key, text, source, positions=False, **options)
+    found = mix(docs, key, text, source, **options)
     per_key = found.groupBy(F.col(key).alias("of")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("sizes"))
     rows = wrapped(docs, key=key, text=text)
     joined = rows.join(per_key.where("taken > 0"), F.col("key").eqNullSafe(F.col("of")))

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from careerline.llm.rows import unwrapped, wrapped
 from careerline.llm.storage import stored
 from careerline.llm.tokens import document_ids
 
@@ -269,13 +270,14 @@ def _offsets(placed: DataFrame) -> DataFrame:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, well_filled: float = WELL_FILLED, **options) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to rows that have ``length`` from 1 to ``capacity``.
+    """Adds ``sequence_id`` and ``offset`` (replaced if there are such) to rows that have ``length`` from 1 to ``capacity``.
 
     A row of full length is a sequence of its own. The others are packed block by block; then the
     items of bins that are not well filled are dealt anew over fewer blocks and packed again, which is kept if
     it takes fewer bins. Other lengths are an error.
     """
-    numbered = stored(pieces.withColumn("item", F.monotonically_increasing_id()))
+    rows = wrapped(pieces, length="length")
+    numbered = stored(rows.withColumn("item", F.monotonically_increasing_id()))
     wrong = numbered.where(F.col("length").isNull() | ~F.col("length").between(1, capacity))
     if not wrong.isEmpty():
         raise ValueError(f"lengths have to be from 1 to {capacity}")
@@ -291,8 +293,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, well_filled: float = WELL_
     sequence = (F.col("block") * F.lit(_BINS_PER_BLOCK) + F.col("bin")) * 2
     placed = chosen.select(F.col("item").alias("of"), sequence.alias("sequence_id"), "offset")
     joined = numbered.join(placed, F.col("item") == F.col("of"), "left")
-    return joined.select(
-        *pieces.columns,
+    return unwrapped(
+        joined,
+        [c for c in pieces.columns if c not in ("sequence_id", "offset")],
         # Odd numbers are sequences of one full row.
         F.coalesce("sequence_id", F.col("item") * 2 + 1).alias("sequence_id"),
         F.coalesce("offset", F.lit(0)).cast("long").alias("offset"),

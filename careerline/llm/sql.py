@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from careerline.llm.line_dedup import MAX_RATIO, MIN_PAGES
+from careerline.llm.line_dedup import CONFIDENCE, MAX_RATIO, MIN_PAGES
 
 OP1_SQL = f"""
 WITH pages AS (
@@ -16,7 +16,8 @@ WITH pages AS (
     FROM numbered l JOIN per_host p ON l.source IS NOT DISTINCT FROM p.source
     WHERE trim(l.line) <> ''
     GROUP BY l.source, trim(l.line), p.pages
-    HAVING count(DISTINCT l.doc_id) >= {MIN_PAGES} AND count(DISTINCT l.doc_id) > p.pages * {MAX_RATIO}::DOUBLE
+    HAVING count(DISTINCT l.doc_id) >= {MIN_PAGES}
+        AND count(DISTINCT l.doc_id) > p.pages * {MAX_RATIO}::DOUBLE + {CONFIDENCE}::DOUBLE * sqrt(p.pages * {MAX_RATIO}::DOUBLE * {1 - MAX_RATIO}::DOUBLE)
 ), cleaned AS (
     SELECT l.doc_id,
         string_agg(l.line, chr(10) ORDER BY l.n) FILTER (WHERE f.line IS NULL) AS kept,

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from careerline.llm import html_blocks, html_text, language, neighbours, quality, url_filter
+from careerline.llm import html_blocks, html_text, language, neighbours, packing, quality, url_filter
 from careerline.llm.queries import LLM_QUERIES, URL_RULES
 from careerline.llm.sql import LLM_SQL
 from careerline.llm.storage import stored
@@ -209,7 +209,7 @@ def test_page_without_article_element(spark):
 
 
 def test_features_of_blocks():
-    texts, features = html_blocks.page_blocks("<p>a <a>bc</a></p><p>d</p>")
+    texts, features = html_blocks.page_blocks("<p>a <a href=x>bc</a></p><p>d</p>")
     assert texts == ["a bc", "d"]
     assert features == [[2, 2 / 3, 0, 0, 1, 0, 1, 0], [1, 0, 2, 2 / 3, 0, 0, 1, 0]]
     assert len(features[0]) == len(html_blocks.FEATURES)
@@ -404,7 +404,7 @@ def test_queries_match_their_statements(spark, name):
 
     folder = "/root/testdata/sf0.01"
     connection = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "conversations"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     relation = connection.sql(LLM_SQL[name])
     found = LLM_QUERIES[name](spark, folder)
@@ -413,3 +413,61 @@ def test_queries_match_their_statements(spark, name):
     rows = lambda data: Counter(tuple(row[c] for c in columns) for row in data)
     expected = [dict(zip(relation.columns, row, strict=True)) for row in relation.fetchall()]
     assert rows([r.asDict() for r in found.collect()]) == rows(expected)
+
+
+LONG = " ".join(f"word{k}" for k in range(40)) + "."
+
+
+@pytest.mark.parametrize(
+    "heading",
+    [
+        "<h1><a href=/p>The title</a></h1>", '<h2><a href="#s">The title</a></h2>', "<h1><a id=x>The title</a></h1>", "<h2><a name=top>The title</h2>",
+        "<a name=top><h1>The title</h1>", "<h1><a href=/p>The title</h1>", "<h3>The <a href=#x>title</a></h3>",
+    ],
+)
+def test_linked_headings_and_anchors_stay(spark, heading):
+    page = f"<html><body><nav><a href=/>Home</a></nav><article>{heading}<p>{LONG}</p><p>{LONG}</p></article></body></html>"
+    assert texts_of(spark, [page])[0][0] == f"The title\n{LONG}\n{LONG}"
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        "<nav><button>Menu</nav>{}", "<nav><button>Menu<a href=/>Home</a></nav>{}", "<div><object><p>no <object>inner</object> player</p></object></div>{}",
+        "<div><object>not closed</div>{}", "<form><select><option>One</form>{}", "<p><a href=/x>more</p>{}", "{}<button>Send",
+    ],
+)
+def test_elements_that_are_not_closed_end_with_those_around_them(spark, around):
+    article = f"<article><h1>The title</h1><p>{LONG}</p><p>{LONG}</p></article>"
+    text = texts_of(spark, [f"<html><body>{around.format(article)}</body></html>"])[0][0]
+    assert text == f"The title\n{LONG}\n{LONG}"
+
+
+def test_link_lists_stay_out(spark):
+    """A linked heading over a few words, or over more links, is a teaser."""
+    teasers = "".join(f"<h3><a href=/{k}>Story {k}</a></h3><p>Few words here</p>" for k in range(4))
+    page = f"<html><body><article><h1>The title</h1><p>{LONG}</p><p>{LONG}</p></article><div>{teasers}</div></body></html>"
+    assert texts_of(spark, [page])[0][0] == f"The title\n{LONG}\n{LONG}"
+
+
+def test_the_pipeline_keeps_columns_named_like_the_classifiers(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    named = docs.withColumns({"score": F.lit(-7), "held_out": F.lit("x"), "predicted": F.lit(0), "row": F.lit(1)})
+    kept = corpus_pipeline.keep_good(spark, named, folder)
+    assert kept.columns == named.columns
+    assert {tuple(r) for r in kept.select("score", "held_out", "predicted", "row").distinct().collect()} == {(-7, "x", 0, 1)}
+    assert 0 < kept.count() == corpus_pipeline.keep_good(spark, docs, folder).count()
+
+
+def test_packing_keeps_columns_named_like_its_own(spark):
+    rows = spark.createDataFrame([(k, 100 + k, "x", 5) for k in range(50)], "sequence_id long, length long, item string, fill int")
+    packed = packing.pack(rows)
+    assert packed.columns == ["length", "item", "fill", "sequence_id", "offset"]
+    assert {(r["item"], r["fill"]) for r in packed.collect()} == {("x", 5)}
+
+
+def test_a_key_repeated_many_times_is_learned_once(spark):
+    rows = [(1, f"the text number {k}", "en") for k in range(3000)] + [(k, f"le texte {k}", "fr") for k in range(2, 40)]
+    found = language.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert found.count() == len(rows)

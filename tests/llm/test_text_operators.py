@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -52,13 +53,14 @@ def sample(spark):
 # --- line dedup ------------------------------------------------------------------------------
 
 
-def lines_by_hand(rows, max_ratio, min_pages):
+def lines_by_hand(rows, max_ratio, confidence):
     pages, on_pages = Counter(), Counter()
     for _, text, source in rows:
         pages[source] += 1
         for line in {x.strip(" ") for x in (text or "").split("\n")} - {""}:
             on_pages[source, line] += 1
-    bad = {k for k, n in on_pages.items() if n >= min_pages and n > pages[k[0]] * max_ratio}
+    most = {host: n * max_ratio + confidence * math.sqrt(n * max_ratio * (1 - max_ratio)) for host, n in pages.items()}
+    bad = {k for k, n in on_pages.items() if n >= 2 and n > most[k[0]]}
     out = []
     for key, text, source in rows:
         if text is None:
@@ -73,9 +75,9 @@ def lines_by_hand(rows, max_ratio, min_pages):
 @pytest.mark.parametrize("broadcast_lines", [0, 1000])
 def test_lines_match_brute_force(spark, sample, broadcast_lines):
     rows = [*EDGE_ROWS, *sample, *[(100_000 + k, f"shared line\nown {k}\n\n shared line ", None) for k in range(8)]]
-    found = line_dedup.drop_boilerplate(docs_of(spark, rows), max_ratio=0.2, min_pages=3, broadcast_lines=broadcast_lines)
+    found = line_dedup.drop_boilerplate(docs_of(spark, rows), max_ratio=0.2, confidence=1.0, broadcast_lines=broadcast_lines)
     got = Counter((r["doc_id"], r["text"], r["dropped_lines"]) for r in found.collect())
-    assert got == lines_by_hand(rows, 0.2, 3)
+    assert got == lines_by_hand(rows, 0.2, 1.0)
     assert found.columns == [*docs_of(spark, rows[:1]).columns, "dropped_lines"]
 
 
@@ -83,13 +85,51 @@ def test_lines_of_an_empty_table(spark):
     assert line_dedup.drop_boilerplate(docs_of(spark, [])).count() == 0
 
 
+def test_one_rule_for_hosts_of_every_size(spark):
+    """Hosts of 1 to 200 pages: a line on all pages goes from two pages on, one on a single page never."""
+    dice = random.Random(4)
+    rows = []
+    for pages in [*range(1, 31), 60, 100, 200]:
+        shared = {f"on {k}": set(dice.sample(range(pages), min(k, pages))) for k in (1, 2, 3, 4, 6, 9, 14, 20, 40)}
+        for page in range(pages):
+            lines = ["everywhere", *(line for line, on in shared.items() if page in on), f"own {page}"]
+            rows.append((1000 * pages + page, "\n".join(lines), f"host{pages}"))
+    found = line_dedup.drop_boilerplate(docs_of(spark, rows))
+    got = {r["doc_id"]: r["text"] for r in found.collect()}
+    assert Counter((r["doc_id"], r["text"], r["dropped_lines"]) for r in found.collect()) == lines_by_hand(rows, 0.05, line_dedup.CONFIDENCE)
+    for key, text, _ in rows:
+        assert ("everywhere" in got[key].split("\n")) == (key // 1000 == 1)
+        assert f"own {key % 1000}" in got[key].split("\n")
+
+
 # --- mixing ----------------------------------------------------------------------------------
 
 
-def test_shares_stop_at_the_epochs():
-    assert mixing._share_out([10, 1000, 0], [5, 2, 1], 1010, 3) == [30.0, 980.0, 0.0]
-    assert mixing._share_out([], [], 0, 3) == []
-    assert sum(mixing._share_out([100, 200, 300, 50], [5, 2, 1, 5], 650, 3)) == pytest.approx(650)
+def shares(sizes, weights, total, epochs):
+    """Targets in proportion to the weights; what exceeds ``epochs`` times a size is shared again."""
+    targets, open_, left = [0.0] * len(sizes), {k for k, n in enumerate(sizes) if n}, float(total)
+    while open_:
+        weight = sum(weights[k] for k in open_)
+        full = {k for k in open_ if left * weights[k] / weight >= epochs * sizes[k]}
+        if not full:
+            return [left * weights[k] / weight if k in open_ else t for k, t in enumerate(targets)]
+        for k in full:
+            targets[k] = float(epochs * sizes[k])
+        left -= sum(targets[k] for k in full)
+        open_ -= full
+    return targets
+
+
+@pytest.mark.parametrize(
+    "sizes, budget", [([10, 1000, 0], None), ([], None), ([100, 200, 300, 50], None), ([1, 2, 3], 1000), ([7, 7, 7], 0), ([5] * 40 + [900], 400)]
+)
+def test_targets_match_the_plain_rule(spark, sizes, budget):
+    names = [f"s{k:02d}" for k in range(len(sizes) - 1)] + [None]
+    rows = [(name, n) for name, n in zip(names, sizes, strict=False)]
+    found = mixing.source_targets(spark.createDataFrame(rows, "source string, source_size long"), budget=budget)
+    want = shares(sizes, [(5, 2, 1)[k % 3] for k in range(len(sizes))], sum(sizes) if budget is None else budget, 3)
+    got = {r["source"]: r["target"] for r in found.collect()}
+    assert [got[name] for name, _ in rows] == pytest.approx(want)
 
 
 def words(text):
@@ -107,18 +147,52 @@ def test_mix_meets_targets_and_agrees_with_itself(spark, sample):
     assert Counter((r["doc_id"], r["size"]) for r in first) == Counter((k, words(t)) for k, t, _ in rows)
     names = sorted({s for *_, s in rows}, key=lambda s: (s is None, (s or "").encode()))
     sizes = [sum(words(t) for _, t, s in rows if s == name) for name in names]
-    targets = mixing._share_out(sizes, [(5, 2, 1)[k % 3] for k in range(len(names))], sum(sizes), 3)
+    targets = shares(sizes, [(5, 2, 1)[k % 3] for k in range(len(names))], sum(sizes), 3)
     for name, size, target in zip(names, sizes, targets, strict=True):
         mine = [r for r in first if r["source"] == name]
         assert {r["source_size"] for r in mine} == {size}
         assert mine[0]["target"] == pytest.approx(target)
-        assert sum(r["taken"] for r in mine) == math.floor(mine[0]["target"])
+        # What other queues are short of at the virtual time 1 is sent by all of them.
+        assert abs(sum(r["taken"] for r in mine) - target) <= mixing.PACKET * (1 + len(names) * target / sum(sizes))
+    assert sum(r["taken"] for r in first) == sum(sizes)
     assert all(0 <= r["taken"] <= 3 * r["size"] for r in first)
     placed = [r["position"] for r in first if r["position"] is not None]
     assert len(set(placed)) == len(placed) and min(placed) == 0
     assert all((r["position"] is None) == (r["taken"] == 0) for r in first)
 
 
+@pytest.mark.parametrize("packet, budget", [(256, None), (10, None), (100_000, None), (64, 5000), (64, 10**9)])
+def test_mix_is_the_fair_queue(spark, sample, packet, budget):
+    """All packets of all queues sorted by finish time and taken one by one up to the budget."""
+    rows = [*EDGE_ROWS, *sample]
+    docs = docs_of(spark, rows)
+    found = mixing.mix(docs, packet=packet, budget=budget, rows_per_slice=50).collect()
+    sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    placed = sized.withColumn("place", F.shiftrightunsigned(F.xxhash64(F.lit(mixing.SEED), "doc_id", "size"), 1)).collect()
+    queues = defaultdict(list)
+    for r in sorted(placed, key=lambda r: (r["place"], r["doc_id"] is not None, r["doc_id"] or 0, r["size"])):
+        queues[r["source"]].append((r["doc_id"], r["size"]))
+    names = sorted(queues, key=lambda s: (s is None, (s or "").encode()))
+    sizes = [sum(n for _, n in queues[name]) for name in names]
+    total = sum(sizes) if budget is None else budget
+    targets = shares(sizes, [(5, 2, 1)[k % 3] for k in range(len(names))], total, 3)
+    packets = []
+    for name, target in zip(names, targets, strict=True):
+        at = 0
+        for _ in range(3):
+            for k, (key, size) in enumerate(queues[name]):
+                for start in range(0, size, packet):
+                    count = min(packet, size - start)
+                    at += count
+                    packets.append((at / target, (name is not None, (name or "").encode()), at, (name, k, key, size), count))
+    taken, left = Counter(), total
+    for *_, document, count in sorted(packets, key=lambda p: p[:3]):
+        taken[document] += min(count, left)
+        left -= min(count, left)
+    want = Counter((key, size, name, taken[name, k, key, size]) for name in names for k, (key, size) in enumerate(queues[name]))
+    assert Counter((r["doc_id"], r["size"], r["source"], r["taken"]) for r in found) == want
+
+
 def test_slices_follow_the_shuffle(spark, sample):
     """How finely a queue is cut does not change what is taken."""
     docs = docs_of(spark, sample)
@@ -146,8 +220,7 @@ def test_whole_documents_of_the_mix(spark, sample):
     texts = {k: t for k, t, _ in sample}
     mixed = corpus_pipeline.mix_sources(spark, docs.withColumn("n_chars", F.lit(0).cast("long")), "").collect()
     assert mixed and all(r["text"] == texts[r["doc_id"]] and r["n_chars"] == len(r["text"]) for r in mixed)
-    taken = mixing.mix(docs, positions=False)
-    assert "position" not in taken.columns
+    taken = mixing.mix(docs)
     read, given = Counter(r["doc_id"] for r in mixed), defaultdict(int)
     for r in taken.collect():
         assert read[r["doc_id"]] == (math.ceil(r["taken"] / r["size"]) if r["size"] else 0)
