@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from careerline.llm import line_dedup, mixing, packing, quality, simhash
 from careerline.llm.queries import vocabulary
+from careerline.llm.rows import unwrapped, wrapped
 from careerline.llm.storage import stored
 
 #: SQL cannot express the classifier, the fingerprints and the genetic packing.
@@ -21,7 +22,8 @@ def _recounted(docs: DataFrame) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    return quality.classify(docs, labels).where("predicted = 1").select(docs.columns)
+    rows = wrapped(docs, doc_id="doc_id", text="text")
+    return unwrapped(quality.classify(rows, labels).where("predicted = 1"), docs.columns)
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
