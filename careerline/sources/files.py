@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,18 +49,20 @@ def recognised(files: DataFrame, min_year: int) -> DataFrame:
     )
 
 
-def discover(spark: SparkSession, source_dir: str, min_year: int) -> DataFrame:
+def discover(
+    spark: SparkSession, source_dir: str, min_year: int, name: Callable[[Column], Column] = base_name
+) -> DataFrame:
     """(path, length, modified, source_file, entity) of the recognised files below ``source_dir``.
 
     A base name is one partition: of two files with the same name the later path wins. Content
-    is not read here; ``modified`` is in microseconds.
+    is not read here; ``modified`` is in microseconds. ``name`` tells a file's name from its path.
     """
     listed = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.csv")
         .load(source_dir)
-        .select("path", "length", F.unix_micros("modificationTime").alias("modified"), base_name(F.col("path")).alias("source_file"))
+        .select("path", "length", F.unix_micros("modificationTime").alias("modified"), name(F.col("path")).alias("source_file"))
     )
     return keep_first(recognised(listed, min_year), ["source_file"], [F.desc("path")])
 

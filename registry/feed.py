@@ -56,6 +56,10 @@ class Feed:
             self.warehouse.replace(table, getattr(self, name))
         return self.warehouse.read(table)
 
+    def keep(self, frame: DataFrame) -> DataFrame:
+        """``frame`` as a stored table of its own."""
+        return self.warehouse.replace(f"kept/t{uuid.uuid4().hex}", frame)
+
     def _derived(self, text: str, *tables: str) -> DataFrame:
         return self.spark.sql(text, **{t: self.given(t) for t in tables})
 

@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careerline.operators import quality
-from careerline.plans import checks, reports
+from careerline.operators import quality, with_positions
+from careerline.plans import checks, marts, reports
 from careerline.plans.build import FACT, refresh_fact
 from careerline.sources.warehouse import Warehouse
 from registry.feed import feed_for
@@ -40,10 +40,10 @@ def _model(name: str) -> Query:
 def _report(build: Callable[..., DataFrame], *inputs: str, **options: object) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         feed = feed_for(spark, sf_dir)
-        marts = [feed.stored(i) for i in inputs if i != "fct_player_matches"]
+        given = [feed.stored(i) for i in inputs if i != "fct_player_matches"]
         if "fct_player_matches" in inputs:
-            marts.append(feed.fct_player_matches)
-        return build(*marts, **options)
+            given.append(feed.fct_player_matches)
+        return build(*given, **options)
 
     return query
 
@@ -116,16 +116,26 @@ def check_unique_combination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def check_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The match and player-match checks with their number of violations."""
+    """All checks of all layers with their number of violations."""
     feed = feed_for(spark, sf_dir)
-    tables = {
-        "tourney_levels": feed.levels.frame,
-        "stg_matches": feed.stored("stg_matches"),
-        "stg_players": feed.stored("stg_players"),
-        "int_player_matches": feed.fct_player_matches,
-    }
-    wanted = ("stg_matches", "int_player_matches")
-    return checks.check_report(tables, [c for c in checks.ALL_CHECKS if c.table in wanted])
+    names = {c.table for c in checks.ALL_CHECKS} - {"fct_player_matches"}
+    tables = {name: feed.stored(name) for name in names}
+    fact = {"fct_player_matches": feed.fct_player_matches}
+    return checks.check_report({"tourney_levels": feed.levels.frame, **fact, **tables}, checks.ALL_CHECKS)
+
+
+def pace_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same-age comparison with the place of every row in its order."""
+    feed = feed_for(spark, sf_dir)
+    order = [*marts.pace_order(), F.asc_nulls_last("player_name")]
+    return with_positions(feed.stored("mart_pace_comparison"), order, feed.keep)
+
+
+def curves_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The age curves with the place of every row by player and age."""
+    feed = feed_for(spark, sf_dir)
+    order = [F.asc_nulls_last("player_id"), F.asc_nulls_last("age_year")]
+    return with_positions(feed.stored("mart_age_curves"), order, feed.keep)
 
 
 MODEL_QUERIES: dict[str, Query] = {
@@ -156,6 +166,8 @@ MODEL_QUERIES: dict[str, Query] = {
     "check_relationships": check_relationships,
     "check_unique_combination": check_unique_combination,
     "check_report": check_report,
+    "pace_in_order": pace_in_order,
+    "curves_in_order": curves_in_order,
 }
 for _metric in reports.METRICS:
     MODEL_QUERIES[f"report_series_{_metric}"] = _report(

@@ -34,9 +34,10 @@ from careerline.operators import (
     small_side,
     trailing_upsert,
     two_sided,
+    with_positions,
 )
 from careerline.sources import ingest
-from careerline.sources.files import file_prints, recognised
+from careerline.sources.files import discover, file_prints
 from careerline.sources.records import read_quoted_csv
 from registry.feed import feed_for
 
@@ -307,21 +308,41 @@ def load_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.summarise(_load_plan(spark, sf_dir))
 
 
+def _name_in_folder(path: Column) -> Column:
+    """The name of a file that a partitioned write has put into a folder of that name."""
+    return F.regexp_extract(path, "source_file=([^/]+)", 1)
+
+
+def _written_files(spark: SparkSession, sf_dir: str, frame: DataFrame) -> str:
+    """The folder with one CSV file per ``source_file`` of ``frame``, a line for each of its rows."""
+    folder = f"{feed_for(spark, sf_dir).folder}/named_files-{uuid.uuid4().hex}"
+    lines = frame.repartition("source_file")
+    lines.write.partitionBy("source_file").csv(folder)
+    return folder
+
+
+def _lines_per_file(spark: SparkSession, folder: str) -> DataFrame:
+    path = F.col("_metadata.file_path")
+    lines = spark.read.option("recursiveFileLookup", "true").text(folder)
+    return lines.groupBy(_name_in_folder(path).alias("source_file")).agg(F.count("*").alias("n"))
+
+
 def manifest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row counts per file: those until 2000, with 2000 and later counted again by today."""
+    """Row counts of written files: those until 2000, with 2000 and later written and counted again."""
     orders = _orders(spark, sf_dir)
     year = F.year("o_orderdate")
 
     def counted(part: DataFrame, day: str) -> DataFrame:
-        files = part.groupBy(_season_file("o_orderdate").alias("source_file"))
-        return files.agg(F.count("*").alias("row_count"), F.lit(day).alias("loaded"))
+        files = part.select("o_orderkey", "o_custkey", _season_file("o_orderdate").alias("source_file"))
+        rows = _lines_per_file(spark, _written_files(spark, sf_dir, files))
+        return rows.select("source_file", F.col("n").alias("row_count"), F.lit(day).alias("loaded"))
 
     old = counted(orders.where((year <= 2000) & (F.col("o_orderstatus") != "P")), "before")
     return ingest.upsert_manifest(old, counted(orders.where(year >= 2000), "now"))
 
 
 def classified_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as files of a folder: the recognised ones from 1998 on, with their entity."""
+    """Orders as files of a folder: the recognised ones from 1998 on, with their entity and lines."""
     year = F.year("o_orderdate").cast("string")
     decade = F.concat(F.substring(year, 3, 1), F.lit("0s"))
     status = F.col("o_orderstatus")
@@ -331,8 +352,17 @@ def classified_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("o_orderpriority") == "1-URGENT", F.lit("atp_players.csv"))
         .otherwise(F.concat(F.lit("atp_matches_doubles_"), year, F.lit(".csv")))
     )
-    files = _orders(spark, sf_dir).groupBy(name.alias("source_file")).agg(F.count("*").alias("n"))
-    return recognised(files, 1998)
+    folder = _written_files(spark, sf_dir, _orders(spark, sf_dir).select("o_orderkey", "o_custkey", name.alias("source_file")))
+    found = discover(spark, folder, 1998, _name_in_folder).select("source_file", "entity")
+    return found.join(_lines_per_file(spark, folder), "source_file")
+
+
+def orders_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order with its place by priority, price and key."""
+    order = [F.asc_nulls_last("o_orderpriority"), F.desc_nulls_last("o_totalprice"), F.asc_nulls_last("o_orderkey")]
+    orders = _given(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    placed = with_positions(orders, order, feed_for(spark, sf_dir).keep)
+    return placed.select("o_orderkey", "o_orderpriority", "position")
 
 
 def insert_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -497,6 +527,7 @@ OPERATOR_QUERIES = {
         load_summary,
         manifest_upsert,
         classified_files,
+        orders_in_order,
         insert_by_name,
         csv_round_trip,
         csv_round_trip_in_splits,

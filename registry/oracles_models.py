@@ -328,33 +328,45 @@ MODEL_ORACLES = {
     "check_unique_combination": """select ranking_date || '-' || player as key, count(*) as n
         from raw_rankings group by 1 having count(*) > 1""",
     "check_report": """
-        select 'stg_matches.' || c.name as check_name, 'error' as severity, c.failures
+        select c.name as check_name, if(c.name like '%player_id.relationships', 'warn', 'error') as severity, c.failures
         from (
-            select 'match_id.not_null' as name, count(*) - count(match_id) as failures from m
-            union all select 'tourney_date.not_null', count(*) - count(tourney_date) from m
-            union all select 'winner_id.not_null', count(*) - count(winner_id) from m
-            union all select 'loser_id.not_null', count(*) - count(loser_id) from m
-            union all select 'surface.accepted_values', count(*) from m where surface = 'Sand'
-            union all select 'match_id.unique', count(*) from
-                (select match_id from m group by match_id having count(*) > 1)
-            union all select 'tourney_level.relationships', count(distinct tourney_level) from m
+            select 'stg_matches.match_id.not_null' as name, count(*) - count(match_id) as failures from m
+            union all select 'stg_matches.tourney_date.not_null', count(*) - count(tourney_date) from m
+            union all select 'stg_matches.winner_id.not_null', count(*) - count(winner_id) from m
+            union all select 'stg_matches.loser_id.not_null', count(*) - count(loser_id) from m
+            union all select 'stg_matches.surface.accepted_values', count(*) from m
+                where surface not in ('Hard', 'Clay', 'Grass', 'Carpet')
+            union all select 'stg_matches.match_id.unique', count(*) from
+                (select match_id from m where match_id is not null group by match_id having count(*) > 1)
+            union all select 'stg_matches.tourney_level.relationships', count(distinct tourney_level) from m
                 where tourney_level not in (select tourney_level from levels)
-        ) c
-        union all
-        select 'int_player_matches.' || c.name, c.severity, c.failures
-        from (
-            select 'player_match_id.not_null' as name, 'error' as severity,
-                   count(*) - count(player_match_id) as failures from pm
-            union all select 'player_id.not_null', 'error', count(*) - count(player_id) from pm
-            union all select 'player_match_id.unique', 'error', count(*) from
-                (select player_match_id from pm where player_match_id is not null
-                 group by 1 having count(*) > 1)
-            union all select 'player_id.relationships', 'warn', count(distinct player_id) from pm
+            union all select 'stg_players.player_id.unique', count(player_id) - count(distinct player_id) from p
+            union all select 'stg_players.player_id.not_null', count(*) - count(player_id) from p
+            union all select 'stg_rankings.ranking_date.not_null', count(*) - count(ranking_date) from r
+            union all select 'stg_rankings.ranking_date+player_id.unique_combination', count(*) from
+                (select ranking_date || '-' || player_id from r group by 1 having count(*) > 1)
+            union all select 'int_player_matches.player_match_id.not_null', count(*) - count(player_match_id) from pm
+            union all select 'int_player_matches.player_id.not_null', count(*) - count(player_id) from pm
+            union all select 'int_player_matches.player_match_id.unique', count(*) from
+                (select player_match_id from pm where player_match_id is not null group by 1 having count(*) > 1)
+            union all select 'int_player_matches.player_id.relationships', count(distinct player_id) from pm
                 where player_id is not null and player_id not in (select player_id from p)
-            union all select 'match_id.one_of_each', 'error', count(*) from
-                (select match_id from pm group by match_id
-                 having count(*) <> 2 or sum(if(is_win, 1, 0)) <> 1)
+            union all select 'int_player_matches.match_id.one_of_each', count(*) from
+                (select match_id from pm group by match_id having count(*) <> 2 or sum(if(is_win, 1, 0)) <> 1)
+            union all select 'dim_players.player_id.unique', count(player_id) - count(distinct player_id) from dim
+            union all select 'dim_players.player_id.not_null', count(*) - count(player_id) from dim
+            union all select 'fct_player_matches.player_match_id.unique', count(*) from
+                (select player_match_id from pm where player_match_id is not null group by 1 having count(*) > 1)
+            union all select 'fct_player_matches.player_match_id.not_null', count(*) - count(player_match_id) from pm
+            union all select 'mart_age_curves.player_id+age_year.unique_combination', count(*) from
+                (select player_id || '-' || age_year from curves group by 1 having count(*) > 1)
+            union all select 'mart_age_curves.win_pct.not_null', count(*) - count(win_pct) from curves
+            union all select 'mart_big3_era_slams.champion.not_null', count(*) - count(champion) from era
         ) c""",
+    "pace_in_order": """select *, row_number() over (order by compared_at_age_of nulls last, cohort desc nulls last, slam_titles desc nulls last,
+        player_name nulls last) as position from pace""",
+    "curves_in_order": """select *, row_number() over (order by player_id nulls last, age_year nulls last) as position
+        from curves""",
 }
 
 for _metric in ("cum_slam_titles", "win_pct", "win_pct_vs_top10", "cum_weeks_at_no1"):

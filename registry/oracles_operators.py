@@ -176,6 +176,9 @@ OPERATOR_ORACLES = {
         where source_file not like '%doubles%'
           and not (source_file like '%matches%' and source_file < 'atp_matches_1998')
         group by source_file""",
+    "orders_in_order": """
+        select o_orderkey, o_orderpriority, row_number() over (order by o_orderpriority nulls last,
+            o_totalprice desc nulls last, o_orderkey nulls last) as position from orders""",
     "insert_by_name": """
         select cast(o_orderkey as varchar) as o_orderkey, cast(o_custkey as varchar) as o_custkey,
                if(o_orderdate >= timestamp '1998-01-01', o_orderstatus, null) as o_orderstatus,

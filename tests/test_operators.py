@@ -24,6 +24,7 @@ from careerline.operators import (
     small_side,
     trailing_upsert,
     two_sided,
+    with_positions,
 )
 from careerline.operators import joins
 from careerline.plans import staging
@@ -285,3 +286,20 @@ def test_days_match_the_pattern_parser(spark):
     for text in bad:
         with pytest.raises(Exception, match="not a yyyyMMdd date"):
             frame.where(F.col("text") == text).select(fn.strict_date("text")).collect()
+
+
+def test_positions_are_those_of_one_sort(spark, tmp_path):
+    """One key holds most rows; ties go by the next column; NULLs come where the order puts them."""
+    dice = random.Random(9)
+    data = [(dice.choice([7] * 8 + [None, 1, 2]), k, dice.choice(["a", None])) for k in range(5000)]
+    frame = local_frame(spark, data, "k long, n long, t string")
+
+    def store(dealt):
+        path = str(tmp_path / "dealt")
+        dealt.write.parquet(path)
+        return spark.read.parquet(path)
+
+    placed = with_positions(frame, [F.desc_nulls_last("k"), F.asc_nulls_last("t"), F.asc("n")], store).collect()
+    want = sorted(data, key=lambda r: (r[0] is None, -(r[0] or 0), r[2] is None, r[2] or "", r[1]))
+    assert [tuple(r)[:3] for r in sorted(placed, key=lambda r: r["position"])] == want
+    assert sorted(r["position"] for r in placed) == list(range(1, 5001))
