@@ -43,18 +43,22 @@ def counts_up_to_point(
     key: str,
     point: str,
     limit: str,
-    counts: Mapping[str, Column],
+    counts: Mapping[str, Column] | None = None,
+    amounts: Sequence[str] = (),
 ) -> DataFrame:
     """Per pair, how many events of ``key`` lie at or before the pair's ``limit``.
 
-    ``counts`` maps output columns to conditions; a pair without an event gets zeros.
+    ``counts`` maps output columns to conditions; ``amounts`` names whole-number columns that are added
+    up, for events that were counted before. A pair without an event gets zeros.
     Events are summed per (key, point) and added up in order of their points, and each pair reads
     the running totals at its limit: the work grows with the events and the pairs, not with their
     product. ``pair_rows`` is a proven upper bound of the grid; events of keys that no pair
     has are left out before anything is shuffled if it is small.
     """
-    names = list(counts)
+    counts = counts or {}
+    names = [*counts, *amounts]
     sums = [F.count_if(condition).alias(name) for name, condition in counts.items()]
+    sums += [F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in amounts]
     wanted = small_side(pairs.select(key).distinct(), pair_rows)
     tallies = (
         events.where(F.col(point).isNotNull())

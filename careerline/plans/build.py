@@ -29,11 +29,15 @@ FACT_KEYS = "marts/fct_player_matches_keys"
 FACT_WINDOW = "marts/fct_player_matches_window"
 #: Ranking rows by source file, before the best of each player and week is picked.
 TYPED_RANKINGS = "staging/typed_rankings"
+#: What the marts need of the fact, in parts by its seasons: a changed season has its part made again.
+CAREERS = "marts/career_tallies"
+SLAM_WINS = "marts/slam_wins"
+MEETINGS = "marts/meetings"
 
 #: What the stored tables were built from, published together with them.
 BUILT = "marts/built_from"
 #: Another name here has everything built again by changed model rules.
-RULES = "models-2"
+RULES = "models-3"
 ENTITIES = ("matches", "players", "rankings")
 
 # Layer of every stored table.
@@ -66,6 +70,20 @@ def _seasons(frame: DataFrame, date: str = FACT_DATE) -> set[str]:
     return {r[0] for r in frame.select(_season(date)).distinct().collect()}
 
 
+def newest_day(warehouse: Warehouse) -> Column:
+    """The newest day of the stored fact, read from its last season alone; NULL if it has no day."""
+    dated = [int(season) for season in warehouse.parts(FACT) if season != str(NO_SEASON)]
+    last = warehouse.read(FACT, [str(max(dated))]).agg(F.max(FACT_DATE)).first()[0] if dated else None
+    return F.lit(last).cast("date")
+
+
+def store_by_season(warehouse: Warehouse, table: str, seasons: Iterable[str], model: Callable[..., DataFrame]) -> None:
+    """Make the parts ``seasons`` of ``table`` again from the fact's rows of these seasons; no other season is read."""
+    seasons = sorted(seasons)
+    fact = warehouse.read(FACT, seasons).withColumn("_season", _season(FACT_DATE))
+    warehouse.replace_parts(table, model(fact, more=["_season"]), F.col("_season"), seasons, rebalance=True, drop=["_season"])
+
+
 def refresh_fact(warehouse: Warehouse, source: DataFrame, full_refresh: bool = False) -> DataFrame:
     """Bring the stored fact up to date with ``source``; reads and rewrites only the seasons concerned.
 
@@ -83,8 +101,7 @@ def refresh_fact(warehouse: Warehouse, source: DataFrame, full_refresh: bool = F
     if full_refresh or not warehouse.exists(FACT):
         store(source, _seasons(source) | set(warehouse.parts(FACT)))
         return warehouse.read(FACT)
-    newest = warehouse.read(FACT).agg(F.max(FACT_DATE)).first()[0]  # a literal skips row groups of the scan
-    since = F.date_sub(F.lit(newest).cast("date"), TRAILING_DAYS)
+    since = F.date_sub(newest_day(warehouse), TRAILING_DAYS)  # a literal skips row groups of the scan
     window = warehouse.replace(FACT_WINDOW, source.where(F.col(FACT_DATE) >= since))
     known = warehouse.read(FACT_KEYS).join(window.select(hashed), "key", "left_semi")
     concerned = _seasons(window) | {r["season"] for r in known.select("season").distinct().collect()}
@@ -119,7 +136,7 @@ class Changes:
 def _changes(warehouse: Warehouse, inputs: dict[str, str], rebuild: bool) -> Changes:
     """Source files by entity, and seeds, that are new or changed; all of them without a usable last build."""
     known: dict[str, str] = {}
-    if not rebuild and all(map(warehouse.exists, [BUILT, TYPED_RANKINGS, FACT_KEYS, *map(stored_name, STORED)])):
+    if not rebuild and all(map(warehouse.exists, [BUILT, TYPED_RANKINGS, FACT_KEYS, CAREERS, SLAM_WINS, MEETINGS, *map(stored_name, STORED)])):
         known = {r["input"]: r["state"] for r in warehouse.read(BUILT).collect()}  # one row per source file
         known = known if known.get("rules") == RULES else {}
     new = {name for name, state in inputs.items() if known.get(name) != state}
@@ -154,8 +171,9 @@ def build(
     """All models over the raw tables; every layer is checked before the next one is built.
 
     Only what depends on a source file or seed that has changed since the last build is built and checked again: matches
-    are typed and turned into player rows file by file, rankings typed by file and picked by year, the fact is refreshed, and the
-    marts are made anew from what changed below them. ``rebuild`` takes all files as changed, ``full_refresh``
+    are typed and turned into player rows file by file, rankings typed by file and picked by year, the fact is refreshed, and what
+    the marts need of it is made again for the seasons that the refresh rewrote. Checks look at the rows that came in
+    (``checks.Delta``). ``rebuild`` takes all files as changed, ``full_refresh``
     also replaces the whole fact. The new tables are published together at the end: a failing check leaves the old ones.
     """
     spark = warehouse.spark
@@ -170,6 +188,8 @@ def build(
         return {"tourney_levels": levels.frame, **tables}
 
     tables = {"tourney_levels": levels.frame}
+    deltas: dict[str, checks.Delta] = {}
+    fact_before = dict(warehouse.snapshot(FACT))
     touched: set[str] = {"tourney_levels"} if changes.levels else set()
 
     def store(steps: dict[str, tuple[object, Callable[[], object]]]) -> None:
@@ -187,11 +207,15 @@ def build(
     def gate(wanted: Iterable[checks.Check]) -> None:
         concerned = [c for c in wanted if c.table in touched or c.options.get("parent") in touched]
         if concerned:
-            checks.gate(tables, concerned)
+            checks.gate(tables, concerned, deltas)
 
     def store_matches() -> None:
         typed = staging.stg_matches(warehouse.read(raw_table("matches"), changes.matches))
-        warehouse.replace_parts(stored_name("stg_matches"), typed, F.col("_source_file"), changes.matches)
+        known = set(warehouse.parts(stored_name("stg_matches"))) - set(changes.matches)
+        counted = warehouse.replace_parts(stored_name("stg_matches"), typed, F.col("_source_file"), changes.matches)
+        if known and not changes.levels:
+            came = warehouse.read(stored_name("stg_matches"), changes.matches)
+            deltas["stg_matches"] = checks.Delta(came, sum(counted.values()))
 
     def store_player_matches() -> None:
         every = changes.players or changes.levels
@@ -199,6 +223,18 @@ def build(
         matches = warehouse.read(stored_name("stg_matches"), files)
         rows = marts.int_player_matches(matches, tables["stg_players"], levels, more=["_source_file"])
         warehouse.replace_parts(stored_name("int_player_matches"), rows, F.col("_source_file"), files, drop=["_source_file"])
+        if not every:  # a match stands in one file, as the gate before has shown, and its key is in its rows' keys
+            came = warehouse.read(stored_name("int_player_matches"), files)
+            deltas["int_player_matches"] = checks.Delta(came)
+
+    def store_fact() -> None:
+        refresh_fact(warehouse, tables["int_player_matches"], full_refresh)
+        if not full_refresh:  # the refresh opens all seasons that hold a key of its window
+            deltas["fct_player_matches"] = checks.Delta(warehouse.read(FACT, rewritten()))
+
+    def rewritten() -> list[str]:
+        """The seasons that this build wrote."""
+        return sorted(p for p, folder in warehouse.snapshot(FACT) if p not in fact_before or fact_before[p] != folder)
 
     with warehouse.publishing():
         raw_players = partial(warehouse.read, raw_table("players"))
@@ -216,23 +252,33 @@ def build(
         gate([*checks.INTERMEDIATE, *checks.DIMENSION])
 
         facts_due = full_refresh or "int_player_matches" in touched
-        store({"fct_player_matches": (facts_due, lambda: refresh_fact(warehouse, tables["int_player_matches"], full_refresh))})
+        store({"fct_player_matches": (facts_due, store_fact)})
         gate(checks.FACT)
 
-        fct, dim = tables["fct_player_matches"], tables["dim_players"]
-        rows = roster.rows
-        careers = bool(touched & {"fct_player_matches", "dim_players"}) or changes.roster
+        dim, rows = tables["dim_players"], roster.rows
+        seasons, members = rewritten(), "dim_players" in touched or changes.roster
+        every_season = [p for p, _ in warehouse.snapshot(FACT)]
+        steps = {
+            CAREERS: (members, lambda fact, more: marts.career_tallies(fact, dim, rows, more)),
+            MEETINGS: (members, lambda fact, more: marts.meetings(fact, dim, rows, more)),
+            SLAM_WINS: (False, marts.slam_wins),
+        }
+        due = {t: every_season if of_all or not warehouse.exists(t) else seasons for t, (of_all, _) in steps.items()}
+        side_by_side([partial(store_by_season, warehouse, t, due[t], model) for t, (_, model) in steps.items() if due[t] or not warehouse.exists(t)])
+        careers, slams, met = (warehouse.read(t) for t in (CAREERS, SLAM_WINS, MEETINGS))
+
+        played = bool(touched & {"fct_player_matches", "dim_players"}) or changes.roster
         weeks = bool(touched & {"stg_rankings", "dim_players"})
         store({
             "mart_no1_weeks": (weeks, whole("mart_no1_weeks", lambda: marts.mart_no1_weeks(tables["stg_rankings"], dim))),
-            "mart_slam_titles": (careers, whole("mart_slam_titles", lambda: marts.mart_slam_titles(fct, dim))),
-            "mart_big3_era_slams": (careers, whole("mart_big3_era_slams", lambda: marts.mart_big3_era_slams(fct, dim, rows))),
-            "mart_vs_big3_h2h": (careers, whole("mart_vs_big3_h2h", lambda: marts.mart_vs_big3_h2h(fct, dim, rows))),
+            "mart_slam_titles": (played, whole("mart_slam_titles", lambda: marts.mart_slam_titles(slams, dim))),
+            "mart_big3_era_slams": (played, whole("mart_big3_era_slams", lambda: marts.mart_big3_era_slams(slams, dim, rows))),
+            "mart_vs_big3_h2h": (played, whole("mart_vs_big3_h2h", lambda: marts.mart_vs_big3_h2h(met, dim, rows))),
         })
-        no1 = tables["mart_no1_weeks"]
+        no1, cutoff = tables["mart_no1_weeks"], newest_day(warehouse)
         store({
-            "mart_age_curves": (careers or weeks, whole("mart_age_curves", lambda: marts.mart_age_curves(fct, dim, no1, rows))),
-            "mart_pace_comparison": (careers or weeks, whole("mart_pace_comparison", lambda: marts.mart_pace_comparison(fct, dim, no1, rows))),
+            "mart_age_curves": (played or weeks, whole("mart_age_curves", lambda: marts.mart_age_curves(careers, dim, no1, rows))),
+            "mart_pace_comparison": (played or weeks, whole("mart_pace_comparison", lambda: marts.mart_pace_comparison(careers, cutoff, dim, no1, rows))),
         })
         gate(checks.MARTS)
         warehouse.replace(BUILT, local_frame(spark, sorted(inputs.items()), "input string, state string"))

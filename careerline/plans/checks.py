@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careerline.operators import quality
+from careerline.operators import quality, small_side
 
 log = logging.getLogger(__name__)
 
@@ -22,6 +22,32 @@ class DataCheckError(Exception):
     """A check of severity ``error`` found violations."""
 
 
+#: Checks that compare rows of one key; all others look at the rows of one table one by one.
+KEY_KINDS = ("unique", "one_of_each", "unique_combination")
+
+
+@dataclass(frozen=True)
+class Delta:
+    """The rows that a table got since all its checks passed; everything else in it is as it was, or gone.
+
+    A violation that was not there before has one of these rows, so the checks need to look at them alone, and at the rows
+    that share a key with one of them. ``at_most`` is an upper bound of the rows; without it, rows of other parts
+    cannot have their keys, by the way the table is made.
+    """
+
+    rows: DataFrame
+    at_most: int | None = None
+
+    def among(self, whole: DataFrame, key: Sequence[str]) -> DataFrame:
+        """All rows of ``whole`` with a key of ``rows``; keys with NULL are keys."""
+        if self.at_most is None:
+            return self.rows
+        names = [f"_key{i}" for i in range(len(key))]
+        keys = small_side(self.rows.select(*[F.col(c).alias(n) for c, n in zip(key, names)]).distinct(), self.at_most)
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(key, names)])
+        return whole.join(keys, same, "left_semi")
+
+
 @dataclass(frozen=True)
 class Check:
     """One check on one table. ``severity`` is ``error`` (stops the run) or ``warn``."""
@@ -46,8 +72,11 @@ class Check:
             return quality.not_accepted(column, self.options["values"])
         return None
 
-    def violations(self, tables: Mapping[str, DataFrame]) -> DataFrame:
+    def violations(self, tables: Mapping[str, DataFrame], delta: Delta | None = None) -> DataFrame:
+        """The violations; with ``delta``, those among its rows and the rows with their keys."""
         frame, column = tables[self.table], self.columns[0]
+        if delta is not None:
+            frame = delta.among(frame, self.columns) if self.kind in KEY_KINDS else delta.rows
         if self.kind == "not_null":
             return quality.not_null(frame, column)
         if self.kind == "accepted_values":
@@ -109,17 +138,21 @@ MARTS = [
 ALL_CHECKS = [*STAGING, *INTERMEDIATE, *DIMENSION, *FACT, *MARTS]
 
 
-def check_report(tables: Mapping[str, DataFrame], checks: Iterable[Check]) -> DataFrame:
+def check_report(
+    tables: Mapping[str, DataFrame], checks: Iterable[Check], deltas: Mapping[str, Delta] | None = None
+) -> DataFrame:
     """(check_name, severity, failures) for all ``checks`` in one query.
 
-    The row-by-row checks of a table share one scan; the grouping checks count their violations.
+    The row-by-row checks of a table share one scan; the grouping checks count their violations. Tables
+    named in ``deltas`` are checked where they changed.
     """
-    checks = list(checks)
+    checks, deltas = list(checks), deltas or {}
     parts = []
     for table in dict.fromkeys(c.table for c in checks):
         by_row = [c for c in checks if c.table == table and c.row_condition is not None]
         if by_row:
-            counted = tables[table].agg(
+            frame = deltas[table].rows if table in deltas else tables[table]
+            counted = frame.agg(
                 F.array(
                     *[
                         F.struct(
@@ -134,7 +167,7 @@ def check_report(tables: Mapping[str, DataFrame], checks: Iterable[Check]) -> Da
             parts.append(counted.select(F.inline("results")))
     for check in checks:
         if check.row_condition is None:
-            failures = check.violations(tables).agg(F.count("*").alias("failures"))
+            failures = check.violations(tables, deltas.get(check.table)).agg(F.count("*").alias("failures"))
             parts.append(
                 failures.select(
                     F.lit(check.name).alias("check_name"),
@@ -145,9 +178,11 @@ def check_report(tables: Mapping[str, DataFrame], checks: Iterable[Check]) -> Da
     return reduce(DataFrame.unionByName, parts)
 
 
-def gate(tables: Mapping[str, DataFrame], checks: Iterable[Check]) -> dict[str, int]:
+def gate(
+    tables: Mapping[str, DataFrame], checks: Iterable[Check], deltas: Mapping[str, Delta] | None = None
+) -> dict[str, int]:
     """Run ``checks``; raise on a failing error check, log a failing warning."""
-    found = check_report(tables, checks).collect()  # one row per check
+    found = check_report(tables, checks, deltas).collect()  # one row per check
     failing = [row for row in found if row["failures"]]
     for row in failing:
         log.warning("%s: %d violations (%s)", row["check_name"], row["failures"], row["severity"])

@@ -34,6 +34,14 @@ ERA_START = datetime.date(2005, 1, 1)
 
 TOP_RANK = 10
 FINAL = "F"
+TALLIES = ("matches", "wins", "matches_vs_top10", "wins_vs_top10", "titles", "slam_titles")
+SLAM_COLUMNS = (
+    "tourney_id", "tourney_name", "tourney_date", "surface", "round_code", "player_id", "opponent_id",
+    "age_at_match", "is_win", "is_grand_slam", "is_title",
+)
+MEETING_COLUMNS = (
+    "player_id", "opponent_id", "tourney_level", "round_code", "is_incomplete", "is_win", "is_grand_slam",
+)
 
 
 def int_player_matches(
@@ -143,21 +151,20 @@ def mart_slam_titles(fct: DataFrame, dim: DataFrame) -> DataFrame:
     )
 
 
-def mart_age_curves(
-    fct: DataFrame, dim: DataFrame, no1_weeks: DataFrame, roster_rows: int
+def career_tallies(
+    fct: DataFrame, dim: DataFrame, roster_rows: int, more: Sequence[str] = ()
 ) -> DataFrame:
-    """Focus players per year of age, with running totals.
+    """Counted matches of focus players added up per player and exact age, and by the columns ``more``.
 
-    Weeks at number 1 attach to ages that have a counted match; the others drop out.
+    Tallies add up: those of some seasons and those of the others are together those of all. So a stored
+    career is continued by the tallies of the seasons that changed, without reading the others.
     """
-    focus = dim.where("is_focus_player").select(
-        "player_id", "display_name", "cohort", "colour_slot"
-    )
+    focus = dim.where("is_focus_player").select("player_id")
     won, top10, title = F.col("is_win"), F.col("vs_top10"), F.col("is_title")
-    by_age = (
+    return (
         counted_matches(fct)
-        .join(small_side(focus, roster_rows), "player_id")
-        .groupBy(*focus.columns, age_year("age_at_match").alias("age_year"))
+        .join(small_side(focus, roster_rows), "player_id", "left_semi")
+        .groupBy("player_id", "age_at_match", *more)
         .agg(
             F.count("*").alias("matches"),
             F.count_if(won).alias("wins"),
@@ -167,6 +174,40 @@ def mart_age_curves(
             F.count_if(title & F.col("is_grand_slam")).alias("slam_titles"),
         )
     )
+
+
+def slam_wins(fct: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """Won slam matches: all that the slam marts need of the fact."""
+    return fct.where(F.col("is_win") & F.col("is_grand_slam")).select(*SLAM_COLUMNS, *more)
+
+
+def meetings(fct: DataFrame, dim: DataFrame, roster_rows: int, more: Sequence[str] = ()) -> DataFrame:
+    """Counted matches of focus players against established ones: all that the head-to-heads need of the fact."""
+    focus = dim.where("is_focus_player").select("player_id")
+    established = dim.where(F.col("cohort") == ESTABLISHED)
+    return (
+        counted_matches(fct)
+        .join(small_side(focus, roster_rows), "player_id", "left_semi")
+        .join(small_side(as_role(established, {"opponent_id": "player_id"}), roster_rows), "opponent_id", "left_semi")
+        .select(*MEETING_COLUMNS, *more)
+    )
+
+
+def mart_age_curves(
+    tallies: DataFrame, dim: DataFrame, no1_weeks: DataFrame, roster_rows: int
+) -> DataFrame:
+    """Focus players per year of age, with running totals, from their ``career_tallies``.
+
+    Weeks at number 1 attach to ages that have a counted match; the others drop out.
+    """
+    focus = dim.where("is_focus_player").select(
+        "player_id", "display_name", "cohort", "colour_slot"
+    )
+    by_age = (
+        tallies.join(small_side(focus, roster_rows), "player_id")
+        .groupBy(*focus.columns, age_year("age_at_match").alias("age_year"))
+        .agg(*[F.sum(name).alias(name) for name in TALLIES])
+    )
     weeks = (
         no1_weeks.join(small_side(focus.select("player_id"), roster_rows), "player_id", "left_semi")
         .groupBy("player_id", age_year("age_at_ranking").alias("age_year"))
@@ -203,10 +244,12 @@ def pace_order() -> list[Column]:
 
 
 def mart_pace_comparison(
-    fct: DataFrame, dim: DataFrame, no1_weeks: DataFrame, roster_rows: int
+    tallies: DataFrame, cutoff: Column, dim: DataFrame, no1_weeks: DataFrame, roster_rows: int
 ) -> DataFrame:
-    """What each newcomer has won, and what the established players had at exactly that age."""
-    cutoff = fct.agg(F.max("tourney_date")).scalar()
+    """What each newcomer has won, and what the established players had at exactly that age.
+
+    ``tallies`` are the ``career_tallies``, ``cutoff`` is the newest day of the fact.
+    """
     members = dim.where(F.col("cohort").isin(ESTABLISHED, NEWCOMERS)).select(
         "player_id",
         "display_name",
@@ -224,22 +267,19 @@ def mart_pace_comparison(
         },
         compared={"player_id": "player_id", "player_name": "display_name", "cohort": "cohort"},
     )
-    title, slam = F.col("is_title"), F.col("is_grand_slam")
-    no = F.lit(False)
-    matches = counted_matches(fct).select(
+    summed = {"slam_titles": "slam_titles", "titles": "titles", "match_wins": "wins", "matches": "matches"}
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    matches = tallies.select(
         "player_id",
         F.col("age_at_match").alias("age"),
-        (title & slam).alias("slam_title"),
-        title.alias("title"),
-        F.col("is_win").alias("win"),
-        F.lit(True).alias("match"),
-        no.alias("week"),
+        *[F.col(tally).alias(name) for name, tally in summed.items()],
+        none.alias("weeks_at_no1"),
     )
     weeks = no1_weeks.select(
         "player_id",
         F.col("age_at_ranking").alias("age"),
-        *[no.alias(c) for c in ("slam_title", "title", "win", "match")],
-        F.lit(True).alias("week"),
+        *[none.alias(name) for name in summed],
+        one.alias("weeks_at_no1"),
     )
     reached = counts_up_to_point(
         pairs,
@@ -248,13 +288,7 @@ def mart_pace_comparison(
         key="player_id",
         point="age",
         limit="current_age",
-        counts={
-            "slam_titles": F.col("slam_title"),
-            "titles": F.col("title"),
-            "match_wins": F.col("win"),
-            "matches": F.col("match"),
-            "weeks_at_no1": F.col("week"),
-        },
+        amounts=[*summed, "weeks_at_no1"],
     )
     return reached.select(
         "compared_at_age_of",

@@ -12,6 +12,7 @@ import uuid
 from functools import cached_property, lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from careerline.plans import marts, staging
 from careerline.sources import seeds
@@ -110,18 +111,30 @@ class Feed:
         """The fact after a first build."""
         return self.stored("int_player_matches")
 
+    @cached_property
+    def career_tallies(self) -> DataFrame:
+        return marts.career_tallies(self.fct_player_matches, self.stored("dim_players"), self.roster.rows)
+
+    @cached_property
+    def slam_wins(self) -> DataFrame:
+        return marts.slam_wins(self.fct_player_matches)
+
+    @cached_property
+    def meetings(self) -> DataFrame:
+        return marts.meetings(self.fct_player_matches, self.stored("dim_players"), self.roster.rows)
+
     @cached_property
     def mart_no1_weeks(self) -> DataFrame:
         return marts.mart_no1_weeks(self.stored("stg_rankings"), self.stored("dim_players"))
 
     @cached_property
     def mart_slam_titles(self) -> DataFrame:
-        return marts.mart_slam_titles(self.fct_player_matches, self.stored("dim_players"))
+        return marts.mart_slam_titles(self.stored("slam_wins"), self.stored("dim_players"))
 
     @cached_property
     def mart_age_curves(self) -> DataFrame:
         return marts.mart_age_curves(
-            self.fct_player_matches,
+            self.stored("career_tallies"),
             self.stored("dim_players"),
             self.stored("mart_no1_weeks"),
             self.roster.rows,
@@ -130,7 +143,8 @@ class Feed:
     @cached_property
     def mart_pace_comparison(self) -> DataFrame:
         return marts.mart_pace_comparison(
-            self.fct_player_matches,
+            self.stored("career_tallies"),
+            self.fct_player_matches.agg(F.max("tourney_date")).scalar(),
             self.stored("dim_players"),
             self.stored("mart_no1_weeks"),
             self.roster.rows,
@@ -139,13 +153,13 @@ class Feed:
     @cached_property
     def mart_big3_era_slams(self) -> DataFrame:
         return marts.mart_big3_era_slams(
-            self.fct_player_matches, self.stored("dim_players"), self.roster.rows
+            self.stored("slam_wins"), self.stored("dim_players"), self.roster.rows
         )
 
     @cached_property
     def mart_vs_big3_h2h(self) -> DataFrame:
         return marts.mart_vs_big3_h2h(
-            self.fct_player_matches, self.stored("dim_players"), self.roster.rows
+            self.stored("meetings"), self.stored("dim_players"), self.roster.rows
         )
 
 

@@ -120,8 +120,11 @@ def test_title_at_any_level_and_by_retirement(world):
     assert fct.where("is_title").count() == 3
     assert marts.mart_slam_titles(fct, dim).count() == 1  # won by retirement, still a title
     assert marts.mart_big3_era_slams(fct, dim, rows).count() == 1
-    curves = marts.mart_age_curves(fct, dim, no_weeks(fct.sparkSession), rows)
+    curves = marts.mart_age_curves(marts.career_tallies(fct, dim, rows), dim, no_weeks(fct.sparkSession), rows)
     assert curves.count() == 0  # not a counted match
+    won = marts.slam_wins(fct)
+    assert marts.mart_slam_titles(won, dim).collect() == marts.mart_slam_titles(fct, dim).collect()
+    assert marts.mart_big3_era_slams(won, dim, rows).collect() == marts.mart_big3_era_slams(fct, dim, rows).collect()
 
 
 def test_unknown_champion_or_finalist_drops_out(world):
@@ -153,7 +156,8 @@ def test_weeks_in_an_age_without_matches_disappear(spark, world):
     weeks = spark.createDataFrame(
         [(D(2005, 6, 6), 1, "Ann", age), (D(2006, 6, 5), 1, "Ann", age + 1)], no_weeks(spark).schema
     )
-    found = marts.mart_age_curves(fct, dim, weeks, rows).select("age_year", "weeks_at_no1", "cum_weeks_at_no1").collect()
+    tallies = marts.career_tallies(fct, dim, rows)
+    found = marts.mart_age_curves(tallies, dim, weeks, rows).select("age_year", "weeks_at_no1", "cum_weeks_at_no1").collect()
     assert [tuple(r) for r in found] == [(25, 1, 1)]
 
 
@@ -165,7 +169,8 @@ def test_pace_boundary_is_inclusive_on_the_exact_age(spark, world):
     )
     born = {r["player_id"]: r["date_of_birth"] for r in dim.collect()}
     limit = (D(2010, 6, 1) - born[3]).days
-    pace = {r["player_name"]: r for r in marts.mart_pace_comparison(fct, dim, no_weeks(spark), rows).collect()}
+    tallies, newest = marts.career_tallies(fct, dim, rows), F.lit(D(2010, 6, 1))
+    pace = {r["player_name"]: r for r in marts.mart_pace_comparison(tallies, newest, dim, no_weeks(spark), rows).collect()}
     reached = sum((d - born[1]).days <= limit for d in (D(2008, 6, 1), D(2008, 6, 2)))
     assert pace["Ann"]["titles"] == reached and pace["Cleo"]["titles"] == 1
     assert (pace["Bea"]["titles"], pace["Bea"]["win_pct"], pace["Bea"]["weeks_at_no1"]) == (0, None, 0)
@@ -175,8 +180,9 @@ def test_head_to_head_leaves_out_the_established(world):
     fct, dim, rows = world(
         {"winner_id": "1", "loser_id": "2"}, {"winner_id": "4", "loser_id": "1"}, {"winner_id": "4", "loser_id": "7"}
     )
-    found = [tuple(r)[:6] for r in marts.mart_vs_big3_h2h(fct, dim, rows).collect()]
-    assert found == [("Dot", "Big 3 era challengers", "Ann", 1, 1, 1.0)]
+    for events in (fct, marts.meetings(fct, dim, rows)):
+        found = [tuple(r)[:6] for r in marts.mart_vs_big3_h2h(events, dim, rows).collect()]
+        assert found == [("Dot", "Big 3 era challengers", "Ann", 1, 1, 1.0)]
 
 
 def test_hot_player_is_split_by_adaptive_execution(spark, tmp_path):
