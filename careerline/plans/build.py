@@ -84,17 +84,23 @@ def store_by_season(warehouse: Warehouse, table: str, seasons: Iterable[str], mo
     warehouse.replace_parts(table, model(fact, more=["_season"]), F.col("_season"), seasons, rebalance=True, drop=["_season"])
 
 
-def refresh_fact(warehouse: Warehouse, source: DataFrame, full_refresh: bool = False) -> DataFrame:
+def refresh_fact(
+    warehouse: Warehouse,
+    source: DataFrame,
+    full_refresh: bool = False,
+    watched: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> DataFrame:
     """Bring the stored fact up to date with ``source``; reads and rewrites only the seasons concerned.
 
     These are the seasons of the trailing window and those that hold an older row with a key of
     the window: a corrected date can move a row from one season to another. A side table of key hashes tells
     them (two keys with one hash cost a season that is rewritten as it was), so no other season is opened.
+    ``watched`` wraps the rows that are written.
     """
     hashed = F.xxhash64(FACT_KEY).alias("key")
 
     def store(rows: DataFrame, concerned: set[str]) -> None:
-        warehouse.replace_parts(FACT, rows, _season(FACT_DATE), concerned, rebalance=True)
+        warehouse.replace_parts(FACT, watched(rows), _season(FACT_DATE), concerned, rebalance=True)
         keys = warehouse.read(FACT, concerned).select(hashed, _season(FACT_DATE).alias("season"))
         warehouse.replace_parts(FACT_KEYS, keys, F.col("season"), concerned)
 
@@ -144,8 +150,8 @@ def _changes(warehouse: Warehouse, inputs: dict[str, str], rebuild: bool) -> Cha
     return Changes(**files, roster="roster" in new, levels="levels" in new)
 
 
-def _store_rankings(warehouse: Warehouse, files: list[str]) -> DataFrame:
-    """Type the rows of ``files`` and pick the best again in the years that they have, or had before."""
+def _store_rankings(warehouse: Warehouse, files: list[str], watched: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Type the rows of ``files`` and pick the best again in the years that they have, or had before; returns these years' rows."""
     name, day = stored_name("stg_rankings"), F.col("ranking_date")
     years = _seasons(warehouse.read(TYPED_RANKINGS, files), "ranking_date") if warehouse.exists(TYPED_RANKINGS) else set()
     raw = warehouse.read(raw_table("rankings"), files)
@@ -157,8 +163,8 @@ def _store_rankings(warehouse: Warehouse, files: list[str]) -> DataFrame:
     if dated:  # a range of days is pushed down to the scan, a year is not
         near |= day.between(F.make_date(F.lit(dated[0]), F.lit(1), F.lit(1)), F.make_date(F.lit(dated[-1]), F.lit(12), F.lit(31)))
     concerned = warehouse.read(TYPED_RANKINGS).where(near & _season("ranking_date").isin(*years))
-    warehouse.replace_parts(name, staging.best_rankings(concerned), _season("ranking_date"), years, rebalance=True)
-    return warehouse.read(name)
+    warehouse.replace_parts(name, watched(staging.best_rankings(concerned)), _season("ranking_date"), years, rebalance=True)
+    return warehouse.read(name, years)
 
 
 def build(
@@ -189,6 +195,7 @@ def build(
 
     tables = {"tourney_levels": levels.frame}
     deltas: dict[str, checks.Delta] = {}
+    watches = {name: checks.Watch(name) for name in STORED}
     fact_before = dict(warehouse.snapshot(FACT))
     touched: set[str] = {"tourney_levels"} if changes.levels else set()
 
@@ -202,33 +209,40 @@ def build(
             tables[name].createOrReplaceTempView(name)
 
     def whole(name: str, model: Callable[[], DataFrame]) -> Callable[[], object]:
-        return lambda: warehouse.replace(stored_name(name), model())
+        return lambda: warehouse.replace(stored_name(name), watches[name].over(model()))
 
     def gate(wanted: Iterable[checks.Check]) -> None:
         concerned = [c for c in wanted if c.table in touched or c.options.get("parent") in touched]
         if concerned:
-            checks.gate(tables, concerned, deltas)
+            settled = {n for table in {c.table for c in concerned} for n in watches[table].settled()}
+            checks.gate(tables, concerned, deltas, settled)
 
     def store_matches() -> None:
         typed = staging.stg_matches(warehouse.read(raw_table("matches"), changes.matches))
         known = set(warehouse.parts(stored_name("stg_matches"))) - set(changes.matches)
+        typed = watches["stg_matches"].over(typed)
         counted = warehouse.replace_parts(stored_name("stg_matches"), typed, F.col("_source_file"), changes.matches)
         if known and not changes.levels:
             came = warehouse.read(stored_name("stg_matches"), changes.matches)
             deltas["stg_matches"] = checks.Delta(came, sum(counted.values()))
 
+    def store_rankings() -> None:
+        came = _store_rankings(warehouse, changes.rankings, watches["stg_rankings"].over)
+        deltas["stg_rankings"] = checks.Delta(came)  # a player's week lies in one year
+
     def store_player_matches() -> None:
         every = changes.players or changes.levels
         files = [p for p, _ in warehouse.snapshot(stored_name("stg_matches"))] if every else changes.matches
         matches = warehouse.read(stored_name("stg_matches"), files)
         rows = marts.int_player_matches(matches, tables["stg_players"], levels, more=["_source_file"])
+        rows = watches["int_player_matches"].over(rows)
         warehouse.replace_parts(stored_name("int_player_matches"), rows, F.col("_source_file"), files, drop=["_source_file"])
         if not every:  # a match stands in one file, as the gate before has shown, and its key is in its rows' keys
             came = warehouse.read(stored_name("int_player_matches"), files)
             deltas["int_player_matches"] = checks.Delta(came)
 
     def store_fact() -> None:
-        refresh_fact(warehouse, tables["int_player_matches"], full_refresh)
+        refresh_fact(warehouse, tables["int_player_matches"], full_refresh, watches["fct_player_matches"].over)
         if not full_refresh:  # the refresh opens all seasons that hold a key of its window
             deltas["fct_player_matches"] = checks.Delta(warehouse.read(FACT, rewritten()))
 
@@ -241,7 +255,7 @@ def build(
         store({
             "stg_matches": (changes.matches, store_matches),
             "stg_players": (changes.players, whole("stg_players", lambda: staging.stg_players(raw_players()))),
-            "stg_rankings": (changes.rankings, partial(_store_rankings, warehouse, changes.rankings)),
+            "stg_rankings": (changes.rankings, store_rankings),
         })
         gate(checks.STAGING)
 

@@ -416,3 +416,34 @@ def test_unknown_player_only_warns(spark, place):
     feed.write_matches(source, 2019, [*feed.MATCHES_2019, stranger])
     run(spark, source, root)
     assert fact(spark, root)["2019-90-19-1"]["date_of_birth"] is None
+
+
+def test_row_checks_are_counted_by_the_write(spark, tmp_path):
+    """Zero settles a check; other counts, and none over an empty input, leave it to the stored rows."""
+    schema = "match_id string, tourney_date date, winner_id int, loser_id int, surface string"
+    rows = [(f"m{i}", D(2020, 1, 1), i, i + 1, "Clay") for i in range(50)]
+    every = {c.name for c in checks.STAGING if c.table == "stg_matches" and c.row_condition is not None}
+    bad = {"stg_matches.loser_id.not_null", "stg_matches.surface.accepted_values"}
+    for name, given, settled in [
+        ("sound", rows, every),
+        ("bad", [*rows, ("m50", D(2020, 1, 1), 1, None, "Mud")], every - bad),
+        ("empty", [], set()),
+    ]:
+        watch = checks.Watch("stg_matches")
+        assert watch.settled() == set()
+        frame = spark.createDataFrame(given, schema).repartition(3)
+        warehouse = Warehouse(spark, str(tmp_path / name))
+        warehouse.replace_parts("t/t", watch.over(frame), F.col("surface"), {r[4] for r in given}, rebalance=True)
+        assert watch.settled() == settled
+        tables = {"stg_matches": warehouse.read("t/t")}
+        found = checks.check_report(tables, [c for c in checks.STAGING if c.name in every - settled]).collect() if every - settled else []
+        assert {r["check_name"] for r in found if r["failures"]} == (bad if name == "bad" else set())
+
+
+def test_a_build_scans_for_key_checks_only(spark, place, monkeypatch):
+    asked = []
+    usual = checks.check_report
+    monkeypatch.setattr(checks, "check_report", lambda tables, due, deltas: asked.extend(due) or usual(tables, due, deltas))
+    _, root = place
+    plan.build(Warehouse(spark, root), rebuild=True, roster=roster(spark))
+    assert {c.name for c in asked} == {c.name for c in checks.ALL_CHECKS if c.row_condition is None}
