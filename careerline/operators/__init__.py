@@ -15,6 +15,7 @@ from careerline.operators.incremental import (  # noqa: F401
 from careerline.operators.local import local_frame  # noqa: F401
 from careerline.operators.joins import BROADCAST_ROWS, as_role, small_side  # noqa: F401
 from careerline.operators.ordering import with_positions  # noqa: F401
+from careerline.operators.skew import heavy_hitters, hot_left_join, spread_left_join  # noqa: F401
 from careerline.operators.unpivot import two_sided  # noqa: F401
 from careerline.operators.windows import (  # noqa: F401
     best_per_group,

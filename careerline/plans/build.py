@@ -71,9 +71,9 @@ def _seasons(frame: DataFrame, date: str = FACT_DATE) -> set[str]:
 
 
 def newest_day(warehouse: Warehouse) -> Column:
-    """The newest day of the stored fact, read from its last season alone; NULL if it has no day."""
+    """The newest day of the stored fact, read from the footers of its last season alone; NULL if it has no day."""
     dated = [int(season) for season in warehouse.parts(FACT) if season != str(NO_SEASON)]
-    last = warehouse.read(FACT, [str(max(dated))]).agg(F.max(FACT_DATE)).first()[0] if dated else None
+    last = warehouse.read_footers(FACT, [str(max(dated))]).agg(F.max(FACT_DATE)).first()[0] if dated else None
     return F.lit(last).cast("date")
 
 

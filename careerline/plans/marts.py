@@ -19,6 +19,7 @@ from careerline.operators import (
     cohort_pairs,
     counts_up_to_point,
     head_to_head,
+    hot_left_join,
     ordered_list,
     running_totals,
     small_side,
@@ -81,20 +82,17 @@ def int_player_matches(
     )
     columns = [c for c in rows.columns if c not in more]
     births = players.select("player_id", "date_of_birth")
-    return (
-        rows.join(small_side(levels.frame, levels.rows), "tourney_level", "left")
-        .join(births, "player_id", "left")
-        .select(
-            joined_key("match_id", "player_id").alias("player_match_id"),
-            *columns,
-            F.coalesce("is_grand_slam", F.lit(False)).alias("is_grand_slam"),
-            "level_name",
-            "date_of_birth",
-            years_between("date_of_birth", "tourney_date").alias("age_at_match"),
-            (F.col("opponent_rank") <= TOP_RANK).alias("vs_top10"),
-            ((F.col("round_code") == FINAL) & F.col("is_win")).alias("is_title"),
-            *more,
-        )
+    levelled = rows.join(small_side(levels.frame, levels.rows), "tourney_level", "left")
+    return hot_left_join(levelled, births, "player_id").select(
+        joined_key("match_id", "player_id").alias("player_match_id"),
+        *columns,
+        F.coalesce("is_grand_slam", F.lit(False)).alias("is_grand_slam"),
+        "level_name",
+        "date_of_birth",
+        years_between("date_of_birth", "tourney_date").alias("age_at_match"),
+        (F.col("opponent_rank") <= TOP_RANK).alias("vs_top10"),
+        ((F.col("round_code") == FINAL) & F.col("is_win")).alias("is_title"),
+        *more,
     )
 
 

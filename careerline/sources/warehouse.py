@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from careerline.operators.local import local_frame
+from careerline.sources.footers import footer_session, row_count
 
 POINTER_SCHEMA = "turn long, table_name string, part string, folder string, columns string"
 WHOLE, THREADS = "", 4
@@ -79,10 +80,23 @@ class Warehouse:
 
     def read(self, table: str, parts: Iterable[str] | None = None) -> DataFrame:
         """The rows in force, of all parts or of the named ones only."""
+        return self._read(self.spark, table, parts)
+
+    def read_footers(self, table: str, parts: Iterable[str] | None = None) -> DataFrame:
+        """:meth:`read` for counts and extremes of whole parts, which are taken from the files' footers.
+
+        An extreme needs a value in every file. The frame belongs to a session of its own: collect it, don't join it.
+        """
+        return self._read(footer_session(self.spark), table, parts)
+
+    def row_count(self, table: str) -> int:
+        return row_count(self.read_footers(table))
+
+    def _read(self, spark: SparkSession, table: str, parts: Iterable[str] | None) -> DataFrame:
         schema = T.StructType.fromJson(json.loads(self._tables[table][0]))
         wanted = None if parts is None else set(parts)
         folders = [folder for p, folder in self.snapshot(table) if folder and (wanted is None or p in wanted)]
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
     def replace(self, table: str, frame: DataFrame) -> DataFrame:
         """Make ``frame`` the whole content of ``table``; this session sees it at once, others after ``publish``."""
@@ -103,7 +117,7 @@ class Warehouse:
         folder = self._new_folder(table)
         tagged = frame.withColumn("_part", part.cast("string")).drop(*drop)
         (tagged.hint("rebalance", F.col("_part")) if rebalance else tagged).write.partitionBy("_part").parquet(folder)
-        stored = self.spark.read.schema(T.StructType().add("_part", "string")).parquet(folder)
+        stored = footer_session(self.spark).read.schema(T.StructType().add("_part", "string")).parquet(folder)
         rows = {r["_part"]: r["count"] for r in stored.groupBy("_part").count().collect()}
         if unexpected := sorted(set(rows) - set(wanted)):
             raise ValueError(f"rows of unnamed parts of {table}: {unexpected[:5]}")

@@ -52,10 +52,13 @@ class Feed:
         return self._given[table]
 
     def stored(self, name: str) -> DataFrame:
+        return self.warehouse.read(self.stored_table(name))
+
+    def stored_table(self, name: str) -> str:
         table = f"stored/{name}"
         if not self.warehouse.exists(table):
             self.warehouse.replace(table, getattr(self, name))
-        return self.warehouse.read(table)
+        return table
 
     def keep(self, frame: DataFrame) -> DataFrame:
         """``frame`` as a stored table of its own."""

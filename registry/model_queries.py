@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careerline.operators import quality, with_positions
+from careerline.operators import heavy_hitters, local_frame, quality, spread_left_join, with_positions
 from careerline.plans import checks, marts, reports
 from careerline.plans.build import FACT, refresh_fact
 from careerline.sources.warehouse import Warehouse
@@ -49,17 +49,11 @@ def _report(build: Callable[..., DataFrame], *inputs: str, **options: object) ->
 
 
 def raw_table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row counts of the raw tables side by side."""
+    """Row counts of the raw tables side by side, from the footers of their files."""
     feed = feed_for(spark, sf_dir)
-
-    def size(frame: DataFrame) -> DataFrame:
-        return frame.agg(F.count("*").alias("n"))
-
-    return size(feed.stored("raw_matches")).select(
-        F.col("n").alias("matches"),
-        size(feed.stored("raw_players")).scalar().alias("players"),
-        size(feed.stored("raw_rankings")).scalar().alias("rankings"),
-    )
+    names = ("matches", "players", "rankings")
+    counts = tuple(feed.warehouse.row_count(feed.stored_table(f"raw_{name}")) for name in names)
+    return local_frame(spark, [counts], ", ".join(f"{name} long" for name in names))
 
 
 def _refreshed(spark: SparkSession, sf_dir: str, full_refresh: bool) -> DataFrame:
@@ -138,6 +132,19 @@ def curves_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_positions(feed.stored("mart_age_curves"), order, feed.keep)
 
 
+def hot_players(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Players on at least 2 % of all player rows, with exact counts."""
+    return heavy_hitters(feed_for(spark, sf_dir).fct_player_matches, "player_id", 0.02)
+
+
+def winners_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every match with its winner's name and country; hot winners' matches are joined in slices."""
+    feed = feed_for(spark, sf_dir)
+    matches = feed.stored("stg_matches").select("match_id", F.col("winner_id").alias("player_id"))
+    players = feed.stored("stg_players").select("player_id", "player_name", "country_code")
+    return spread_left_join(matches, players, "player_id")
+
+
 MODEL_QUERIES: dict[str, Query] = {
     **{name: _model(name) for name in MODELS},
     "raw_table_counts": raw_table_counts,
@@ -166,6 +173,8 @@ MODEL_QUERIES: dict[str, Query] = {
     "check_relationships": check_relationships,
     "check_unique_combination": check_unique_combination,
     "check_report": check_report,
+    "hot_players": hot_players,
+    "winners_spread": winners_spread,
     "pace_in_order": pace_in_order,
     "curves_in_order": curves_in_order,
 }

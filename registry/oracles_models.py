@@ -251,6 +251,10 @@ where not exists (select 1 from refreshed n where n.player_match_id = t.player_m
 """
 
 MODEL_ORACLES = {
+    "hot_players": """select player_id, count(*) as n, (select count(*) from pm) as total
+        from pm group by player_id having count(*) >= 0.02 * (select count(*) from pm)""",
+    "winners_spread": """select winner_id as player_id, match_id, player_name, country_code
+        from m left join p on winner_id = player_id""",
     "raw_table_counts": """select (select count(*) from raw_matches) as matches,
         (select count(*) from raw_players) as players,
         (select count(*) from raw_rankings) as rankings""",
