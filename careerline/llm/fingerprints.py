@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from careerline.operators import heavy_hitters
+
 #: Two primes below 2^31: a product of two residues fits 64 bits.
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (911_382_323, 972_663_749)
@@ -21,8 +23,10 @@ CELLS = 16
 WINDOW = 8
 #: A text is cut where a window's hash is less than those of so many windows before and after it.
 RADIUS = 32
-#: Ranges of keys for each shuffle partition.
+#: Bytes of text that a range of keys is meant to hold, ranges for each shuffle partition at least, and most ranges.
+RANGE_BYTES = 64 << 20
 RANGES_PER_PARTITION = 4
+MOST_RANGES = 32_768
 _CHUNK = 1 << 16
 
 
@@ -207,7 +211,7 @@ def _rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for at, copy, name, body in zip(frame["__range"], frame["__copy"], frame["key"], frame["text"], strict=True):
             text = body or ""
-            print_ = fingerprint(text)
+            print_ = before[3] if before and before[2] == text else fingerprint(text)
             if before and before[0] == at:
                 _, last, own, own_print = before
                 edited = edited_text(own, text)
@@ -219,45 +223,76 @@ def _rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=names)
 
 
-def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
-    """Fingerprints of every whole text and of its edited text, with their likeness.
+def _range_count(texts: DataFrame) -> int:
+    """Ranges by the bytes of all texts."""
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return min(MOST_RANGES, max(RANGES_PER_PARTITION * partitions, -(-size // RANGE_BYTES)))
+
 
-    The next document is the next in order of the integer ``key`` (then of the text), the first one after the last;
-    a single document is its own next one. NULL texts are empty, a NULL key comes first, rows with equal
-    keys are ordered by text, and an empty table gives no rows. Other columns are ignored.
+def _ranged(named: DataFrame, ranges: int) -> DataFrame:
+    """``named`` with ``__range``, which grows with (``key``, ``mark``).
 
-    Keys are cut into ranges of about equal numbers of rows; the first rows of each range are copied to the range before it, so
-    the texts are shuffled once and each range is read on its own.
+    Cuts are quantiles of the keys. A key that fills a range or more, or NULL, has ranges of its own, which its rows share
+    by ``mark``. At most about three times ``ranges`` numbers come to the driver.
     """
-    spark = docs.sparkSession
-    if ranges is None:
-        ranges = RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    named = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     shares = [k / ranges for k in range(1, ranges)]
-    cuts = named.agg(F.percentile_approx("key", shares, 100 * ranges)).first()[0] if shares else []
-    bounds = np.unique(np.array(cuts or [], np.int64))
+    cuts = named.agg(F.percentile_approx("key", shares, 10 * ranges)).first()[0] if shares else []
+    hot = {r["key"]: -(-r["n"] * ranges // r["total"]) for r in heavy_hitters(named, "key", 1 / ranges).collect()}
+    unkeyed = hot.pop(None, 1)
+    # A hot key is alone in its range: the one that ends with it, behind a cut just below it.
+    below = [k - 1 for k in hot if k > -(2**63)]
+    bounds = np.unique(np.array([*(cuts or []), *below, *hot], np.int64))
+    parts = np.ones(len(bounds) + 1, np.int64)
+    for k, n in hot.items():
+        parts[np.searchsorted(bounds, k)] = n
+    starts = unkeyed + np.cumsum(parts) - parts
 
     @F.pandas_udf("long")
-    def range_of(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, keys.to_numpy(np.int64), side="left"))
-
-    # A NULL key is in the first range.
-    ranged = named.withColumn("__range", range_of(F.coalesce("key", F.lit(-(2**63)))))
-    # One row per range: its first key, which with NULL keys is NULL.
-    least = ranged.select("__range", "key").groupBy("__range").agg(
-        F.min(F.struct(F.col("key").isNotNull(), "key")).alias("least")
+    def range_of(keys: pd.Series, unknown: pd.Series, marks: pd.Series) -> pd.Series:
+        at = np.searchsorted(bounds, keys.to_numpy(np.int64), side="left")
+        null = unknown.to_numpy(bool)
+        # The upper half of a mark, from 0 to 2^32, cut into equal parts.
+        place = (marks.to_numpy(np.int64) >> 32) + (1 << 31)
+        return pd.Series(np.where(null, 0, starts[at]) + (place * np.where(null, unkeyed, parts[at]) >> 32))
+
+    return named.withColumn("__range", range_of(F.coalesce("key", F.lit(0)), F.col("key").isNull(), "mark"))
+
+
+def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
+    """Fingerprints of every whole text and of its edited text, with their likeness.
+
+    The next document is the next in order of the integer ``key`` (then of the text's XXH64, then of the text), the first
+    one after the last; a single document is its own next one. NULL texts are empty, a NULL key comes first, and an empty
+    table gives no rows. Other columns are ignored.
+
+    Keys are cut into ranges of about equal numbers of rows, as many as the bytes of the texts ask for; a key that holds many rows is
+    cut by the texts' hashes. The first row of each range is copied to the range before it, so the texts are shuffled
+    once and each range is read on its own, row by row. Rows that agree in key and text are read by one task, and fingerprinted once.
+    """
+    named = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
+    if ranges is None:
+        ranges = _range_count(named)
+    ranged = _ranged(named, ranges)
+    # One row per range: its first key, which with NULL keys is NULL, and mark.
+    least = ranged.select("__range", "key", "mark").groupBy("__range").agg(
+        F.min(F.struct(F.col("key").isNotNull(), "key", "mark")).alias("least")
+    )
+    firsts = sorted((r["__range"], r["least"]["key"], r["least"]["mark"]) for r in least.collect())
+    heads = [(at, k, mark, firsts[i - 1][0]) for i, (at, k, mark) in enumerate(firsts)]
+    heads = docs.sparkSession.createDataFrame(heads, "at long, head long, head_mark long, to long")
+    same = (F.col("mark") == F.col("head_mark")) & F.col("key").eqNullSafe(F.col("head"))
+    found = named.join(F.broadcast(heads), same).groupBy("to", "key", "mark").agg(
+        F.min(F.struct(F.col("text").isNotNull(), "text"))["text"].alias("text")
     )
-    firsts = sorted((r["__range"], r["least"]["key"]) for r in least.collect())
-    before = {name: firsts[k - 1][0] for k, (_, name) in enumerate(firsts)}
-    heads = spark.createDataFrame(list(before.items()), "head long, to long")
-    to = F.when(F.col("to").isNotNull(), F.array("__range", "to")).otherwise(F.array("__range"))
-    marked = ranged.join(F.broadcast(heads), F.col("key").eqNullSafe(F.col("head")), "left")
-    copied = marked.select("key", "text", F.posexplode(to).alias("__copy", "__range"))
-    order = ["__range", "__copy", F.col("key").asc_nulls_first(), F.col("text").asc_nulls_first()]
+    copies = found.select("key", "text", "mark", F.col("to").alias("__range"), F.lit(1).alias("__copy"))
+    rows = ranged.withColumn("__copy", F.lit(0)).unionByName(copies)
+    order = ["__range", "__copy", F.col("key").asc_nulls_first(), "mark", F.col("text").asc_nulls_first()]
     kind = docs.schema[key].dataType.simpleString()
     return (
-        copied.repartition("__range")
+        rows.repartition(max(1, len(firsts) // 2), "__range")
         .sortWithinPartitions(*order)
+        .drop("mark")
         .withColumn("key", F.col("key").cast("string"))
         .mapInPandas(_rows, f"key string, {RESULT}")
         .select(F.col("key").cast(kind).alias(key), *(part.split()[0] for part in RESULT.split(", ")))

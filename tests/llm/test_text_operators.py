@@ -342,6 +342,34 @@ def test_fingerprints_match_brute_force(spark, sample):
             assert 0.4 <= r["near_edited"] < 1
 
 
+@pytest.mark.parametrize("ranges", [None, 1, 6, 40])
+@pytest.mark.parametrize("hot", [5, None, -(2**63), 2**63 - 1])
+def test_fingerprints_of_a_key_on_most_rows(spark, ranges, hot):
+    """Rows of one key, a third of them equal, are cut into ranges by their hash."""
+    rows = [(hot, "equal", "s")] * 30 + [(hot, f"text {i} " * (i % 4), "s") for i in range(60)]
+    rows += [(i, f"other {i}", "s") for i in range(30)] + [(None, "no key", "s"), (hot, None, "s")]
+    given = docs_of(spark, rows)
+    marks = {r["text"]: r["mark"] for r in given.select("text", F.xxhash64("text").alias("mark")).collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, marks[r[1]], r[1] is not None, r[1] or ""))
+    texts = [r[1] or "" for r in ordered]
+    expected = []
+    for (key, _, _), text, following in zip(ordered, texts, texts[1:] + texts[:1], strict=True):
+        prints = [fingerprints.fingerprint(t) for t in (text, fingerprints.edited_text(text, following), following)]
+        expected.append((key, len(text), *prints[:2], *(fingerprints.likeness(prints[0], p) for p in prints[1:])))
+    found = fingerprints.fingerprint_documents(given, ranges=ranges)
+    got = found.select("doc_id", "n_chars", "fingerprint", "edited_fingerprint", "near_edited", "near_next").collect()
+    assert Counter(map(tuple, got)) == Counter(expected)
+
+
+def test_a_hot_key_has_many_ranges(spark):
+    named = spark.range(10_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("key"), F.xxhash64("id").alias("mark")
+    )
+    sizes = fingerprints._ranged(named, 20).groupBy("__range").agg(F.count("*").alias("n"), F.min("key"), F.max("key")).collect()
+    assert max(r["n"] for r in sizes) < 2 * 10_000 / 20
+    assert sum(r["min(key)"] == r["max(key)"] == 7 for r in sizes) >= 6
+
+
 def test_fingerprints_of_few_rows(spark):
     assert fingerprints.fingerprint_documents(docs_of(spark, [])).count() == 0
     (one,) = fingerprints.fingerprint_documents(docs_of(spark, [(3, "abcdef", "s")])).collect()
