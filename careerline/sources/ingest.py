@@ -9,6 +9,7 @@ column does not keep the sound ones from being loaded; it is reported and tried
 from __future__ import annotations
 
 import csv
+import uuid
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
 from functools import partial, reduce
@@ -89,17 +90,24 @@ def read_text_csv(
     columns: Sequence[str],
     whole: bool = True,
     broken: str | None = None,
+    exact: bool = False,
 ) -> DataFrame:
     """Every column as text. All ``paths`` must have the same header.
 
     Spark assigns CSV columns by position, so files with other headers need a read of their own.
     ``whole`` allows line ends inside quotes, which makes a file a single task; files without such
     line ends are read in splits, and most of the others by :func:`read_quoted_csv`. Broken rows are
-    an error, or kept in the column ``broken``.
+    an error, or kept in the column ``broken``. ``exact`` tells an empty text in quotes from an empty
+    field, which alone is NULL then, and keeps NUL characters in quotes; the load takes both empties for NULL.
     """
     names = [*columns, broken] if broken else columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
     reader = spark.read.option("columnNameOfCorruptRecord", broken) if broken else spark.read
+    if exact:
+        # Spark's own marker of NULL is the empty text; one made for this read stands in no file.
+        reader = reader.option("nullValue", f"null-{uuid.uuid4().hex}")
+        # Its default, NUL, is dropped inside quotes.
+        reader = reader.option("charToEscapeQuoteEscaping", '"')
     return (
         reader.schema(schema)
         .option("header", True)

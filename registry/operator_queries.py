@@ -392,10 +392,17 @@ def _documents_csv(spark: SparkSession, sf_dir: str) -> tuple[str, list[str]]:
 
 
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written as CSV and read back as text, each file as a whole."""
+    """Documents written as CSV and read back as text, each file as a whole, with length and digest of the text."""
     folder, columns = _documents_csv(spark, sf_dir)
-    text = ingest.read_text_csv(spark, [folder], columns, whole=True)
-    return text.withColumn("doc_id", try_number("doc_id", "bigint"))
+    text = ingest.read_text_csv(spark, [folder], columns, whole=True, exact=True)
+    return text.select(
+        try_number("doc_id", "bigint").alias("doc_id"),
+        "lang",
+        "source",
+        "text",
+        F.length("text").cast("long").alias("n_chars"),
+        F.md5("text").alias("text_md5"),
+    )
 
 
 def csv_round_trip_in_splits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,7 +184,9 @@ OPERATOR_ORACLES = {
                if(o_orderdate >= timestamp '1998-01-01', o_orderstatus, null) as o_orderstatus,
                o_orderpriority
         from orders""",
-    "csv_round_trip": "select doc_id, lang, source, nullif(text, '') as text from documents",
+    "csv_round_trip": """
+        select doc_id, lang, source, text, length(text) as n_chars, md5(text) as text_md5
+        from documents""",
     "csv_round_trip_in_splits": "select doc_id, lang, source, nullif(text, '') as text from documents",
     "text_typing": """
         with t as (

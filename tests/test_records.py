@@ -1,13 +1,18 @@
 """Quoted CSV in splits: the same rows as a read of whole files."""
 
+import hashlib
 import random
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from careerline.sources import ingest as load
 from careerline.sources.records import STRAY_QUOTE, has_stray_quote, read_quoted_csv, split_states
 from careerline.sources.warehouse import Warehouse
+from registry.compare import difference
 from tests import fixture_files as feed
 
 
@@ -100,3 +105,34 @@ def test_broken_rows_in_splits(spark, tmp_path, small_splits):
     assert len([r for r in kept if r["bad"] is not None]) == 2
     with pytest.raises(Exception, match="(?i)malformed"):
         read_quoted_csv(spark, [str(path)], ["a", "b"], "file").collect()
+
+
+ODD_TEXTS = [
+    None, "", " ", "  a ", '"', '""', '"whole"', 'end"', "a,b", "a\nb", "\n", "\r", "a\r\nb\r\n", "\\", "\\N", '\\"', "null",
+    "\x00", 'a\x00"b', '\x00,"', "#c", "\ufeffx", "日本\U0001f600", "\t",
+]
+
+
+def test_csv_round_trip_gives_back_every_text(spark, tmp_path):
+    pick = lambda k, some: some[k % len(some)]
+    rows = [(k, pick(k, [None, "", "en", " "]), pick(k, ["", "web", None]), text) for k, text in enumerate(ODD_TEXTS)]
+    rows += [(None, None, None, None), (None, "", "", ""), *rows[:3]]
+    documents = pd.DataFrame(rows, columns=["doc_id", "lang", "source", "text"]).astype({"doc_id": "Int64"})
+    documents.to_parquet(tmp_path / "documents.parquet")
+    query, statement = contract.queries()["csv_round_trip"], contract.oracle_sql()["csv_round_trip"]
+    found = query(spark, str(tmp_path))
+    digest = lambda text: None if text is None else hashlib.md5(text.encode()).hexdigest()
+    whole = [(*row, None if row[3] is None else len(row[3]), digest(row[3])) for row in rows]
+    columns = ["doc_id", "lang", "source", "text", "n_chars", "text_md5"]
+    assert sorted((tuple(r) for r in found.select(columns).collect()), key=repr) == sorted(whole, key=repr)
+    connection = duckdb.connect()
+    connection.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    assert difference(spark, connection, str(tmp_path), query, statement) is None
+
+
+def test_the_load_takes_empty_texts_for_null(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text('a,b\n1,""\n2,\n"",x\n')
+    rows = lambda **how: sorted((tuple(r) for r in load.read_text_csv(spark, [str(path)], ["a", "b"], **how).collect()), key=repr)
+    assert rows() == rows(whole=False) == [("1", None), ("2", None), (None, "x")]
+    assert rows(exact=True) == rows(whole=False, exact=True) == [("", "x"), ("1", ""), ("2", None)]
